@@ -183,7 +183,10 @@ class ByteBpe:
 
     def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         """docs with an array<int> of ids."""
-        return docs.withColumn(out, parse_ids(self.encoder(docs, text_col)(F.col(text_col))))
+        names = [c for c in docs.columns if c != out]
+        # The generator keeps Catalyst from computing the encoding once for each use.
+        held = docs.select(*names, F.explode(F.array(self.encoder(docs, text_col)(F.col(text_col)))).alias("_ids"))
+        return held.select(*names, parse_ids(F.col("_ids")).alias(out))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated (as hexadecimal
