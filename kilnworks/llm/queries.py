@@ -4,10 +4,30 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from . import bpe, decontaminate, jaccard_join, line_dedup, toxicity
+from . import bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, token_files, toxicity, warc
 from .common import table
 
 
+def op1_warc(spark, sf_dir):
+    return warc.digest_query(table(spark, sf_dir, "pages"))
+
+
+def op2_token_files(spark, sf_dir):
+    return token_files.digest_query(table(spark, sf_dir, "documents"), P.path("byte_bpe_50k.json"), P.PATTERN)
+
+
+def op4_merkle(spark, sf_dir):
+    return merkle.digest_query(table(spark, sf_dir, "documents"))
+
+
+def op6_license_scan(spark, sf_dir):
+    return license_scan.digest_query(table(spark, sf_dir, "documents"))
+
+
+def op10_html_extract(spark, sf_dir):
+    return html_extract.digest_query(table(spark, sf_dir, "pages"))
+
+
 def op3_line_dedup(spark, sf_dir):
     return line_dedup.digest_query(table(spark, sf_dir, "documents"))
 
@@ -34,5 +54,5 @@ def pipeline(spark, sf_dir):
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op3_line_dedup, op5_toxicity, op7_byte_bpe, op8_decontamination, op9_jaccard_join, pipeline)}
-SQL = {"op3_line_dedup": line_dedup.SQL, "op8_decontamination": decontaminate.SQL, "op9_jaccard_join": jaccard_join.SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op4_merkle, op5_toxicity, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_jaccard_join, op10_html_extract, pipeline)}
+SQL = {"op1_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op8_decontamination": decontaminate.SQL, "op9_jaccard_join": jaccard_join.SQL}
