@@ -8,8 +8,11 @@ which they differ in at most k2, and each of those into ``fine`` parts, of which
 fine - k2 agree: every subset of that many parts is one signature, so sets that are
 similar enough always share one. With k2 = 0, the default, a partition is one
 signature. A partition that holds no item of a set would sign alike for unrelated
-sets; it is signed again by the partitions of another hash, where the same bound
-holds.
+sets, so it doesn't sign; sets that have one also sign by the partitions of another
+hash, where the same bound holds, up to five hashes. Sets of fewer than 64 items sign
+all partitions of the fifth, so none of their links can be missed; larger sets would
+miss one only if in all five the partitions that agree were empty in both, for which
+no more than about (exp(-3.6)) ** 5, 2 in 10 ** 8, of links at s = 0.8 allow.
 
 Sets that share signatures are chained (each with the one before it, by a window
 that keeps no group), chains give candidate components, and each component's
@@ -90,35 +93,41 @@ class Bands:
         return (self.den - self.num) * 2 * self.ends[b] // (self.den + self.num)
 
 
+LEVELS, SMALL = 5, 64
+
+
 def signatures(items: np.ndarray, band: Bands, k2: int = 0, fine: int = 1) -> np.ndarray:
     """All signatures of one set of hashes."""
     out = []
     b = band.of(len(items))
     for c in (b, b + 1):
         n1 = -(-(band.most(c) + 1) // (k2 + 1))
-        out.append(_signed(items, c, n1, k2, fine, 0))
+        for level in range(LEVELS):
+            got, some_empty = _signed(items, c, n1, k2, fine, level)
+            out.append(got)
+            if not some_empty:
+                break
     return np.unique(np.concatenate(out))
 
 
-def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int) -> np.ndarray:
-    salted = _mix(items + np.multiply(A1, np.array([level + 1], U)))
+def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int) -> tuple[np.ndarray, bool]:
+    """Signatures by one partitioning of the domain, without those of no item, and
+    whether there were such."""
+    salted = _mix(items + A1 * np.array([level + 1], U))
     cells = ((salted >> U(32)) * U(n1 * fine) >> U(32)).astype(np.int64)
-    sums = _sums(cells, salted * A3 | U(1), n1 * fine)
-    count = np.bincount(cells, minlength=n1 * fine)
-    sums, count = sums.reshape(n1, fine), count.reshape(n1, fine)
-    place = np.arange(n1, dtype=U) * U(1 << 20) + U(c) * U(1 << 40) + U(level)
-    out = []
+    sums = _sums(cells, salted * A3 | U(1), n1 * fine).reshape(n1, fine)
+    count = np.bincount(cells, minlength=n1 * fine).reshape(n1, fine)
+    place = np.arange(n1, dtype=U) * U(1 << 20) + U((c << 40) + level)
+    out, some_empty = [], False
     for i, chosen in enumerate(combinations(range(fine), fine - k2)):
         mixed = np.zeros(n1, U)
         for j in chosen:
             mixed = _mix(mixed * A2 + sums[:, j] + U(j))
-        got = _mix(mixed ^ _mix(place + U(i) * A3))
-        empty = count[:, list(chosen)].sum(axis=1) == 0
-        if empty.any() and level < 4:
-            again = _signed(items, c, n1, k2, fine, level + 1)
-            got = np.concatenate([got[~empty], *(_mix(again ^ p) for p in _mix(place[empty] * A1)[:, None])])
-        out.append(got)
-    return np.concatenate(out)
+        got = _mix(mixed ^ _mix(place + A3 * np.array([i], U)))
+        full = count[:, list(chosen)].sum(axis=1) > 0
+        some_empty |= not full.all()
+        out.append(got if level == LEVELS - 1 and len(items) < SMALL else got[full])
+    return np.concatenate(out), some_empty
 
 
 def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
