@@ -43,9 +43,11 @@ def units(text: Column) -> Column:
 
 
 def _anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(id, digest, p, fingerprint, runs): the selected fingerprints with the hashes
-    of the runs of k + w - 1 units that cover them; runs[j] starts at p - (w - 1) + j,
-    null where that is no place."""
+    """(id, digest, p, fingerprint, r0, r1, ...): the selected fingerprints with the
+    hashes of the runs of k + w - 1 units that cover them; the run of rj starts at
+    p - j, null where that is no place. Equal runs select the same fingerprint at the
+    same place in them, so (fingerprint, j, rj) names a run and 32 bits of rj will do:
+    these rows are most of what is written and shuffled."""
     t = k + w - 1
 
     def at(array: Column, i: Column) -> Column:
@@ -58,16 +60,16 @@ def _anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
         def chosen(runs: Column, low: Column) -> Column:
             def one(x: Column, p: Column) -> Column:
                 least = F.greatest(*[F.coalesce(at(low, p - j) == x, F.lit(False)).cast("int") for j in range(w)]) == 1
-                covering = F.array(*[at(runs, p - j) for j in range(w - 1, -1, -1)])
-                return F.when(least, F.struct(p.alias("p"), x.alias("fingerprint"), covering.alias("runs")))
+                covering = [at(runs, p - j).alias(f"r{j}") for j in range(w)]
+                return F.when(least, F.struct(p.alias("p"), x.alias("fingerprint"), *covering))
 
             return F.filter(F.transform(g, one), lambda x: x.isNotNull())
 
-        return let(over(g, w, F.xxhash64), lambda runs: let(over(g, w, F.least), lambda low: chosen(runs, low)))
+        return let(over(g, w, F.hash), lambda runs: let(over(g, w, F.least), lambda low: chosen(runs, low)))
 
     line = F.transform(units(F.col("text")), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
     anchors = let(line, lambda h: F.when(F.size(h) >= t, let(over(h, k, F.xxhash64), select)))
-    return docs.select(F.col("doc_id").alias("id"), F.xxhash64("text").alias("digest"), F.explode(anchors).alias("a")).select("id", "digest", "a.p", "a.fingerprint", "a.runs")
+    return docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("digest"), F.explode(anchors).alias("a")).select("id", "digest", "a.*")
 
 
 def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
@@ -75,8 +77,8 @@ def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     has later occurrences; each deletes k + w - 1 units."""
     anchors = written(_anchors(docs, k, w), "anchors")
     again = anchors.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    hit = anchors.join(again, "fingerprint").select("id", "digest", "p", F.posexplode("runs").alias("j", "run")).where("run is not null")
-    hit = hit.select(F.struct(F.col("id").isNull().alias("z"), "id", "digest", (F.col("p") - (w - 1) + F.col("j")).alias("s")).alias("at"), "run")
+    hit = anchors.join(again, "fingerprint").select("id", "digest", "p", "fingerprint", F.posexplode(F.array(*[f"r{j}" for j in range(w)])).alias("j", "r")).where("r is not null")
+    hit = hit.select(F.struct(F.col("id").isNull().alias("z"), "id", "digest", (F.col("p") - F.col("j")).alias("s")).alias("at"), F.xxhash64("fingerprint", "j", "r").alias("run"))
     first = hit.groupBy("run").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last").select("run", "one")
     later = hit.join(first, "run").where("at <> one").select("at.id", "at.digest", "at.s")
     return later.groupBy("id", "digest").agg(F.collect_set("s").alias("gone"))
@@ -87,7 +89,7 @@ def dedup(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     deletion."""
     t = k + w - 1
     gone = deleted(docs, k, w).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.xxhash64(docs["text"]) == gone["_digest"]), "left")
+    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.hash(docs["text"]) == gone["_digest"]), "left")
     # The generator keeps Catalyst from splitting the text once for each use.
     joined = joined.select(*docs.columns, "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"))))).alias("_units"))
     away = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s, s + (t - 1))))))
