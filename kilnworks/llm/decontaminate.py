@@ -92,16 +92,14 @@ def remove(docs: DataFrame, bench: DataFrame, n: int = 10, spans: bool = False,
     digest = F.xxhash64(F.col("text"))
     keyed = docs.withColumn("_digest", digest)
     bad = hits(keyed, bench, n, ["doc_id", "_digest"], max_broadcast).where(F.size("hit_words") > 0).dropDuplicates(["doc_id", "_digest"])
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), "hit_words")
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), F.col("hit_words").alias("_hits"))
     same = keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_digest"] == bad["_d"])
     if not spans:
         return keyed.join(bad, same, "left_anti").drop("_digest")
-    gap = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]*"
-    pieces = F.regexp_extract_all("text", F.lit(rf"^{gap}|[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+{gap}"), F.lit(0))
-    offset = F.when(F.col("text").rlike(rf"^{gap}[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]") & ~F.col("text").rlike(r"^[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"), 1).otherwise(0)
-    joined = keyed.join(bad, same, "left").withColumn("_pieces", pieces).withColumn("_offset", offset)
-    cut = F.array_join(F.filter(F.transform("_pieces", lambda x, i: F.when(F.array_contains("hit_words", i - F.col("_offset")), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "")
-    text = F.when(F.col("hit_words").isNull(), F.col("text")).otherwise(cut)
+    gap, inside = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+    joined = keyed.join(bad, same, "left").withColumn("_pieces", F.regexp_extract_all("text", F.lit(rf"(?:^{gap}+)?{inside}+{gap}*"), F.lit(0)))
+    cut = F.array_join(F.filter(F.transform("_pieces", lambda x, i: F.when(F.array_contains("_hits", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "")
+    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(cut)
     return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
