@@ -68,7 +68,7 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "grade", "word", "x"])
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = 5000, vocabulary: int = 50_000, least_documents: int = 4, steps: int = 250, l1: float = 2e-4) -> Ordinal:
+def fit(docs: DataFrame, grades: DataFrame, sample: int = 4000, vocabulary: int = 50_000, least_documents: int = 4, steps: int = 250, l1: float = 2e-4) -> Ordinal:
     """grades: (doc_id, grade)."""
     known = grades.where("doc_id is not null and grade is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # sample rows at most
@@ -76,10 +76,12 @@ def fit(docs: DataFrame, grades: DataFrame, sample: int = 5000, vocabulary: int
     # Rows of one document come together; the words' counts are those of the sample.
 
     x = written(x, "sample")
-    kept = x.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_documents).orderBy(F.desc("k"), "word").limit(vocabulary).select("word")
-    labels = x.select("doc_id", "grade").distinct().orderBy("doc_id").toPandas()
-    cells = x.join(F.broadcast(kept), "word").orderBy("doc_id", "word").select("doc_id", "word", "x").toPandas()
-    return solve(labels, cells, steps, l1)
+    kept = x.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_documents).orderBy(F.desc("k"), "word").limit(vocabulary).select("word", F.xxhash64("word").alias("w"))
+    labels = x.select("doc_id", "grade").distinct().toArrow().to_pandas().sort_values("doc_id", ignore_index=True)
+    cells = x.join(F.broadcast(kept), "word").select("doc_id", "w", F.col("x").cast("float").alias("x")).toArrow().to_pandas().sort_values(["doc_id", "w"], ignore_index=True)
+    names = dict(kept.select("w", "word").toArrow().to_pandas().itertuples(index=False, name=None))
+    model = solve(labels, cells.rename(columns={"w": "word"}), steps, l1)
+    return Ordinal({names[int(w)]: v for w, v in model.weights.items()}, model.thresholds, model.least)
 
 
 def solve(labels: pd.DataFrame, cells: pd.DataFrame, steps: int = 250, l1: float = 2e-4) -> Ordinal:
