@@ -16,7 +16,8 @@ with an article or main element only what is inside it is.
 
 Counts per (host, path, content) are aggregations that combine before their shuffle;
 no host's pages meet in one task. A host that holds a third of all pages is a skewed
-key of the one join back, which adaptive execution splits.
+key of the one join back, which adaptive execution splits; where the nodes to remove
+are few, as is usual, they are broadcast and pages aren't shuffled at all.
 
 Text: character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by a blank line. Nulls: a null html has the empty
@@ -34,6 +35,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import written
+
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[/!?a-zA-Z](?:[^'\"<>]|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^<>]*(?:>|$)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
@@ -123,6 +126,7 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         rows = []
         for host, page in zip(frame["host"], frame["html"]):
+            same = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
             shown: dict[str, list[str]] = {}
             inside: dict[str, list[str]] = {}
             for path, text, _ in blocks(page):
@@ -132,13 +136,13 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                     inside.setdefault("/".join(steps[:i]), []).append(steps[i])
             for path in shown.keys() | inside.keys():
                 a, b = (xxhash.xxh3_64_intdigest("\0".join(x.get(path, [])).encode("utf-8", "surrogatepass")) >> 1 for x in (shown, inside))
-                rows.append((host, path, a, b))
-        yield pd.DataFrame(rows, columns=["host", "path", "content", "look"])
+                rows.append((host, same, path, a, b))
+        yield pd.DataFrame(rows, columns=["host", "same", "path", "content", "look"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
     """(host, path, pages, importance) of the style trees' nodes, from (host, html)."""
-    nodes = pages.distinct().mapInPandas(_nodes, "host string, path string, content long, look long")
+    nodes = pages.mapInPandas(_nodes, "host string, same long, path string, content long, look long").distinct()  # a page's copies count once
     both = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("v")))).alias("x"))
     counts = both.groupBy("host", "path", "x").agg(F.count(F.lit(1)).alias("k"))
     by = counts.groupBy("host", "path", F.col("x.kind").alias("kind")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"))
@@ -166,7 +170,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
 
-def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 5) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 5, broadcast_nodes: int = 50_000) -> DataFrame:
     """(page_id, url, text, n_chars) per page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]+)", 1)), F.lit("")))
@@ -175,7 +179,10 @@ def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 5) -> Data
         F.collect_set(F.when((F.col("importance") < least) & (F.col("pages") >= pages_needed), F.col("path"))).alias("low"),
         F.collect_set(F.when(F.col("importance") >= least, F.col("path"))).alias("high"),
     )
-    seen = seen.where(F.size("low") > 0)
+    # Few nodes are removed, as a rule; beyond broadcast_nodes of them, pages are shuffled by host instead.
+    seen = written(seen.where(F.size("low") > 0), "style-nodes")
+    if (seen.agg(F.sum(F.size("low") + F.size("high"))).first()[0] or 0) <= broadcast_nodes:
+        seen = F.broadcast(seen)
     rows = p.join(seen, "host", "left").select("page_id", "url", "html", "low", "high")
     return rows.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
 
