@@ -26,6 +26,7 @@ import re
 import struct
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,7 +45,7 @@ class Encoder:
     """ids of texts by the tokenizers library. A text is split by the tokenizer's own
     pattern, and words are encoded once and remembered, up to a bound."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 2_000_000):
+    def __init__(self, path: str, pattern: str, bound: int = 1_000_000):
         import regex
         from tokenizers import Tokenizer
 
@@ -62,11 +63,21 @@ class Encoder:
             return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
         except KeyError:
             new = list(set(words).difference(known))
-            for w, e in zip(new, self.library.encode_batch(new, add_special_tokens=False)):
-                known[w] = np.array(e.ids, np.int32).tobytes()
+            for w, e in zip(new, self.library.encode_batch_fast(new, add_special_tokens=False)):
+                known[w] = array("i", e.ids).tobytes()
             return np.frombuffer(b"".join([known[w] for w in words]), np.int32)
 
 
+_ENCODERS: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder(path: str, pattern: str) -> Encoder:
+    """One per Python worker, so that its tasks share the words that it knows."""
+    if (path, pattern) not in _ENCODERS:
+        _ENCODERS[path, pattern] = Encoder(path, pattern)
+    return _ENCODERS[path, pattern]
+
+
 def repair(ids: np.ndarray, stops: np.ndarray, first: int, rounds: int = 6, per_round: int = 256, least: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts, rules): ids with frequent pairs replaced; stops are the
     documents' ends in ids, starts their first symbols; rule i is symbol first + i."""
@@ -199,7 +210,7 @@ SHARDS = "file string, bucket int, part int, n_docs long, n_tokens long"
 
 def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, rounds: int, shard_tokens: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encode = Encoder(path, pattern)
+        encode = encoder(path, pattern)
         fs, root = store(folder)
         fs.create_dir(root, recursive=True)
         end = np.array([end_id], np.int32)
@@ -232,7 +243,7 @@ def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, round
     return f
 
 
-def write(docs: DataFrame, path: str, pattern: str, end_id: int = 2, first: int = 1 << 20, rounds: int = 6, shard_tokens: int = 8_000_000, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, end_id: int = 2, first: int = 1 << 20, rounds: int = 3, shard_tokens: int = 2_000_000, folder: str | None = None) -> DataFrame:
     """Writes token files and returns the index of shards, with the place of each
     one's first id among all ids. ids below ``first`` are the tokenizer's."""
     folder = folder or shared_folder(docs.sparkSession, "tokens")
