@@ -71,7 +71,7 @@ class ByteBpe:
     """Encoder and decoder for one file of ranks (the file's path is a parameter,
     read on the driver)."""
 
-    def __init__(self, path: str, pattern: str, dictionary_words: int = 1 << 18):
+    def __init__(self, path: str, pattern: str, dictionary_words: int = 480_000):
         self.ranks, self.pattern, self.dictionary_words = read_ranks(path), java_pattern(pattern), dictionary_words
         self.shift = (max(self.ranks.values()) + 1).bit_length()
         pairs = {a << self.shift | b: r for (a, b), r in pair_ranks(self.ranks).items()}
@@ -159,10 +159,15 @@ class ByteBpe:
         """A function of a text column that gives its ids as text: decimal, joined
         by commas. docs are those that the dictionary is counted on."""
         held = self.dictionary(docs, text_col)
-        bits = max(4, (len(held) * 5 // 2).bit_length())
-        mask = (1 << bits) - 1
         by_hash = {h: (word, ids) for word, ids, h in held}
-        slots = Cuckoo(by_hash, lambda h: h & mask, lambda h: (h >> 32) & mask, 1 << bits).slots
+        bits = max(4, (len(held) * 21 // 10).bit_length())
+        while True:
+            mask = (1 << bits) - 1
+            try:
+                slots = Cuckoo(by_hash, lambda h: h & mask, lambda h: (h >> 32) & mask, 1 << bits).slots
+                break
+            except ValueError:
+                bits += 1
         words = literal_strings(["" if h is None else by_hash[h][0] for h in slots])
         ids = literal_strings(["" if h is None else by_hash[h][1] for h in slots])
 
