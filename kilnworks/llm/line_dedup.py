@@ -84,11 +84,14 @@ def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return later.groupBy("id", "digest").agg(F.collect_set("s").alias("gone"))
 
 
-def dedup(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def dedup(docs: DataFrame, k: int = K, w: int = W, broadcast_places: int = 5_000_000) -> DataFrame:
     """docs with n_units and n_deleted, and text and n_chars as they are after the
     deletion."""
     t = k + w - 1
-    gone = deleted(docs, k, w).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "gone")
+    gone = written(deleted(docs, k, w).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "gone"), "gone")
+    # Up to so many places (4 bytes each, at least) texts stay where they are; beyond, they are shuffled to theirs.
+    if (gone.agg(F.sum(F.size("gone") + 8)).first()[0] or 0) <= broadcast_places:
+        gone = F.broadcast(gone)
     joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.hash(docs["text"]) == gone["_digest"]), "left")
     # The generator keeps Catalyst from splitting the text once for each use.
     joined = joined.select(*docs.columns, "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"))))).alias("_units"))
