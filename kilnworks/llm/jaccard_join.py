@@ -3,16 +3,17 @@
 A document is its set of hashed word n-grams. Sets whose Jaccard similarity is at
 least s have sizes within one factor of each other, so sizes fall into bands and each
 set signs for its own band and the next. Two such sets of a band differ in at most
-k items; the item domain is cut into n1 = (k + 1) / (k2 + 1) partitions, in one of
-which they differ in at most k2, and each of those into ``fine`` parts, of which
-fine - k2 agree: every subset of that many parts is one signature, so sets that are
-similar enough always share one. With k2 = 0, the default, a partition is one
-signature. A partition that holds no item of a set would sign alike for unrelated
-sets, so it doesn't sign; sets that have one also sign by the partitions of another
-hash, where the same bound holds, up to five hashes. Sets of fewer than 64 items sign
-all partitions of the fifth, so none of their links can be missed; larger sets would
-miss one only if in all five the partitions that agree were empty in both, for which
-no more than about (exp(-3.6)) ** 5, 2 in 10 ** 8, of links at s = 0.8 allow.
+k items; the item domain is cut into n1 partitions, at most k / (k2 + 1) of which hold
+more than k2 differing items, and each into ``fine`` parts, of which fine - k2 agree
+in any other partition: every subset of that many parts is one signature. With
+k2 = 0, the default, a partition is one signature.
+
+A part without items would sign alike for unrelated sets, so it doesn't sign. There
+are a twelfth more partitions than the bound asks for; a set with more than
+k / (k2 + 1) partitions that have items everywhere shares a signature with every set
+that it links to. A set with fewer also signs by other hashes, up to five, where the
+same holds. Sets of fewer than 64 items sign all partitions of the fifth; a larger
+set would have to fail five independent hashes to be without the guarantee.
 
 Sets that share signatures are chained (each with the one before it, by a window
 that keeps no group), chains give candidate components, and each component's
@@ -101,33 +102,34 @@ def signatures(items: np.ndarray, band: Bands, k2: int = 0, fine: int = 1) -> np
     out = []
     b = band.of(len(items))
     for c in (b, b + 1):
-        n1 = -(-(band.most(c) + 1) // (k2 + 1))
+        spoilt = band.most(c) // (k2 + 1)  # partitions with more than k2 of the differing items, at most
+        n1 = spoilt + 1 + spoilt // 12
         for level in range(LEVELS):
-            got, some_empty = _signed(items, c, n1, k2, fine, level)
+            got, full = _signed(items, c, n1, k2, fine, level)
             out.append(got)
-            if not some_empty:
+            if full > spoilt:
                 break
     return np.unique(np.concatenate(out))
 
 
-def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int) -> tuple[np.ndarray, bool]:
+def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int) -> tuple[np.ndarray, int]:
     """Signatures by one partitioning of the domain, without those of no item, and
-    whether there were such."""
+    the number of partitions that lack none."""
     salted = _mix(items + A1 * np.array([level + 1], U))
     cells = ((salted >> U(32)) * U(n1 * fine) >> U(32)).astype(np.int64)
     sums = _sums(cells, salted * A3 | U(1), n1 * fine).reshape(n1, fine)
     count = np.bincount(cells, minlength=n1 * fine).reshape(n1, fine)
     place = np.arange(n1, dtype=U) * U(1 << 20) + U((c << 40) + level)
-    out, some_empty = [], False
+    out, whole = [], np.ones(n1, bool)
     for i, chosen in enumerate(combinations(range(fine), fine - k2)):
         mixed = np.zeros(n1, U)
         for j in chosen:
             mixed = _mix(mixed * A2 + sums[:, j] + U(j))
         got = _mix(mixed ^ _mix(place + A3 * np.array([i], U)))
         full = count[:, list(chosen)].sum(axis=1) > 0
-        some_empty |= not full.all()
+        whole &= full
         out.append(got if level == LEVELS - 1 and len(items) < SMALL else got[full])
-    return np.concatenate(out), some_empty
+    return np.concatenate(out), int(whole.sum())
 
 
 def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
