@@ -71,7 +71,7 @@ class ByteBpe:
     """Encoder and decoder for one file of ranks (the file's path is a parameter,
     read on the driver)."""
 
-    def __init__(self, path: str, pattern: str, dictionary_words: int = 200_000):
+    def __init__(self, path: str, pattern: str, dictionary_words: int = 1 << 16):
         self.ranks, self.pattern, self.dictionary_words = read_ranks(path), java_pattern(pattern), dictionary_words
         self.shift = (max(self.ranks.values()) + 1).bit_length()
         pairs = {a << self.shift | b: r for (a, b), r in pair_ranks(self.ranks).items()}
