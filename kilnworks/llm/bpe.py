@@ -7,20 +7,26 @@ the public library does. The ranks are a literal map, laid out as a cuckoo hash
 table in one array so that a look-up reads at most two places.
 
 Work per distinct word: word counts over all documents (one aggregation, combined
-before its shuffle) give the most frequent ``dictionary_words`` words, which are
-folded once. They become a literal dictionary of that bounded size. Any other word
-of a document takes the same fold in place, so the bound decides speed, never the
-result, and text is never shuffled.
+before its shuffle) give the words that occur more than once, and a histogram of the
+counts says from which count on at most ``held_words`` words are left. Those are
+folded once and written to the shared folder. The most frequent of them, at most
+``dictionary_words``, become a literal dictionary; each Python worker holds the rest
+and looks the others up in Arrow batches. Any word beyond takes the same fold in
+place, so the bounds decide speed, never the result, and text is never shuffled.
 """
 
 from __future__ import annotations
 
 import base64
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
+import pyarrow.dataset
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import let, literal_longs, literal_strings
+from .common import let, literal_longs, literal_strings, shared_folder, store
 
 #: Code points of the Unicode property White_Space. Fixed values.
 WHITE = r"\t-\r \u0085   -     　"
@@ -67,12 +73,46 @@ class Cuckoo:
         self.size = size
 
 
+_HELD: dict[str, tuple[np.ndarray, pa.Array, pa.Array]] = {}
+
+
+def _held(folder: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Hashes in order, words and ids of a folder of folded words; a Python worker
+    reads it once for all its tasks."""
+    if folder not in _HELD:
+        fs, root = store(folder)
+        rows = pyarrow.dataset.dataset(root, filesystem=fs, format="parquet").to_table(columns=["h", "word", "ids"]).sort_by("h").combine_chunks()
+        _HELD.clear()
+        _HELD[folder] = (rows["h"].to_numpy(), *(pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in rows[n].chunks)]) for n in ("word", "ids")))
+    return _HELD[folder]
+
+
+def _finder(folder: str):
+    """ids of the words in an array, null where a word is null or isn't held."""
+
+    @F.arrow_udf("array<string>")
+    def find(words: pa.Array, hashes: pa.Array) -> pa.Array:
+        known, spelt, ids = _held(folder)
+        flat = words.flatten().cast(pa.string())
+        offsets = pa.array(np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int32))
+        if not len(known):
+            return pa.ListArray.from_arrays(offsets, pa.nulls(len(flat), pa.string()))
+        asked = flat.drop_null()
+        at = pa.array(np.minimum(np.searchsorted(known, hashes.flatten().drop_null().to_numpy()), len(known) - 1))
+        got = pc.if_else(pc.equal(spelt.take(at), asked), ids.take(at), pa.scalar(None, pa.string()))
+        valid = flat.is_valid().to_numpy(zero_copy_only=False)
+        return pa.ListArray.from_arrays(offsets, got.take(pa.array(np.cumsum(valid) - 1, mask=~valid)))
+
+    return find
+
+
 class ByteBpe:
     """Encoder and decoder for one file of ranks (the file's path is a parameter,
     read on the driver)."""
 
-    def __init__(self, path: str, pattern: str, dictionary_words: int = 1 << 16):
-        self.ranks, self.pattern, self.dictionary_words = read_ranks(path), java_pattern(pattern), dictionary_words
+    def __init__(self, path: str, pattern: str, dictionary_words: int = 1 << 15, held_words: int = 1 << 20):
+        self.ranks, self.pattern = read_ranks(path), java_pattern(pattern)
+        self.dictionary_words, self.held_words = dictionary_words, held_words
         self.shift = (max(self.ranks.values()) + 1).bit_length()
         pairs = {a << self.shift | b: r for (a, b), r in pair_ranks(self.ranks).items()}
         bits = max(4, (len(pairs) * 5 // 2).bit_length())
@@ -148,17 +188,38 @@ class ByteBpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def dictionary(self, docs: DataFrame, text_col: str) -> list[tuple[str, str, int]]:
-        """The most frequent words with their ids as text, at most
-        ``dictionary_words`` of them."""
-        counts = docs.select(F.explode(self.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-        top = counts.where(~F.contains("word", F.lit("\x01"))).orderBy(F.desc("n"), "word").limit(self.dictionary_words).select("word")
-        return [tuple(r) for r in top.select("word", F.array_join(self.fold(F.col("word")).cast("array<string>"), ",").alias("ids"), F.xxhash64("word").alias("h")).toLocalIterator()]
-
-    def encoder(self, docs: DataFrame, text_col: str):
-        """A function of a text column that gives its ids as text: decimal, joined
-        by commas. docs are those that the dictionary is counted on."""
-        held = self.dictionary(docs, text_col)
+    def dictionary(self, docs: DataFrame, text_col: str) -> tuple[str, list[tuple[str, str, int]]]:
+        """The folder of frequent words with their ids as text, and of these the most
+        frequent ones."""
+        spark = docs.sparkSession
+        words = docs.select(F.explode(self.words(F.col(text_col))).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+        level = F.floor(F.log2("n") * 8).cast("int")  # at most 512 levels
+        path = shared_folder(spark, "words")
+        words.withColumn("level", level).write.parquet(path)
+        counted = spark.read.schema("word string, n long, level int").parquet(path)
+        sizes = sorted(((r.level, r["count"]) for r in counted.groupBy("level").count().collect()), reverse=True)
+
+        def least(bound: int) -> int:
+            """The level from which on there are at most bound words."""
+            total, low = 0, 1 << 30
+            for at, n in sizes:
+                total += n
+                if total > bound:
+                    break
+                low = at
+            return low
+
+        folder = shared_folder(spark, "folded")
+        folded = counted.where(F.col("level") >= least(self.held_words)).select("word", F.array_join(self.fold(F.col("word")).cast("array<string>"), ",").alias("ids"), F.xxhash64("word").alias("h"), "level")
+        folded.write.parquet(folder)
+        top = spark.read.schema(folded.schema).parquet(folder).where(F.col("level") >= least(self.dictionary_words)).where(~F.contains("word", F.lit("\x01")))
+        return folder, [tuple(r) for r in top.select("word", "ids", "h").toLocalIterator()]
+
+    def encode_text(self, docs: DataFrame, text_col: str = "text", out: str = "ids_text") -> DataFrame:
+        """docs with their ids as text: decimal, joined by commas. A null or empty
+        text has no ids: ''. Rows are independent of each other: repeated rows, extra
+        columns and ties stay as they are; an existing column named out is replaced."""
+        folder, held = self.dictionary(docs, text_col)
         by_hash = {h: (word, ids) for word, ids, h in held}
         bits = max(4, (len(held) * 21 // 10).bit_length())
         while True:
@@ -172,26 +233,32 @@ class ByteBpe:
         ids = literal_strings(["" if h is None else by_hash[h][1] for h in slots])
 
         def one(word: Column) -> Column:
+            """A word's ids, or the word itself after a sign that no ids have."""
+
             def probe(h: Column) -> Column:
                 x, y = h.bitwiseAND(mask).cast("int"), F.shiftright(h, 32).bitwiseAND(mask).cast("int")
-                return F.when(F.get(words, x) == word, F.get(ids, x)).when(F.get(words, y) == word, F.get(ids, y)).otherwise(F.array_join(self.fold(word).cast("array<string>"), ","))
+                return F.when(F.get(words, x) == word, F.get(ids, x)).when(F.get(words, y) == word, F.get(ids, y)).otherwise(F.concat(F.lit("="), word))
 
             return let(F.xxhash64(word), probe)
 
-        return lambda text: F.array_join(F.transform(self.words(F.coalesce(text, F.lit(""))), one), ",")
+        def finish(part: Column, found: Column) -> Column:
+            rest = F.substring(part, 2, 1 << 30)
+            return F.when(~F.startswith(part, F.lit("=")), part).when(found.isNotNull(), found).otherwise(F.array_join(self.fold(rest).cast("array<string>"), ","))
 
-    def encode_text(self, docs: DataFrame, text_col: str = "text", out: str = "ids_text") -> DataFrame:
-        """docs with their ids as text. A null or empty text has no ids: ''. Rows
-        are independent of each other: repeated rows, extra columns and ties stay
-        as they are; an existing column named out is replaced."""
-        return docs.withColumn(out, self.encoder(docs, text_col)(F.col(text_col)))
+        names = [c for c in docs.columns if c != out]
+        kept = [F.col(f"`{c}`") for c in names]
+        # The generators keep Catalyst from computing the encoding once for each use.
+        parts = docs.select(*kept, F.explode(F.array(F.transform(self.words(F.coalesce(F.col(text_col), F.lit(""))), one))).alias("_bpe_parts"))
+        asked = F.transform("_bpe_parts", lambda x: F.when(F.startswith(x, F.lit("=")), F.substring(x, 2, 1 << 30)))
+        parts = parts.select(*kept, "_bpe_parts", F.explode(F.array(asked)).alias("_bpe_asked"))
+        hashes = F.transform("_bpe_asked", lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
+        found = parts.select(*kept, "_bpe_parts", _finder(folder)(F.col("_bpe_asked"), hashes).alias("_bpe_found"))
+        return found.select(*kept, F.explode(F.array(F.array_join(F.zip_with("_bpe_parts", "_bpe_found", finish), ","))).alias(out))
 
     def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         """docs with an array<int> of ids."""
-        names = [c for c in docs.columns if c != out]
-        # The generator keeps Catalyst from computing the encoding once for each use.
-        held = docs.select(*names, F.explode(F.array(self.encoder(docs, text_col)(F.col(text_col)))).alias("_ids"))
-        return held.select(*names, parse_ids(F.col("_ids")).alias(out))
+        names = [F.col(f"`{c}`") for c in docs.columns if c != out]
+        return self.encode_text(docs, text_col, "_ids").select(*names, parse_ids(F.col("_ids")).alias(out))
 
     def decode(self, ids: Column) -> Column:
         """The bytes of an array of ids: their pieces, concatenated (as hexadecimal
@@ -211,9 +278,7 @@ def digest_query(spark: SparkSession, docs: DataFrame, ranks_path: str, pattern:
     """What is asked of op7: digests of ids and of the decoded bytes."""
     bpe = ByteBpe(ranks_path, pattern)
     encoded = bpe.encode_text(docs.select("doc_id", "text"))
-    # The generator keeps Catalyst from computing the encoding once for each use.
-    held = encoded.select("doc_id", F.explode(F.array("ids_text")).alias("ids_text"))
-    return held.select(
+    return encoded.select(
         "doc_id",
         count_ids(F.col("ids_text")).alias("n_tokens"),
         F.sha2(F.col("ids_text").cast("binary"), 256).alias("ids_sha256"),

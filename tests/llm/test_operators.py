@@ -186,10 +186,11 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(docs, []).count() == 0
 
 
-def test_byte_bpe(spark, odd):
+@pytest.mark.parametrize("bounds", [(1 << 15, 1 << 20), (0, 1 << 20), (0, 0)])
+def test_byte_bpe(spark, odd, bounds):
     import tiktoken
 
-    codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, dictionary_words=3)
+    codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, *bounds)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
     out = codec.encode(odd)
     rows = out.select("text", "ids", codec.decode(out["ids"]).alias("b")).collect()
