@@ -88,7 +88,7 @@ def _held(folder: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
 
 
 def _finder(folder: str):
-    """ids of the words in an array, null where a word is null or isn't held."""
+    """ids of the words in an array, null where a word isn't held."""
 
     @F.arrow_udf("array<string>")
     def find(words: pa.Array, hashes: pa.Array) -> pa.Array:
@@ -97,11 +97,9 @@ def _finder(folder: str):
         offsets = pa.array(np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int32))
         if not len(known):
             return pa.ListArray.from_arrays(offsets, pa.nulls(len(flat), pa.string()))
-        asked = flat.drop_null()
-        at = pa.array(np.minimum(np.searchsorted(known, hashes.flatten().drop_null().to_numpy()), len(known) - 1))
-        got = pc.if_else(pc.equal(spelt.take(at), asked), ids.take(at), pa.scalar(None, pa.string()))
-        valid = flat.is_valid().to_numpy(zero_copy_only=False)
-        return pa.ListArray.from_arrays(offsets, got.take(pa.array(np.cumsum(valid) - 1, mask=~valid)))
+        at = pa.array(np.minimum(np.searchsorted(known, hashes.flatten().to_numpy()), len(known) - 1))
+        got = pc.if_else(pc.equal(spelt.take(at), flat), ids.take(at), pa.scalar(None, pa.string()))
+        return pa.ListArray.from_arrays(offsets, got)
 
     return find
 
@@ -241,19 +239,21 @@ class ByteBpe:
 
             return let(F.xxhash64(word), probe)
 
-        def finish(part: Column, found: Column) -> Column:
-            rest = F.substring(part, 2, 1 << 30)
-            return F.when(~F.startswith(part, F.lit("=")), part).when(found.isNotNull(), found).otherwise(F.array_join(self.fold(rest).cast("array<string>"), ","))
+        def finish(rest: Column, found: Column) -> Column:
+            return F.coalesce(found, F.array_join(self.fold(rest).cast("array<string>"), ","))
 
         names = [c for c in docs.columns if c != out]
         kept = [F.col(f"`{c}`") for c in names]
         # The generators keep Catalyst from computing the encoding once for each use.
         parts = docs.select(*kept, F.explode(F.array(F.transform(self.words(F.coalesce(F.col(text_col), F.lit(""))), one))).alias("_bpe_parts"))
-        asked = F.transform("_bpe_parts", lambda x: F.when(F.startswith(x, F.lit("=")), F.substring(x, 2, 1 << 30)))
-        parts = parts.select(*kept, "_bpe_parts", F.explode(F.array(asked)).alias("_bpe_asked"))
-        hashes = F.transform("_bpe_asked", lambda x: F.when(x.isNotNull(), F.xxhash64(x)))
-        found = parts.select(*kept, "_bpe_parts", _finder(folder)(F.col("_bpe_asked"), hashes).alias("_bpe_found"))
-        return found.select(*kept, F.explode(F.array(F.array_join(F.zip_with("_bpe_parts", "_bpe_found", finish), ","))).alias(out))
+        # Only words that aren't in the dictionary go on by themselves; the ids between them are stretches of text.
+        other = F.transform(F.filter("_bpe_parts", lambda x: F.startswith(x, F.lit("="))), lambda x: F.substring(x, 2, 1 << 30))
+        ids_text = F.array_join(F.transform("_bpe_parts", lambda x: F.when(F.startswith(x, F.lit("=")), F.lit("=")).otherwise(x)), ",")
+        parts = parts.select(*kept, F.explode(F.array(F.struct(F.split(ids_text, "=", -1).alias("ids"), other.alias("other")))).alias("_bpe"))
+        hashes = F.transform("_bpe.other", lambda x: F.xxhash64(x))
+        found = parts.select(*kept, "_bpe", _finder(folder)(F.col("_bpe.other"), hashes).alias("_bpe_found"))
+        ends = F.concat(F.zip_with("_bpe.other", "_bpe_found", finish), F.array(F.lit("")))
+        return found.select(*kept, F.explode(F.array(F.array_join(F.zip_with("_bpe.ids", ends, lambda x, y: F.concat(x, y)), ""))).alias(out))
 
     def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         """docs with an array<int> of ids."""
