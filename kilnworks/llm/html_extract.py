@@ -6,13 +6,17 @@ host's different pages, as a share of the most it could be: of its contents (the
 right inside it) and of its presentation (the tags of its children), the larger
 counting; a branch is as important as its most important node. Branches of
 importance below ``least``, on at least ``pages_needed`` pages of the host, are
-removed from each page: they show the same everywhere. Exact copies of a page count
-once, so that a copied article doesn't look like a template.
+removed from each page: they show the same everywhere. Pages with the same blocks of
+text count once, whatever markup, menus and adverts stand around them, so that a
+copied article doesn't look like a template.
 
 Before that, branches that markup itself names as no article (scripts, styles, forms,
 navigation, headers, footers, asides; elements whose class, id or role says advert,
 menu, sidebar, notice, comments and the like) are not part of the tree, and on a page
-with an article or main element only what is inside it is.
+with an article or main element only what is inside it is. There the markup says what
+the article is, and the tree removes nothing: articles that are nearly the same would
+look like a template. On a page without either, a copied text between unnamed parts
+that change from page to page can't be told from a template.
 
 Counts per (host, path, content) are aggregations that combine before their shuffle;
 no host's pages meet in one task. A host that holds a third of all pages is a skewed
@@ -126,10 +130,11 @@ def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         rows = []
         for host, page in zip(frame["host"], frame["html"]):
-            same = xxhash.xxh3_64_intdigest((page or "").encode("utf-8", "surrogatepass")) >> 1
+            found = blocks(page)
+            same = xxhash.xxh3_64_intdigest("\0".join(f"{path}\0{text}" for path, text, _ in found).encode("utf-8", "surrogatepass")) >> 1
             shown: dict[str, list[str]] = {}
             inside: dict[str, list[str]] = {}
-            for path, text, _ in blocks(page):
+            for path, text, _ in found:
                 shown.setdefault(path, []).append(text)
                 steps = path.split("/")
                 for i in range(1, len(steps)):
@@ -165,7 +170,7 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                         return True
                 return False
 
-            texts.append("\n\n".join(t for p, t, _ in blocks(page) if not low or not gone(p)))
+            texts.append("\n\n".join(t for p, t, article in blocks(page) if article or not low or not gone(p)))
         out = frame.drop(columns=["html", "low", "high"])
         yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 

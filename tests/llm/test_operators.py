@@ -265,6 +265,19 @@ def test_html_extract(spark):
     assert html_extract.extract(pages.limit(0)).count() == 0
 
 
+def test_html_copies_under_other_adverts(spark):
+    page = '<html><body><div class="ad">Buy %s</div>%s</body></html>'
+    story = "<article><h1>News</h1><p>%s</p></article>"
+    near = '<main><div class="date">Day %s</div><div class="body"><p>%s</p></div></main>'
+    bare = '<div class="strip">Same strip</div><div class="story"><p>%s</p></div>'
+    texts = {"a": [story % "copied"] * 20 + [story % "one", story % "two"], "b": [near % (i, "copied") for i in range(20)] + [near % (20, "one")], "c": [bare % "copied"] * 20 + [bare % f"own {i}" for i in range(6)]}
+    rows = [(i, f"http://{host}/{i}", page % (i, t)) for host, all in texts.items() for i, t in enumerate(all)]
+    got = {r.url: r.text for r in html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert {got[f"http://a/{i}"] for i in range(20)} == {"News\n\ncopied"} and (got["http://a/20"], got["http://a/21"]) == ("News\n\none", "News\n\ntwo")
+    assert got["http://b/3"] == "Day 3\n\ncopied" and got["http://b/20"] == "Day 20\n\none"
+    assert got["http://c/0"] == "copied" and got["http://c/25"] == "own 5"  # the strip is a template still
+
+
 def test_html_is_the_article(spark):
     import html
     import re
