@@ -1,10 +1,10 @@
 r"""Main text of pages by a site style tree.
 
 Pages of one host are merged into a style tree: a node is an element's path of tags,
-classes and ids. Each node's importance is the entropy of what it shows over the
-host's different pages, as a share of the most it could be: of its contents (the text
-right inside it) and of its presentation (the tags of its children), the larger
-counting; a branch is as important as its most important node. Branches of
+classes and ids; record numbers in them (post-123) count as equal. Each node's
+importance is the entropy of what it shows over the host's different pages, as a
+share of the most it could be: of its contents (the text right inside it) and of its
+presentation (the tags of its children), the larger counting; a branch is as important as its most important node. Branches of
 importance below ``least``, on at least ``pages_needed`` pages of the host, are
 removed from each page: they show the same everywhere. Pages with the same blocks of
 text count once, whatever markup, menus and adverts stand around them, so that a
@@ -19,9 +19,11 @@ look like a template. On a page without either, a copied text between unnamed pa
 that change from page to page can't be told from a template.
 
 Counts per (host, path, content) are aggregations that combine before their shuffle;
-no host's pages meet in one task. A host that holds a third of all pages is a skewed
-key of the one join back, which adaptive execution splits; where the nodes to remove
-are few, as is usual, they are broadcast and pages aren't shuffled at all.
+no host's pages meet in one task, and which nodes stay is settled by joins on (host,
+path), so that only the nodes to remove travel with pages. A host that holds a third
+of all pages is a skewed key of the one join back, which adaptive execution splits;
+where the nodes to remove are few, as is usual, they are broadcast and pages aren't
+shuffled at all.
 
 Text: character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by a blank line. Nulls: a null html has the empty
@@ -43,6 +45,9 @@ from .common import written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[/!?a-zA-Z](?:[^'\"<>]|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^<>]*(?:>|$)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
+#: Numbers of records in classes and ids: pages of one template differ in them
+#: (post-123). Shorter ones are places in a layout (col-2), which stay apart.
+DIGITS = re.compile(r"\d{3,}")
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 #: Element names and words in class, id or role. Fixed values.
 DROPPED = set("script style noscript template nav footer aside form button select textarea input iframe object svg canvas dialog menu head title".split())
@@ -113,7 +118,7 @@ def blocks(page: str | None) -> list[tuple[str, str, bool]]:
         gone = name in DROPPED or (name == "header" and not article) or bool(said and name not in ("html", "body") and HINTS.search(said))
         if gone and not dropped:
             flush()
-        stack.append((name, name + ("." + ".".join(sorted(said.split())) if said else ""), gone))
+        stack.append((name, name + ("." + ".".join(sorted(DIGITS.sub("0", said).split())) if said else ""), gone))
         dropped += gone
         article += name in ("article", "main")
         if name in RAW:
@@ -155,23 +160,29 @@ def importance(pages: DataFrame) -> DataFrame:
     return by.groupBy("host", "path").agg(F.max("n").alias("pages"), F.max(share).alias("importance"))
 
 
+def removed(tree: DataFrame, least: float, pages_needed: int) -> DataFrame:
+    """(host, low): the nodes to remove. A branch is as important as its most
+    important node, so a node goes only if none inside it stays."""
+    tree = written(tree, "style-tree")
+    low = tree.where((F.col("importance") < least) & (F.col("pages") >= pages_needed)).select("host", "path")
+    steps = F.split("path", "/")
+    above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
+    stay = tree.where(F.col("importance") >= least).select("host", F.explode(above).alias("path")).distinct()
+    return low.join(stay, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_list("path").alias("low"))
+
+
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for frame in batches:
         texts = []
-        for page, low, high in zip(frame["html"], frame["low"], frame["high"]):
+        for page, low in zip(frame["html"], frame["low"]):
             low = set(low) if low is not None else set()
-            high = list(high) if high is not None else []
 
             def gone(path: str) -> bool:
                 steps = path.split("/")
-                for i in range(1, len(steps) + 1):
-                    node = "/".join(steps[:i])
-                    if node in low and not any(h == node or h.startswith(node + "/") for h in high):
-                        return True
-                return False
+                return any("/".join(steps[:i]) in low for i in range(1, len(steps) + 1))
 
             texts.append("\n\n".join(t for p, t, article in blocks(page) if article or not low or not gone(p)))
-        out = frame.drop(columns=["html", "low", "high"])
+        out = frame.drop(columns=["html", "low"])
         yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
 
@@ -179,16 +190,12 @@ def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 5, broadca
     """(page_id, url, text, n_chars) per page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]+)", 1)), F.lit("")))
-    tree = importance(p.select("host", "html"))
-    seen = tree.groupBy("host").agg(
-        F.collect_set(F.when((F.col("importance") < least) & (F.col("pages") >= pages_needed), F.col("path"))).alias("low"),
-        F.collect_set(F.when(F.col("importance") >= least, F.col("path"))).alias("high"),
-    )
+    seen = removed(importance(p.select("host", "html")), least, pages_needed)
     # Few nodes are removed, as a rule; beyond broadcast_nodes of them, pages are shuffled by host instead.
-    seen = written(seen.where(F.size("low") > 0), "style-nodes")
-    if (seen.agg(F.sum(F.size("low") + F.size("high"))).first()[0] or 0) <= broadcast_nodes:
+    seen = written(seen, "style-nodes")
+    if (seen.agg(F.sum(F.size("low"))).first()[0] or 0) <= broadcast_nodes:
         seen = F.broadcast(seen)
-    rows = p.join(seen, "host", "left").select("page_id", "url", "html", "low", "high")
+    rows = p.join(seen, "host", "left").select("page_id", "url", "html", "low")
     return rows.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
 
 

@@ -278,6 +278,16 @@ def test_html_copies_under_other_adverts(spark):
     assert got["http://c/0"] == "copied" and got["http://c/25"] == "own 5"  # the strip is a template still
 
 
+def test_html_record_numbers_in_ids(spark):
+    page = '<html><body><div id="post-%d"><div class="strip">Same strip</div><div class="story"><p>Own %d</p></div></div></body></html>'
+    rows = [(i, "http://a/", page % (i, i)) for i in range(1000, 1008)]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {r.page_id: r.text for r in got} == {i: f"Own {i}" for i in range(1000, 1008)}
+    tree = [("a", "b", 9, 0.0), ("a", "b/c", 9, 0.0), ("a", "b/d", 9, 0.0), ("a", "b/d/e", 1, 1.0)] + [("a", f"x/y{i}", 1, 1.0) for i in range(1000)]
+    nodes = html_extract.removed(spark.createDataFrame(tree, "host string, path string, pages long, importance double"), 0.2, 5)
+    assert [tuple(r) for r in nodes.collect()] == [("a", ["b/c"])]  # no path that stays comes along
+
+
 def test_html_is_the_article(spark):
     import html
     import re
