@@ -46,8 +46,8 @@ def _anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
     """(id, digest, p, fingerprint, r0, r1, ...): the selected fingerprints with the
     hashes of the runs of k + w - 1 units that cover them; the run of rj starts at
     p - j, null where that is no place. Equal runs select the same fingerprint at the
-    same place in them, so (fingerprint, j, rj) names a run and 32 bits of rj will do:
-    these rows are most of what is written and shuffled."""
+    same place in them. rj has 64 bits: a stock passage in N documents has N different
+    runs under one fingerprint, and a run whose name collides is deleted."""
     t = k + w - 1
 
     def at(array: Column, i: Column) -> Column:
@@ -65,7 +65,7 @@ def _anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
 
             return F.filter(F.transform(g, one), lambda x: x.isNotNull())
 
-        return let(over(g, w, F.hash), lambda runs: let(over(g, w, F.least), lambda low: chosen(runs, low)))
+        return let(over(g, w, F.xxhash64), lambda runs: let(over(g, w, F.least), lambda low: chosen(runs, low)))
 
     line = F.transform(units(F.col("text")), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
     anchors = let(line, lambda h: F.when(F.size(h) >= t, let(over(h, k, F.xxhash64), select)))

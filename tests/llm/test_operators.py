@@ -121,6 +121,12 @@ def test_line_dedup(spark, odd):
     assert line_dedup.dedup(odd.limit(0)).count() == 0
 
 
+def test_line_dedup_stock_passage(spark):
+    """Different runs around one passage of three units, whose fingerprint is low enough to be selected: none may pass for another."""
+    docs = spark.range(250_000).selectExpr("id AS doc_id", "concat('A', id, '. B', id, '. Stock 53. Stock text. Stock end. C', id, '. D', id, '.') AS text")
+    assert line_dedup.dedup(docs).where("n_deleted > 0").count() == 0
+
+
 def test_merkle(spark, odd):
     text = "\n".join(f"Paragraph {i} says something. And more of it." for i in range(40))
     edited = text.replace("Paragraph 20 says", "Paragraph 20 denies")
