@@ -13,13 +13,11 @@ from pyspark.sql import functions as F
 from kilnworks.llm import bpe, decontaminate, jaccard_join, line_dedup, toxicity
 from kilnworks.llm.common import table, written
 
-SEVERITY = 0.5
-
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose expected severity is below SEVERITY."""
+    """Documents whose expected severity is below the cut that the fit chose."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels").select("doc_id", F.col("toxic").alias("grade")))
-    return toxicity.score(docs, model).where(F.col("severity") < SEVERITY).select(*docs.columns)
+    return toxicity.score(docs, model).where(~toxicity.toxic(model)).select(*docs.columns)
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

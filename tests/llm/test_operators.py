@@ -176,6 +176,17 @@ def test_toxicity_held_out(spark):
     assert sum(r.p for r in rows if not r.grade) / len(rows) < 0.01
 
 
+def test_toxicity_cut_held_out(spark):
+    sf = "/root/testdata/sf0.1"
+    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").selectExpr("doc_id", "toxic AS grade")
+    model = toxicity.fit(docs, labels.where("doc_id % 4 <> 1"))
+    rows = toxicity.score(docs, model).join(labels.where("doc_id % 4 = 1"), "doc_id").select("grade", toxicity.toxic(model).alias("p")).collect()
+    caught, rejected = ([r.p for r in rows if (r.grade > 0) == t] for t in (True, False))
+    print(model.cut, sum(caught), len(caught), sum(rejected), len(rejected))
+    assert sum(caught) / len(caught) > 0.85
+    assert sum(rejected) / len(rejected) < 0.01
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert toxicity.fit(odd, none) == toxicity.Ordinal()
