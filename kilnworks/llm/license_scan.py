@@ -1,14 +1,18 @@
 """License scans with DataFrame functions only.
 
 Texts and templates become five-word shingles, as hashes. Every template has windows
-of c consecutive shingles, c the largest power of two up to its size and ``most``;
-texts have overlapping windows of the same sizes, c / 2 apart. Each window has
-``bands`` MinHash values, one per band: two windows of Jaccard similarity s share a
-band with probability 1 - (1 - s) ** bands, 0.998 at s = 0.8 with four bands, 1 for
-equal windows. Shared bands retrieve templates, and around each the exact share of
-the template's shingles inside a span of 1.25 times its size is taken; 0.8 or more is
-a match. A text without any template shingle can't match, so its windows are not
-hashed.
+of c consecutive shingles, and texts have windows of the same sizes at every place
+that holds a template shingle. Each window has ``bands`` MinHash values, one per band;
+shared bands retrieve templates, and around each the exact share of the template's
+shingles inside a span of 1.25 times its size is taken; 0.8 or more is a match.
+
+c is two: a match has at least 0.8 n of a template's n shingles in 1.25 n places, so
+other places, 0.45 n at most, can't part them all, and two of the template's shingles
+stand side by side. They are two that follow each other in the template if no four
+words in a row come twice in it; where some do (or c = 1 is all there is), c is one.
+So equal windows, which share all bands, retrieve every match, wherever it stands and
+however it is edited. A text without any template shingle can't match, so its
+windows are not hashed.
 
 Templates are a parameter; their bands are broadcast, as the list (``most_templates``
 at most, else an error) bounds them. Texts aren't shuffled, only matches are.
@@ -55,8 +59,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, bands: i
     if len(templates) > most_templates:
         raise ValueError("too many templates to broadcast")
     spark = docs.sparkSession
-    t = spark.createDataFrame(templates, "license string, t string").select("license", shingles(F.col("t")).alias("ts")).where(F.size("ts") > 0)
-    t = t.withColumn("ts", F.array_distinct("ts")).withColumn("c", F.least(F.lit(most), F.pow(2, F.floor(F.log2(F.size("ts")))).cast("int")))
+    t = spark.createDataFrame(templates, "license string, t string")
+    fours = let(words(F.col("t")), lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 3, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, 4), " ")))
+    t = t.select("license", shingles(F.col("t")).alias("ts"), fours.alias("fours")).where(F.size("ts") > 0)
+    once = F.size(F.array_distinct("fours")) == F.size("fours")
+    t = t.withColumn("ts", F.array_distinct("ts")).withColumn("c", F.least(F.lit(most), F.when(once, F.least(F.lit(2), F.size("ts"))).otherwise(1))).drop("fours")
     known = [tuple(r) for r in t.select("license", "ts", "c").collect()]  # the caller's list
     sizes = sorted({c for _, _, c in known})
     every = F.array(*[F.lit(x) for x in sorted({x for _, ts, _ in known for x in ts})])
@@ -67,13 +74,13 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, bands: i
         held = w if held is None else held.union(w)
     if held is None:
         return docs.select("doc_id", F.lit("").alias("license"), F.lit(0.0).alias("containment")).limit(0)
-    # The generator keeps Catalyst from computing the shingles once for each use.
+    # The generators keep Catalyst from computing the shingles once for each use.
     d = docs.select("doc_id", F.explode(F.array(shingles(F.col("text")))).alias("s")).where(F.arrays_overlap("s", every))
+    d = d.select("doc_id", "s", F.explode(F.array(F.array_intersect("s", every))).alias("hits"))
+    places = F.filter(F.transform("s", lambda x, i: F.when(F.array_contains("hits", x), i)), lambda i: i.isNotNull())
 
     def windows(c: int) -> Column:
-        step = max(1, c // 2)
-        last = F.greatest(F.ceil((F.size("s") - c) / step), F.lit(0)).cast("int")  # the last window may be short
-        return F.flatten(F.transform(F.sequence(F.lit(0), last), lambda i: F.transform(_bands(F.slice("s", i * step + 1, F.lit(c)), c, bands), lambda k: F.struct((i * step).alias("p"), k.alias("key")))))
+        return F.flatten(F.transform(places, lambda i: F.transform(_bands(F.slice("s", i + 1, F.lit(c)), c, bands), lambda k: F.struct(i.alias("p"), k.alias("key")))))
 
     found = d.select("doc_id", "s", F.explode(F.concat(*[windows(c) for c in sizes])).alias("w")).join(F.broadcast(held.withColumnRenamed("key", "k")), F.col("w.key") == F.col("k"))
     n = F.size("ts")

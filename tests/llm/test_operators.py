@@ -203,6 +203,39 @@ def test_license_scan(spark, odd):
     assert license_scan.scan(odd).count() == 0 and license_scan.scan(docs, []).count() == 0
 
 
+def test_license_scan_brute_force(spark):
+    """Whole and edited notices at every offset, against all spans."""
+    templates = license_scan.TEMPLATES + [("long", " ".join(f"term{i}" for i in range(63))), ("again", "as is and with all faults " * 3 + "as is")]
+    cut = lambda t: (lambda w: [tuple(w[i : i + 5]) for i in range(len(w) - 4)])("".join(c if c.isalnum() else " " for c in t.lower()).split())
+    random.seed(4)
+    rows = []
+    for _, t in templates:
+        w = t.split()
+        for k in range(24):
+            rows.append(" ".join([f"x{len(rows)}y{i}" for i in range(k)] + w + [f"z{len(rows)}y{i}" for i in range(9)]))
+        for k in range(60):
+            e = list(w)
+            for _ in range(1 + k % 3):
+                i = random.choice([random.randrange(len(e)), random.randrange(4), len(e) - 1 - random.randrange(4)])
+                e[i : i + 1] = random.choice([["other"], [], [e[i], "more"]])
+            rows.append(" ".join([f"x{len(rows)}y{i}" for i in range(k)] + e))
+    for _, t in license_scan.TEMPLATES:
+        rows += [f"a{len(rows)}b c{len(rows)}d e{i} f{i} g{i} {t} h{i} k{i} l{i} m{i}" for i in range(60)]
+    want = {}
+    for name, t in templates:
+        ts = set(cut(t))
+        span = len(ts) + len(ts) // 4
+        for d, text in enumerate(rows):
+            s = cut(text)
+            share = max((len(ts & set(s[i : i + span])) / len(ts) for i, x in enumerate(s) if x in ts), default=0)
+            if share >= 0.8:
+                want[d, name] = round(share, 6)
+    docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    for bands in (4, 1):  # no match depends on the number of bands
+        got = license_scan.scan(docs, templates, bands).collect()
+        assert {(r.doc_id, r.license): round(r.containment, 6) for r in got} == want
+
+
 @pytest.mark.parametrize("bounds", [(1 << 15, 1 << 20), (0, 1 << 20), (0, 0)])
 def test_byte_bpe(spark, odd, bounds):
     import tiktoken
