@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
+import math
+import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -28,23 +32,57 @@ def partitions(spark: SparkSession) -> int:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder's path below the one that the cluster names in
-    ``spark.checkpoint.dir``, which the driver and all executors see. Only where
-    that is unset (local tests) does the session get a folder of its own."""
+    ``spark.checkpoint.dir``, which the driver and all executors see. A session on
+    one machine (local tests) that has none gets a folder of its own until it ends;
+    on a cluster that is an error, because executors don't see each other's disks."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='kilnworks-')}"
+        master = spark.sparkContext.master
+        if master != "local" and not master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+        own = tempfile.mkdtemp(prefix="kilnworks-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        base = f"file://{own}"
         spark.conf.set("spark.checkpoint.dir", base)
     if "://" not in base and not base.startswith("file:"):
         base = f"file://{base}"
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+_WRITTEN: set[str] = set()
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: work that
-    several later steps use is done once, and a lost executor loses none of it."""
+    several later steps use is done once, and a lost executor loses none of it. The
+    table goes when it is discarded, or when the process ends."""
     path = shared_folder(df.sparkSession, name)
+    _WRITTEN.add(path)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def discard(*tables: DataFrame) -> None:
+    """Deletes written tables that nothing will read again: not even a lost task of
+    what is still to run, whose inputs are written tables of their own."""
+    for t in tables:
+        _delete(t.written_to)
+
+
+def _delete(path: str) -> None:
+    _WRITTEN.discard(path)
+    fs, root = store(path)
+    with contextlib.suppress(FileNotFoundError):
+        fs.delete_dir(root)
+
+
+@atexit.register
+def _delete_rest() -> None:
+    for path in list(_WRITTEN):
+        with contextlib.suppress(Exception):  # the process ends; a store may be gone already
+            _delete(path)
 
 
 def store(uri: str) -> tuple[pyarrow.fs.FileSystem, str]:
@@ -116,20 +154,46 @@ def runs(batches: Iterator, keys: list[str]) -> Iterator[list]:
 
 
 class RangeBuckets:
-    """Deals rows into consecutive ranges of an ordering column. The bounds are
-    ``n - 1`` quantiles; n is the caller's number of partitions, so that what comes
-    to the driver doesn't grow with the rows. Nulls go last."""
-
-    def __init__(self, df: DataFrame, column: str, n: int, ascending: bool = True):
-        cuts = df.select(column).where(F.col(column).isNotNull()).stat.approxQuantile(column, [i / n for i in range(1, n)], 0.25 / n) if n > 1 else []
-        self.cuts, self.column, self.ascending = sorted({int(x) for x in cuts}), column, ascending
-        self.n = len(self.cuts) + 1
-
-    def bucket(self) -> Column:
-        """0 .. n-1 in the order asked for."""
-        x = F.col(self.column)
+    """Deals rows into n consecutive ranges of an ordering column, n being the
+    caller's number of partitions. Bounds are quantiles; with a weight (bytes), fine
+    quantiles are merged so that ranges weigh alike. At most 16 n numbers come to the
+    driver, however many rows there are. Nulls follow in n ranges of their own, by
+    their hash ``z``, so that many rows without an id don't meet in one task."""
+
+    FINE = 16
+
+    def __init__(self, df: DataFrame, column: str, n: int, ascending: bool = True, weight: Column | None = None):
+        self.column, self.n, self.ascending = column, n, ascending
+        parts = n * self.FINE if weight is not None else n
+        known = df.where(F.col(column).isNotNull())
+        cuts = known.stat.approxQuantile(column, [i / parts for i in range(1, parts)], 0.25 / parts) if parts > 1 else []
+        self.cuts = sorted({int(x) for x in cuts})
+        if weight is not None and self.cuts:
+            sums = dict(known.groupBy(self._above().alias("k")).agg(F.sum(weight).alias("w")).collect())
+            total, held, kept = sum(w or 0 for w in sums.values()), 0, []
+            for k, cut in enumerate(self.cuts):
+                held += sums.get(k) or 0
+                if held >= total / n:
+                    kept.append(cut)
+                    held = 0
+            self.cuts = kept[: n - 1]
+
+    def _above(self) -> Column:
+        """How many cuts lie below the column's value: a search in two steps."""
+        x, m = F.col(self.column), math.isqrt(len(self.cuts)) + 1
         if not self.cuts:
             return F.lit(0)
-        at = let(literal_longs(self.cuts), lambda c: F.aggregate(c, F.lit(0), lambda k, cut: k + (cut < x).cast("int")))
-        at = at if self.ascending else F.lit(self.n - 1) - at
-        return F.when(x.isNull(), F.lit(self.n - 1)).otherwise(at)
+        below = lambda a: F.size(F.filter(a, lambda cut: cut < x))
+        at = let(below(literal_longs(self.cuts[m - 1 :: m])) if len(self.cuts) >= m else F.lit(0), lambda k: k * m + below(F.slice(literal_longs(self.cuts), k * m + 1, F.lit(m))))
+        return at.cast("int")
+
+    def bucket(self, z: Column) -> Column:
+        """0 .. n - 1 in the order asked for, n .. 2 n - 1 for nulls."""
+        at = self._above() if self.ascending else F.lit(len(self.cuts)) - self._above()
+        part = F.shiftright((F.shiftright(z, 32) + (1 << 31)) * self.n, 32).cast("int")
+        part = part if self.ascending else F.lit(self.n - 1) - part
+        return F.when(F.col(self.column).isNull(), part + self.n).otherwise(at)
+
+    def dealt(self, df: DataFrame, bucket: str) -> DataFrame:
+        """df with each range whole in one partition; ranges are spread evenly."""
+        return df.repartitionById(self.n, F.pmod(F.col(bucket), F.lit(self.n)).cast("int"))

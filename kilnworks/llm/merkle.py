@@ -14,11 +14,13 @@ texts. Likeness is the share of text below branches that both trees have:
 alike.
 
 Documents meet their neighbours in descending doc_id order by streaming over ranges
-of doc_id: bounds are quantiles, each range also gets the first document of the range
-after it, so no window spans the table and each text is shuffled once.
+of doc_id: bounds are quantiles of equal bytes, each range also gets the first document
+of the range after it, so no window spans the table and each text is shuffled once.
 
-Nulls: a null text is ''. A null doc_id comes last in the order. Rows with one doc_id
-follow each other in the order of their texts' hashes. Extra columns are ignored.
+Nulls: a null text is ''. A null doc_id comes last in the order. Rows with one doc_id,
+or none, follow each other in descending order of their texts' hashes (64 bits);
+repeated rows are neighbours of each other. The last document has the first as its
+next one. Extra columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -29,7 +31,7 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import RangeBuckets, partitions
@@ -38,8 +40,12 @@ PIECE = 256
 CUT = re.compile(r"(?:[^.!?]{1,%d}?(?:[.!?]+(?:\s+|$))|.{1,%d})" % (PIECE, PIECE), re.S)
 
 
+#: Hexadecimal digits of a hash: 128 bits, so that unequal texts have unequal roots at any size.
+DIGITS = 32
+
+
 def _hash(data: bytes) -> str:
-    return hashlib.blake2b(data, digest_size=8).hexdigest()
+    return hashlib.blake2b(data, digest_size=DIGITS // 2).hexdigest()
 
 
 def tree(text: str | None) -> list:
@@ -153,7 +159,7 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 half = len(old) // 2
                 edited = old[: len(old) - half] + text[:half]
                 et, es = made(edited)
-                root = lambda x: x[:16]
+                root = lambda x: x[:DIGITS]
                 rows.append((last, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), os, es, tree_likeness(root(os), ot, root(es), et), tree_likeness(root(os), ot, root(s), t)))
             held = None if ahead else (bucket, doc_id, text, t, s)
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
@@ -162,20 +168,21 @@ def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def neighbours(docs: DataFrame) -> DataFrame:
     """Each document's fingerprint, its edited text's, and their likeness."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    n = partitions(docs.sparkSession)
-    ranges = RangeBuckets(docs, "doc_id", n, ascending=False)
-    placed = docs.withColumn("bucket", ranges.bucket()).withColumn("z", F.xxhash64("text"))
-    order = F.struct(F.coalesce(F.col("doc_id"), F.lit(-(1 << 63))).alias("i"), "z")
-    heads = placed.groupBy("bucket").agg(F.max(order).alias("head")).orderBy("bucket").collect()  # n rows at most
-    if not heads:
-        heads = []
-    before = {h["bucket"]: heads[i - 1]["bucket"] for i, h in enumerate(heads)}
-    extra = F.lit(None).cast("int")
-    for h in heads:
-        extra = F.when((order["i"] == h["head"]["i"]) & (order["z"] == h["head"]["z"]), F.lit(before[h["bucket"]])).otherwise(extra)
-    both = F.when(extra.isNull(), F.array(F.struct(F.col("bucket").cast("int").alias("b"), F.lit(False).alias("a")))).otherwise(F.array(F.struct(F.col("bucket").cast("int").alias("b"), F.lit(False).alias("a")), F.struct(extra.alias("b"), F.lit(True).alias("a"))))
-    dealt = placed.withColumn("at", F.explode(both)).select(F.col("at.b").alias("bucket"), F.col("at.a").alias("ahead"), "doc_id", "text", "z")
-    dealt = dealt.repartition(n, "bucket").sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), F.desc("z"))
+    ranges = RangeBuckets(docs, "doc_id", partitions(docs.sparkSession), ascending=False, weight=F.octet_length("text"))
+    placed = docs.withColumn("z", F.xxhash64("text"))
+    placed = placed.withColumn("bucket", ranges.bucket(F.col("z")))
+    # The first document of each range also goes to the range before it. Heads are 2 n
+    # rows at most, n being the number of partitions, which bounds window and broadcast.
+    first = F.struct(F.coalesce("doc_id", F.lit(-(1 << 63))).alias("i"), "z")
+    heads = placed.groupBy("bucket").agg(F.max(first).alias("head"))
+    every = Window.orderBy("bucket")
+    around = every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    heads = heads.select("head", F.coalesce(F.lag("bucket").over(every), F.last("bucket").over(around)).alias("before"))
+    own, ahead = F.struct(F.col("bucket").alias("b"), F.lit(False).alias("a")), F.struct(F.col("before").alias("b"), F.lit(True).alias("a"))
+    places = F.when(F.col("before").isNull(), F.array(own)).otherwise(F.array(own, ahead))
+    dealt = placed.join(F.broadcast(heads), first == F.col("head"), "left").withColumn("at", F.explode(places))
+    dealt = ranges.dealt(dealt.select(F.col("at.b").alias("bucket"), F.col("at.a").alias("ahead"), "doc_id", "text", "z"), "bucket")
+    dealt = dealt.sortWithinPartitions("bucket", "ahead", F.desc_nulls_last("doc_id"), F.desc("z"))
     return dealt.select("bucket", "ahead", "doc_id", "text").mapInPandas(_compare, "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 

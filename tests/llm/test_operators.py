@@ -133,13 +133,36 @@ def test_merkle(spark, odd):
     a, b = merkle.to_string(merkle.tree(text)), merkle.to_string(merkle.tree(edited))
     assert merkle.likeness(a, a) == 1 and 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.to_string(merkle.tree("zz"))) == 0
     one, other = merkle.differing(a, b)
-    assert len(one) == len(other) == 1 and a[:16] != b[:16]
+    assert len(one) == len(other) == 1 and a[: merkle.DIGITS] != b[: merkle.DIGITS]
     assert "".join(merkle.CUT.findall("x" * 999 + ". no end\n")) == "x" * 999 + ". no end\n"
-    got = merkle.neighbours(odd).collect()
-    assert len(got) == odd.count()
+    check_neighbours(spark, odd)
     assert merkle.neighbours(odd.limit(0)).count() == 0
 
 
+def check_neighbours(spark, docs):
+    """Against a plain walk in the documented order."""
+    rows = [(r.doc_id, r.text or "", r.z) for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS z").collect()]
+    rows.sort(key=lambda r: (r[0] is not None, r[0] or 0, r[2]), reverse=True)
+    want = []
+    for k, (i, t, _) in enumerate(rows):
+        n = rows[(k + 1) % len(rows)][1]
+        e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
+        prints = [merkle.to_string(merkle.tree(x)) for x in (t, e, n)]
+        want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), *prints[:2], merkle.likeness(prints[0], prints[1]), merkle.likeness(prints[0], prints[2])))
+    assert sorted(map(str, (tuple(r) for r in merkle.neighbours(docs).collect()))) == sorted(map(str, want))
+
+
+@pytest.mark.parametrize("n", [1, 3, 2000])
+def test_merkle_partitions(spark, odd, n):
+    spark.conf.set("spark.sql.shuffle.partitions", n)
+    try:
+        none = [(None, f"text {i} without id") for i in range(30)]
+        docs = odd.select("doc_id", "text").union(spark.createDataFrame(none + [(9 + i, f"Text {i}. " * i) for i in range(300)], "doc_id long, text string"))
+        check_neighbours(spark, docs.coalesce(2))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", 4)
+
+
 def test_merkle_query_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").orderBy("doc_id", ascending=False).collect()]
     got = {r.doc_id: r for r in queries.op4_merkle(spark, SMALL).collect()}
