@@ -1,22 +1,33 @@
 """Token files compressed by Re-Pair grammars.
 
-Documents are dealt into consecutive ranges of doc_id (bounds are quantiles), each
-range is one shard, encoded and written by one task in ascending doc_id order. A
-shard's ids are compressed by Re-Pair: in each of ``rounds`` rounds the most frequent
-pairs of neighbouring ids, none of which shares an id with another, are replaced by
-new nonterminals. Pairs never cross the end of a document, so each one decodes alone.
-
-File: b"KWRP", version, counts, then little-endian arrays: rules (left, right),
-expansion length of every rule, documents' doc_ids, first symbols and id counts, and
-the symbols, 32 bits each. A random id of a document is found by skipping symbols by
-their expansion lengths; only what covers it is expanded.
-
-A shard's place among all ids is the sum of the shards before it, taken over the
-index of shards, which has a row per task. Lost attempts leave files that the index
-doesn't name.
+Documents are dealt into consecutive ranges of doc_id (bounds are quantiles of equal
+bytes), each range is encoded and written by one task in ascending doc_id order, in
+shards of about ``shard_tokens`` ids. A shard's ids are compressed by Re-Pair, in
+rounds: every pair of neighbouring symbols that is at least as frequent as the two
+pairs it overlaps with gives way to a nonterminal, until no pair is left that occurs
+``least`` times, from where on a rule takes more room than it saves. In a run of equal
+symbols pairs are taken from the left. Pairs never cross the end of a document, so
+each one decodes alone.
+
+File: b"KWRP", version, counts, then little-endian arrays: rules (left, right) and
+expansion length of every rule, 32 bits each; documents' doc_ids, first symbols and id
+counts, 64 bits each; the symbols, 24 bits each. Random access reads by byte range: the
+header and the rules once, then a document's offsets and its own symbols. A single id
+is found by skipping symbols by their expansion lengths; only what covers it is
+expanded.
+
+A shard's place among all ids is the sum of the shards before it: sums of ranges (two
+per partition at most), and within a range a window over its shards. Lost attempts
+leave files that the index doesn't name.
+
+Texts are encoded as the library does it without adding special tokens: a special
+token's string in a text is its id. Words are cut by the tokenizer's own pattern, and
+each one is encoded once per worker and remembered; texts with special tokens' strings
+or characters beyond ``PLAIN`` go to the library whole.
 
 Nulls: a null text is empty and has the end id only. Rows without doc_id come last;
-rows that share a doc_id keep the order of their texts' hashes.
+rows that share a doc_id, or have none, keep the order of their texts' hashes. Repeated
+rows are written each. Extra columns are ignored; an empty table gives no files.
 """
 
 from __future__ import annotations
@@ -27,7 +38,7 @@ import struct
 import uuid
 import zlib
 from array import array
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -36,25 +47,44 @@ from pyspark.sql import functions as F
 
 from .common import RangeBuckets, partitions, shared_folder, store, written
 
-MAGIC, VERSION = b"KWRP", 1
-#: Texts with other characters are split by the library itself.
-PLAIN = re.compile("[^\x00-ɏͰ-ͷΑ-Ωα-ωА-я‐-‧€]")
+MAGIC, VERSION = b"KWRP", 2
+HEADER = "<4sIIIQQ"
+#: Ranges of characters in which words are cut here: Latin, Greek, Cyrillic, punctuation.
+SPANS = [(0x00, 0x1B), (0x20, 0x24F), (0x370, 0x377), (0x391, 0x3C9), (0x410, 0x44F), (0x2010, 0x2027), (0x20AC, 0x20AC)]
+PLAIN = re.compile("[^" + "".join(f"\\u{a:04x}-\\u{b:04x}" for a, b in SPANS) + "]")
+
+
+def plain_pattern(pattern: str) -> str:
+    r"""The pattern with \p{L} and \p{N} spelt out over SPANS, for Python's own re."""
+    import regex
+
+    every = "".join(chr(c) for a, b in SPANS for c in range(a, b + 1))
+    out, inside, at = [], False, 0
+    while at < len(pattern):
+        piece = pattern[at : at + (5 if pattern.startswith((r"\p{L}", r"\p{N}"), at) else 2 if pattern[at] == "\\" else 1)]
+        at += len(piece)
+        if len(piece) == 5:
+            members = "".join(re.escape(c) for c in regex.findall(piece, every))
+            piece = members if inside else f"[{members}]"
+        elif piece in "[]":
+            inside = piece == "["
+        out.append(piece)
+    return "".join(out)
 
 
 class Encoder:
-    """ids of texts by the tokenizers library. A text is split by the tokenizer's own
-    pattern, and words are encoded once and remembered, up to a bound."""
+    """ids of texts by the tokenizers library; remembers words up to a bound."""
 
     def __init__(self, path: str, pattern: str, bound: int = 1_000_000):
-        import regex
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True
-        self.find, self.known, self.bound = regex.compile(pattern).findall, {}, bound
+        added = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(map(re.escape, added)) if added else "(?!)")
+        self.find, self.known, self.bound = re.compile(plain_pattern(pattern)).findall, {}, bound
 
     def __call__(self, text: str) -> np.ndarray:
-        if PLAIN.search(text):
+        if PLAIN.search(text) or self.special.search(text):
             return np.array(self.library.encode(text, add_special_tokens=False).ids, np.int32)
         words, known = self.find(text), self.known
         if len(known) > self.bound:
@@ -78,112 +108,109 @@ def encoder(path: str, pattern: str) -> Encoder:
     return _ENCODERS[path, pattern]
 
 
-def repair(ids: np.ndarray, stops: np.ndarray, first: int, rounds: int = 6, per_round: int = 256, least: int = 64) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def repair(ids: np.ndarray, stops: np.ndarray, first: int, least: int = 5) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(symbols, starts, rules): ids with frequent pairs replaced; stops are the
     documents' ends in ids, starts their first symbols; rule i is symbol first + i."""
-    rules: list[tuple[int, int]] = []
+    rules = [np.zeros((0, 2), np.int32)]
+    n_rules = 0
     last = np.zeros(len(ids), bool)
     last[stops - 1] = True
     x = ids.astype(np.int32)
-    for _ in range(rounds):
-        if len(x) < 2:
-            break
+    while len(x) > 1:
         keys = x[:-1].astype(np.int64) << 32 | x[1:]
-        keys[last[:-1]] = -1
-        slot = ((keys ^ keys >> 27) * 2654435761 >> 12) & 0xFFFFF
-        counts = np.bincount(slot, minlength=1 << 20)
-        heavy = np.flatnonzero(counts >= least)
-        if len(heavy) > 4 * per_round:
-            heavy = heavy[np.argpartition(counts[heavy], -4 * per_round)[-4 * per_round :]]
-        flag = np.zeros(1 << 20, bool)
-        flag[heavy] = True
-        at = np.flatnonzero(flag[slot] & (keys >= 0))
-        pairs, n = np.unique(keys[at], return_counts=True)
-        order = np.argsort(-n, kind="stable")
-        used_left, used_right, chosen = set(), set(), []
-        for i in order:
-            if n[i] < least or len(chosen) == per_round:
-                break
-            a, b = int(pairs[i]) >> 32, int(pairs[i]) & 0xFFFFFFFF
-            if a in used_right or b in used_left or a == b:
-                continue  # so that no two chosen pairs overlap in the text
-            used_left.add(a)
-            used_right.add(b)
-            chosen.append(int(pairs[i]))
-        if not chosen:
+        inside = np.flatnonzero(~last[:-1])
+        codes, pairs = pd.factorize(keys[inside])
+        times = np.bincount(codes, minlength=len(pairs))
+        # A pair's rank: by frequency, then by the pair itself, so that equal pairs only tie with themselves.
+        rank = np.full(len(keys), -1, np.int64)
+        rank[inside] = np.where(times >= least, times << 32 | np.arange(len(pairs)), -1)[codes]
+        before, after = np.r_[-1, rank[:-1]], np.r_[rank[1:], -1]
+        best = (rank >= 0) & (rank >= before) & (rank >= after)
+        at = np.flatnonzero(best)
+        # Neighbours that are both best are one pair in a run of equal symbols: every second one, from the left.
+        fresh = np.r_[True, np.diff(at) != 1]
+        place = np.arange(len(at))
+        at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
+        code = rank[at] & 0xFFFFFFFF
+        used = np.bincount(code, minlength=len(pairs))
+        at = at[used[code] >= least]
+        if not len(at):
             break
-        chosen = np.sort(np.array(chosen, np.int64))
-        where = np.searchsorted(chosen, keys[at])
-        hit = chosen[np.minimum(where, len(chosen) - 1)] == keys[at]
-        at, where = at[hit], where[hit]
-        x[at] = first + len(rules) + where
+        chosen, which = np.unique(keys[at], return_inverse=True)
+        x[at] = first + n_rules + which
+        last[at] = last[at + 1]
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
-        last[at] = last[at + 1]
         x, last = x[keep], last[keep]
-        rules += [(int(p) >> 32, int(p) & 0xFFFFFFFF) for p in chosen]
+        rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1).astype(np.int32))
+        n_rules += len(chosen)
     ends = np.flatnonzero(last) + 1
-    return x, np.r_[0, ends[:-1]].astype(np.int64), np.array(rules, np.int32).reshape(-1, 2)
+    return x, np.r_[0, ends[:-1]].astype(np.int64), np.concatenate(rules)
 
 
 def expansion_lengths(rules: np.ndarray, first: int) -> np.ndarray:
-    out = np.zeros(len(rules), np.int32)
-    for i, (a, b) in enumerate(rules.tolist()):
-        out[i] = sum(1 if s < first else int(out[s - first]) for s in (a, b))
-    return out
+    """Rules only name rules before them."""
+    out: list[int] = []
+    for a, b in rules.tolist():
+        out.append((1 if a < first else out[a - first]) + (1 if b < first else out[b - first]))
+    return np.array(out, np.int32)
 
 
 class Shard:
-    """A file, read for random access."""
+    """A file's documents; read(offset, length) gives bytes of it."""
 
-    def __init__(self, data: bytes):
-        magic, version, self.first, n_rules, n_docs, n_symbols = struct.unpack_from("<4sIIIQQ", data)
+    def __init__(self, read: Callable[[int, int], bytes]):
+        self.read = read
+        magic, version, self.first, n_rules, self.n_docs, self.n_symbols = struct.unpack(HEADER, read(0, struct.calcsize(HEADER)))
         if magic != MAGIC or version != VERSION:
             raise ValueError("not a token file")
-        at = struct.calcsize("<4sIIIQQ")
-        parts = []
-        for n, kind in ((2 * n_rules, "<i4"), (n_rules, "<i4"), (n_docs, "<i8"), (n_docs, "<i8"), (n_docs, "<i8"), (n_symbols, "<i4")):
-            parts.append(np.frombuffer(data, kind, n, at))
-            at += parts[-1].nbytes
-        self.rules, self.lengths, self.doc_ids, self.starts, self.counts, self.symbols = parts[0].reshape(-1, 2), *parts[1:]
-        self.whole = self._expansions()
-
-    def _expansions(self) -> tuple[np.ndarray, np.ndarray]:
-        """All rules' expansions in one array, and where each begins."""
-        begin = np.r_[0, np.cumsum(self.lengths.astype(np.int64))]
-        flat = np.zeros(begin[-1], np.int32)
-        for i, (a, b) in enumerate(self.rules.tolist()):
-            at = begin[i]
-            for s in (a, b):
-                if s < self.first:
-                    flat[at] = s
-                    at += 1
-                else:
-                    n = self.lengths[s - self.first]
-                    flat[at : at + n] = flat[begin[s - self.first] : begin[s - self.first] + n]
-                    at += n
-        return flat, begin
+        self.at, at = {}, struct.calcsize(HEADER)
+        for name, size in (("rules", 8 * n_rules), ("lengths", 4 * n_rules), ("doc_ids", 8 * self.n_docs), ("starts", 8 * self.n_docs), ("counts", 8 * self.n_docs), ("symbols", 3 * self.n_symbols)):
+            self.at[name] = at
+            at += size
+        grammar = read(self.at["rules"], 12 * n_rules)
+        self.rules = np.frombuffer(grammar, "<i4", 2 * n_rules).reshape(-1, 2)
+        self.lengths = np.frombuffer(grammar, "<i4", n_rules, 8 * n_rules)
+
+    def _longs(self, name: str, i: int, n: int) -> np.ndarray:
+        return np.frombuffer(self.read(self.at[name] + 8 * i, 8 * n), "<i8")
+
+    def _symbols(self, start: int, end: int) -> np.ndarray:
+        data = np.frombuffer(self.read(self.at["symbols"] + 3 * start, 3 * (end - start)), np.uint8).reshape(-1, 3).astype(np.int32)
+        return data[:, 0] | data[:, 1] << 8 | data[:, 2] << 16
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        flat, begin = self.whole
-        rule = symbols >= self.first
-        n = np.ones(len(symbols), np.int64)
-        n[rule] = self.lengths[symbols[rule] - self.first]
-        source = np.zeros(len(symbols), np.int64)
-        source[rule] = begin[symbols[rule] - self.first] + self.first
-        source[~rule] = symbols[~rule]
-        where = np.repeat(source - np.r_[0, np.cumsum(n)[:-1]], n) + np.arange(n.sum())
-        return np.where(where < self.first, where, flat[np.maximum(where - self.first, 0)]).astype(np.int32) if len(flat) else where.astype(np.int32)
+        """Rule by rule, all at once: as many steps as the grammar is deep."""
+        while (rule := symbols >= self.first).any():
+            n = 1 + rule
+            out = np.repeat(symbols, n)
+            at = (np.cumsum(n) - n)[rule]
+            sides = self.rules[symbols[rule] - self.first]
+            out[at], out[at + 1] = sides[:, 0], sides[:, 1]
+            symbols = out
+        return symbols
+
+    def documents(self, batch: int = 256) -> Iterator[tuple[int, np.ndarray]]:
+        """(doc_id, ids) of all documents, in order."""
+        for i in range(0, self.n_docs, batch):
+            n = min(batch, self.n_docs - i)
+            counts = self._longs("counts", i, n)
+            ids = self.expand(self._symbols(*self._span(i, n)))
+            yield from zip(self._longs("doc_ids", i, n).tolist(), np.split(ids, np.cumsum(counts)[:-1]))
+
+    def _span(self, i: int, n: int) -> tuple[int, int]:
+        starts = self._longs("starts", i, min(n + 1, self.n_docs - i)).tolist()
+        return starts[0], starts[n] if len(starts) > n else self.n_symbols
 
     def document(self, i: int) -> np.ndarray:
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.symbols)
-        return self.expand(self.symbols[self.starts[i] : end])
+        return self.expand(self._symbols(*self._span(i, 1)))
 
     def token(self, i: int, k: int) -> int:
         """The k-th id of the i-th document, without expanding the rest."""
-        end = self.starts[i + 1] if i + 1 < len(self.starts) else len(self.symbols)
-        symbols = self.symbols[self.starts[i] : end]
-        n = np.where(symbols < self.first, 1, self.lengths[np.maximum(symbols - self.first, 0)] if len(self.lengths) else 1)
+        symbols = self._symbols(*self._span(i, 1))
+        n = np.ones(len(symbols), np.int64)
+        rule = symbols >= self.first
+        n[rule] = self.lengths[symbols[rule] - self.first]
         ends = np.cumsum(n)
         s = int(np.searchsorted(ends, k, "right"))
         k -= int(ends[s] - n[s])
@@ -195,20 +222,23 @@ class Shard:
         return s
 
 
-def pack(ids: np.ndarray, counts: list[int], doc_ids: list[int], first: int, rounds: int) -> bytes:
-    symbols, starts, rules = repair(ids, np.cumsum(counts), first, rounds)
+def pack(ids: np.ndarray, counts: list[int], doc_ids: list[int], first: int, least: int) -> bytes:
+    symbols, starts, rules = repair(ids, np.cumsum(counts), first, least)
+    if first + len(rules) > 1 << 24:
+        raise ValueError("a shard's symbols must fit 24 bits: write smaller shards")
     out = io.BytesIO()
-    out.write(struct.pack("<4sIIIQQ", MAGIC, VERSION, first, len(rules), len(doc_ids), len(symbols)))
-    for a, kind in ((rules, "<i4"), (expansion_lengths(rules, first), "<i4"), (np.array(doc_ids, np.int64), "<i8"), (starts, "<i8"), (np.array(counts, np.int64), "<i8"), (symbols, "<i4")):
+    out.write(struct.pack(HEADER, MAGIC, VERSION, first, len(rules), len(doc_ids), len(symbols)))
+    for a, kind in ((rules, "<i4"), (expansion_lengths(rules, first), "<i4"), (np.array(doc_ids, np.int64), "<i8"), (starts, "<i8"), (np.array(counts, np.int64), "<i8")):
         out.write(a.astype(kind).tobytes())
+    out.write(symbols.astype("<i4").view(np.uint8).reshape(-1, 4)[:, :3].tobytes())
     return out.getvalue()
 
 
 NO_ID = -(1 << 63)
-SHARDS = "file string, bucket int, part int, n_docs long, n_tokens long"
+SHARDS = "file string, bucket int, part int, n_docs long, n_tokens long, n_symbols long, n_bytes long"
 
 
-def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, rounds: int, shard_tokens: int):
+def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, least: int, shard_tokens: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encode = encoder(path, pattern)
         fs, root = store(folder)
@@ -219,8 +249,8 @@ def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, round
         def flush() -> pd.DataFrame:
             name = f"{uuid.uuid4().hex}.kwrp"
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(pack(np.concatenate(ids), counts, doc_ids, first, rounds))
-            row = pd.DataFrame([(f"{folder}/{name}", bucket, part, len(counts), sum(counts))], columns=[c.split()[0] for c in SHARDS.split(", ")])
+                out.write(data := pack(np.concatenate(ids), counts, doc_ids, first, least))
+            row = pd.DataFrame([(f"{folder}/{name}", bucket, part, len(counts), sum(counts), struct.unpack_from(HEADER, data)[5], len(data))], columns=[c.split()[0] for c in SHARDS.split(", ")])
             ids.clear(), counts.clear(), doc_ids.clear()
             return row
 
@@ -243,35 +273,47 @@ def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, round
     return f
 
 
-def write(docs: DataFrame, path: str, pattern: str, end_id: int = 2, first: int = 1 << 20, rounds: int = 3, shard_tokens: int = 2_000_000, folder: str | None = None) -> DataFrame:
+def write(docs: DataFrame, path: str, pattern: str, end_id: int = 2, first: int = 1 << 20, least: int = 5, shard_tokens: int = 4_000_000, folder: str | None = None) -> DataFrame:
     """Writes token files and returns the index of shards, with the place of each
     one's first id among all ids. ids below ``first`` are the tokenizer's."""
     folder = folder or shared_folder(docs.sparkSession, "tokens")
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    n = partitions(docs.sparkSession)
-    ranges = RangeBuckets(docs, "doc_id", n)
-    dealt = docs.withColumn("bucket", ranges.bucket().cast("int")).repartition(n, "bucket")
-    dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), F.xxhash64("text")).select("bucket", "doc_id", "text")
-    shards = written(dealt.mapInPandas(_writer(folder, path, pattern, end_id, first, rounds, shard_tokens), SHARDS), "shards")
-    before = Window.orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)  # one row per file
-    return shards.withColumn("start", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)))
+    ranges = RangeBuckets(docs, "doc_id", partitions(docs.sparkSession), weight=F.octet_length("text"))
+    z = F.xxhash64("text")
+    dealt = ranges.dealt(docs.withColumn("bucket", ranges.bucket(z)), "bucket")
+    dealt = dealt.sortWithinPartitions("bucket", F.asc_nulls_last("doc_id"), z).select("bucket", "doc_id", "text")
+    shards = written(dealt.mapInPandas(_writer(folder, path, pattern, end_id, first, least, shard_tokens), SHARDS), "shards")
+    before = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    ranges = shards.groupBy("bucket").agg(F.sum("n_tokens").alias("n"))  # two per partition at most
+    ranges = ranges.select("bucket", F.coalesce(F.sum("n").over(before(Window.orderBy("bucket"))), F.lit(0)).alias("_before"))
+    inside = F.coalesce(F.sum("n_tokens").over(before(Window.partitionBy("bucket").orderBy("part"))), F.lit(0))
+    return shards.withColumn("start", inside).join(F.broadcast(ranges), "bucket").withColumn("start", F.col("start") + F.col("_before")).drop("_before")
+
+
+def ranged(file) -> Callable[[int, int], bytes]:
+    """Byte ranges of an open file."""
+
+    def read(at: int, n: int) -> bytes:
+        file.seek(at)
+        return file.read(n)
+
+    return read
 
 
 def _reader(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    names = ["doc_id", "start", "n_tokens", "ids"]
     for frame in batches:
         for name, start in zip(frame["file"], frame["start"]):
             fs, path = store(name)
-            with fs.open_input_stream(path) as file:
-                shard = Shard(file.read())
-            at, rows = int(start), []
-            for i, doc_id in enumerate(shard.doc_ids.tolist()):
-                ids = shard.document(i)
-                rows.append((None if doc_id == NO_ID else doc_id, at, len(ids), ids))
-                at += len(ids)
-                if len(rows) == 256:
-                    yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
-                    rows = []
-            yield pd.DataFrame(rows, columns=["doc_id", "start", "n_tokens", "ids"]).astype({"doc_id": "Int64"})
+            with fs.open_input_file(path) as file:
+                at, rows = int(start), []
+                for doc_id, ids in Shard(ranged(file)).documents():
+                    rows.append((None if doc_id == NO_ID else doc_id, at, len(ids), ids))
+                    at += len(ids)
+                    if len(rows) == 256:
+                        yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
+                        rows = []
+                yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 
 def read(shards: DataFrame) -> DataFrame:

@@ -65,36 +65,65 @@ def test_warc(spark):
     assert [len(g) for g in warc.coalesced([(0, 10), (12, 10), (100, 10), (110, 50)], 5, 55)] == [2, 1, 1]
 
 
+SPECIAL = ["<|endoftext|>", "before <|endoftext|><|endoftext|> after <|endoftext", "ctl \x1c\x1f x\x85y \u00a0 z² ½ 3½ _a_ don't I'LL"]
+
+
 def test_token_files(spark, odd):
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
-    library.encode_special_tokens = True
+    odd = odd.drop("hit_words").union(spark.createDataFrame([(20 + i, t, None, None, 0) for i, t in enumerate(SPECIAL)], odd.drop("hit_words").schema))
     shards = token_files.write(odd, P.path("byte_bpe_50k.json"), P.PATTERN)
     got = sorted(token_files.read(shards).collect(), key=lambda r: r.start)
     assert len(got) == odd.count()
-    texts = {i: t for i, t in enumerate(ODD)}
+    texts = {i: t for i, t in enumerate(ODD)} | {20 + i: t for i, t in enumerate(SPECIAL)}
     at = 0
     for r in got:
         if r.doc_id is not None:
             assert r.ids == library.encode(texts[r.doc_id] or "", add_special_tokens=False).ids + [2]
         assert r.start == at
         at += r.n_tokens
-    assert [r.doc_id for r in got] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, None, None]
+    assert [r.doc_id for r in got] == [0, 1, 2, 3, 4, 4, 5, 6, 7, 8, 20, 21, 22, None, None]
     assert token_files.read(token_files.write(odd.limit(0), P.path("byte_bpe_50k.json"), P.PATTERN)).count() == 0
 
 
 def test_repair_round_trip():
     rng = np.random.default_rng(0)
-    counts = [int(x) for x in rng.integers(1, 900, 60)]
-    ids = np.concatenate([rng.zipf(1.6, n).clip(1, 500).astype(np.int32) for n in counts])
-    shard = token_files.Shard(token_files.pack(ids, counts, list(range(60)), 1 << 20, 8))
-    assert len(shard.rules) and len(shard.symbols) < len(ids)
+    counts = [int(x) for x in rng.integers(1, 900, 60)] + [1000, 7]
+    ids = np.concatenate([rng.zipf(1.6, n).clip(1, 500).astype(np.int32) for n in counts[:-2]] + [np.full(1007, 9, np.int32)])
+    data = token_files.pack(ids, counts, list(range(62)), 1 << 20, 5)
+    read = []
+
+    def part(at, n):
+        read.append(n)
+        return data[at : at + n]
+
+    shard = token_files.Shard(part)
+    assert len(shard.rules) and shard.n_symbols < len(ids)
     at = 0
     for i, n in enumerate(counts):
+        read.clear()
         assert (shard.document(i) == ids[at : at + n]).all()
+        assert sum(read) <= 16 + 3 * n  # its offsets and symbols, nothing else
         assert [shard.token(i, k) for k in range(0, n, 7)] == ids[at : at + n : 7].tolist()
         at += n
+    assert [(d, x.tolist()) for d, x in shard.documents(7)] == [(i, x.tolist()) for i, x in enumerate(np.split(ids, np.cumsum(counts)[:-1]))]
+
+
+def test_repair_leaves_no_frequent_pair():
+    """No cap on rounds or rules: what is left occurs fewer than ``least`` times, or only across documents or overlapping with itself."""
+    from collections import Counter
+
+    rng = np.random.default_rng(1)
+    counts = [400] * 50
+    passage = rng.integers(0, 5000, 120).astype(np.int32)
+    docs = [np.r_[rng.integers(0, 5000, 280).astype(np.int32), passage] for _ in counts]
+    x, starts, rules = token_files.repair(np.concatenate(docs), np.cumsum(counts), 1 << 20, 5)
+    left = Counter()
+    for a, b in zip(starts, [*starts[1:], len(x)]):
+        left.update(zip(x[a : b - 1].tolist(), x[a + 1 : b].tolist()))
+    assert max(n for (a, b), n in left.items() if a != b) < 5
+    assert max(token_files.expansion_lengths(rules, 1 << 20)) == 120  # the shared passage is one symbol
 
 
 def test_token_query_brute_force(spark):
