@@ -5,25 +5,29 @@ ten words, so that a passage is the same units wherever its line breaks fall; a
 takes the white space before it along. Blank space carries no unit.
 
 Winnowing (Schleimer et al., 2003): the hash of every k consecutive units is a
-fingerprint, and the least one in each window of w consecutive fingerprints is
-selected. Two equal runs of at least t = k + w - 1 units select the same fingerprint,
-wherever they stand, so a repeated run of t units is always found. Selected
-fingerprints that occur once are dropped; around each of the others the matches are
-extended both ways: all runs of t units that cover it are compared with their first
-occurrence in (doc_id, place) order, and the units of every later occurrence are
-deleted. Overlapping and adjacent runs merge, so a repeated run goes as a whole.
-That is exactly: a unit goes if it lies in a run of t units that has occurred before.
-
-A fingerprint's or run's occurrences are never gathered in one place: first
-occurrences are minima (combined before the shuffle) and joined back, so a passage
-that a third of all documents share is only a skewed join key, which adaptive
-execution splits. With t = 5 a passage of over 50 words is always caught when its
-first word begins a unit.
+fingerprint, and the least one in each window of w consecutive fingerprints, the first
+of equals, is selected. A window spans a run of t = k + w - 1 units, and equal runs
+select the same fingerprint at the same place in them, wherever they stand. So a run
+that repeats lies around a selected fingerprint that repeats: fingerprints that occur
+once are dropped, the places of the others are joined back to their documents, and
+there each match is extended both ways to the runs of t units that selected it. Runs
+are compared as a whole: by 128 bits over the hashes of all their units, so that a
+stock passage among different neighbours is not taken for a repeated run. Every run
+but the first in (doc_id, place) order is deleted; overlapping and adjacent runs merge,
+so a repeated passage goes as a whole. That is exactly: a unit goes if it lies in a run
+of t units that has occurred before.
+
+A fingerprint's or run's occurrences are never gathered in one place: repeated
+fingerprints and first occurrences are aggregations, combined before the shuffle and
+written; joining occurrences to these tables lets adaptive execution split a passage
+that a third of all documents share. With t = 5 a passage of over 50 words is always
+caught when its first word begins a unit.
 
 Nulls: a null text stays null. A null doc_id comes after all others. Rows that agree
 in doc_id and text are one document and fare alike; the same text under another
 doc_id is a copy, of which the lowest doc_id stays. A text that loses no unit stays
-as it is, byte by byte; one that loses all of them becomes ''.
+as it is, byte by byte; one that loses all of them becomes ''. Extra columns stay,
+whatever their names; n_units and n_deleted are replaced. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,9 +35,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import discard, let, written
 
-K, W = 3, 3
+K, W = 2, 4
 #: One unit; for Java and RE2 alike.
 UNIT = r"[ \t\n\r]*(?:[^ \t\n\r]*[^ \t\n\r.!?][ \t]+){0,9}[^ \t\n\r]+(?:[ \t\n\r]+$)?"
 
@@ -42,58 +46,66 @@ def units(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
 
 
-def _anchors(docs: DataFrame, k: int, w: int) -> DataFrame:
-    """(id, digest, p, fingerprint, r0, r1, ...): the selected fingerprints with the
-    hashes of the runs of k + w - 1 units that cover them; the run of rj starts at
-    p - j, null where that is no place. Equal runs select the same fingerprint at the
-    same place in them. rj has 64 bits: a stock passage in N documents has N different
-    runs under one fingerprint, and a run whose name collides is deleted."""
-    t = k + w - 1
-
-    def at(array: Column, i: Column) -> Column:
-        return F.when(i >= 0, F.get(array, F.greatest(i, F.lit(0))))
+def _hashes(docs: DataFrame, k: int, w: int) -> DataFrame:
+    """(id, digest, h, at) of documents with a run at least: the hashes of their units
+    and, for the run that begins at each place, how far in its least fingerprint is."""
+    t, bits = k + w - 1, max(1, (w - 1).bit_length())
 
-    def over(array: Column, n: int, f) -> Column:  # f of each n consecutive items
-        return F.transform(F.slice(array, F.lit(1), F.greatest(F.size(array) - (n - 1), F.lit(0))), lambda x, i: f(*[F.get(array, i + j) for j in range(n)]))
+    def offset(h: Column, s: Column) -> Column:  # the low bits of a fingerprint give way to its place
+        return F.least(*[F.shiftleft(F.shiftright(_fingerprint(h, s + i, k), bits), bits).bitwiseOR(F.lit(i)) for i in range(w)]).bitwiseAND((1 << bits) - 1).cast("byte")
 
-    def select(g: Column) -> Column:
-        def chosen(runs: Column, low: Column) -> Column:
-            def one(x: Column, p: Column) -> Column:
-                least = F.greatest(*[F.coalesce(at(low, p - j) == x, F.lit(False)).cast("int") for j in range(w)]) == 1
-                covering = [at(runs, p - j).alias(f"r{j}") for j in range(w)]
-                return F.when(least, F.struct(p.alias("p"), x.alias("fingerprint"), *covering))
-
-            return F.filter(F.transform(g, one), lambda x: x.isNotNull())
+    line = F.transform(units(F.col("text")), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
+    # The generator keeps Catalyst from splitting the text once for each use.
+    split = docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("digest"), F.explode(F.array(line)).alias("h")).where(F.size("h") >= t)
+    return split.withColumn("at", F.transform(F.slice("h", F.lit(1), F.size("h") - (t - 1)), lambda x, s: offset(F.col("h"), s)))
 
-        return let(over(g, w, F.xxhash64), lambda runs: let(over(g, w, F.least), lambda low: chosen(runs, low)))
 
-    line = F.transform(units(F.col("text")), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
-    anchors = let(line, lambda h: F.when(F.size(h) >= t, let(over(h, k, F.xxhash64), select)))
-    return docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("digest"), F.explode(anchors).alias("a")).select("id", "digest", "a.*")
+def _fingerprint(h: Column, p: Column, k: int) -> Column:
+    return F.get(h, p) if k == 1 else F.xxhash64(*[F.get(h, p + i) for i in range(k)])
 
 
 def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """(id, digest, gone): the places of the runs' first units, per document that
     has later occurrences; each deletes k + w - 1 units."""
-    anchors = written(_anchors(docs, k, w), "anchors")
-    again = anchors.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint")
-    hit = anchors.join(again, "fingerprint").select("id", "digest", "p", "fingerprint", F.posexplode(F.array(*[f"r{j}" for j in range(w)])).alias("j", "r")).where("r is not null")
-    hit = hit.select(F.struct(F.col("id").isNull().alias("z"), "id", "digest", (F.col("p") - F.col("j")).alias("s")).alias("at"), F.xxhash64("fingerprint", "j", "r").alias("run"))
-    first = hit.groupBy("run").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last").select("run", "one")
-    later = hit.join(first, "run").where("at <> one").select("at.id", "at.digest", "at.s")
-    return later.groupBy("id", "digest").agg(F.collect_set("s").alias("gone"))
+    t = k + w - 1
+    hashes = written(_hashes(docs, k, w), "hashes")
+    places = F.array_distinct(F.transform("at", lambda o, s: s + o.cast("int")))
+    selected = F.transform(places, lambda p: F.struct(p.alias("p"), _fingerprint(F.col("h"), p, k).alias("fingerprint")))
+    anchors = hashes.select("id", "digest", F.explode(selected).alias("a")).select("id", "digest", "a.*")
+    again = written(anchors.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
+    matched = anchors.join(again, "fingerprint").groupBy("id", "digest").agg(F.collect_set("p").alias("hit"))  # a document's places
+    matched = written(matched.withColumnsRenamed({"id": "_id", "digest": "_digest"}), "matches")
+
+    def runs(p: Column) -> Column:  # those that selected the fingerprint at p
+        return F.filter(F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, F.size("at") - 1)), lambda s: s + F.get("at", s).cast("int") == p)
+
+    def named(s: Column) -> Column:
+        u = [F.get("h", s + i) for i in range(t)]
+        return F.struct(s.alias("s"), F.xxhash64(*u).alias("n1"), F.xxhash64(F.lit(t), *reversed(u)).alias("n2"))
+
+    found = hashes.join(matched, hashes["id"].eqNullSafe(matched["_id"]) & (hashes["digest"] == matched["_digest"]))
+    found = found.select("id", "digest", F.explode(F.transform(F.flatten(F.transform("hit", runs)), named)).alias("r"))
+    found = written(found.select(F.struct(F.col("id").isNull().alias("z"), "id", "digest", "r.s").alias("at"), "r.n1", "r.n2"), "runs")
+    first = found.groupBy("n1", "n2").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last")
+    first = written(first.select("n1", "n2", "one"), "first-runs")
+    later = found.join(first, ["n1", "n2"]).where("at <> one").select("at.id", "at.digest", "at.s")
+    gone = written(later.groupBy("id", "digest").agg(F.collect_set("s").alias("gone")), "gone")
+    discard(hashes, again, matched, found, first)
+    return gone
 
 
 def dedup(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     """docs with n_units and n_deleted, and text and n_chars as they are after the
     deletion."""
     t = k + w - 1
-    gone = written(deleted(docs, k, w).select(F.col("id").alias("_id"), F.col("digest").alias("_digest"), "gone"), "gone")
-    joined = docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]) & (F.hash(docs["text"]) == gone["_digest"]), "left")
+    gone = deleted(docs, k, w)
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), F.hash("text").alias("d"), F.col("text").alias("text"))
+    joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["d"] == gone["digest"]), "left").select("row", "text", "gone")
     # The generator keeps Catalyst from splitting the text once for each use.
-    joined = joined.select(*docs.columns, "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"))))).alias("_units"))
+    joined = joined.select("row", "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"))))).alias("_units"))
     away = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s, s + (t - 1))))))
-    joined = joined.select(*docs.columns, "gone", "_units", F.explode(F.array(away)).alias("_away"))
+    joined = joined.select("row", "gone", "_units", F.explode(F.array(away)).alias("_away"))
     # Kept stretches lie between deleted places: slices, so that no unit is looked up in a list.
     stops = F.concat(F.array(F.lit(-1)), F.col("_away"), F.array(F.size("_units")))
 
@@ -102,11 +114,11 @@ def dedup(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
 
     text = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(let(stops, stretches)), ""))
     text = F.when(F.array_contains("_away", 0), F.regexp_replace(text, r"^[ \t\n\r]+", "")).otherwise(text)
-    new = F.when(F.col("gone").isNull(), F.col("text")).otherwise(text)
-    names = [c for c in docs.columns if c not in ("n_units", "n_deleted")]
-    out = joined.select(*names, F.coalesce(F.size("_units"), F.lit(0)).cast("long").alias("n_units"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("_away")).cast("long").alias("n_deleted"), new.alias("_new"))
-    out = out.withColumn("text", F.col("_new")).drop("_new")
-    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+    new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
+    out = joined.select("row", F.coalesce(F.size("_units"), F.lit(0)).cast("long").alias("n_units"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("_away")).cast("long").alias("n_deleted"), new.alias("new"))
+    own = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
+    names = [c for c in docs.columns if c.lower() not in ("n_units", "n_deleted")]
+    return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in names], "n_units", "n_deleted")
 
 
 def digest_query(docs: DataFrame) -> DataFrame:

@@ -9,6 +9,7 @@ import pandas as pd
 import public_tokenizers as P
 import pytest
 from oracle import SMALL, assert_same
+from pyspark.sql import functions as F
 
 from kilnworks.llm import bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, queries, token_files, toxicity, warc
 from kilnworks.llm.common import components, table
@@ -148,11 +149,37 @@ def test_line_dedup(spark, odd):
     out = line_dedup.dedup(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
     assert line_dedup.dedup(odd.limit(0)).count() == 0
+    names = {c: F.lit(c) for c in ("gone", "id", "_id", "_digest", "digest", "_units", "row", "n_units", "a.b")}
+    clash = line_dedup.dedup(docs.withColumns(names))
+    assert clash.columns == [*docs.columns, *(c for c in names if c != "n_units"), "n_units", "n_deleted"]
+    assert {(r.doc_id, r.text, r.n_deleted) for r in clash.collect()} == {(i, r.text, r.n_deleted) for i, r in got.items()}
+    assert {(r.gone, r.row, r["a.b"]) for r in clash.collect()} == {("gone", "row", "a.b")}
+
+
+@pytest.mark.parametrize("kw", [(1, 5), (2, 4), (3, 3), (5, 1)])
+def test_line_dedup_brute_force(spark, kw):
+    """Runs of few different units, so that fingerprints tie and overlap; repeated rows and null ids."""
+    random.seed(7)
+    rows = [(i, " ".join(f"{random.choice('abc')}." for _ in range(random.randrange(0, 30)))) for i in range(40)]
+    rows += [(None, rows[3][1]), (None, "q. r. s. t. u. v."), rows[5]]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "hash(text) AS h").collect()}
+    seen, want = set(), {}
+    for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r])):
+        u, away = t.split(), set()
+        for s in range(len(u) - 4):
+            if tuple(u[s : s + 5]) in seen:
+                away |= set(range(s, s + 5))
+            seen.add(tuple(u[s : s + 5]))
+        want[i, hashes[i, t]] = " ".join(x for j, x in enumerate(u) if j not in away)
+    got = line_dedup.dedup(docs.withColumn("h", F.hash("text"))).collect()
+    assert len(got) == len(rows)
+    assert all(r.text == want[r.doc_id, r.h] for r in got)
 
 
 def test_line_dedup_stock_passage(spark):
     """Different runs around one passage of three units, whose fingerprint is low enough to be selected: none may pass for another."""
-    docs = spark.range(250_000).selectExpr("id AS doc_id", "concat('A', id, '. B', id, '. Stock 53. Stock text. Stock end. C', id, '. D', id, '.') AS text")
+    docs = spark.range(400_000).selectExpr("id AS doc_id", "concat('A', id, '. B', id, '. Stock 53. Stock text. Stock end. C', id, '. D', id, '.') AS text")
     assert line_dedup.dedup(docs).where("n_deleted > 0").count() == 0
 
 
