@@ -48,6 +48,8 @@ from pyspark.sql import functions as F
 from .common import RangeBuckets, partitions, shared_folder, store, written
 
 MAGIC, VERSION = b"KWRP", 2
+#: Odd, so that products are different modulo 2 ** 32.
+SCATTER = 2654435761
 HEADER = "<4sIIIQQ"
 #: Ranges of characters in which words are cut here: Latin, Greek, Cyrillic, punctuation.
 SPANS = [(0x00, 0x1B), (0x20, 0x24F), (0x370, 0x377), (0x391, 0x3C9), (0x410, 0x44F), (0x2010, 0x2027), (0x20AC, 0x20AC)]
@@ -75,7 +77,7 @@ def plain_pattern(pattern: str) -> str:
 class Encoder:
     """ids of texts by the tokenizers library; remembers words up to a bound."""
 
-    def __init__(self, path: str, pattern: str, bound: int = 1_000_000):
+    def __init__(self, path: str, pattern: str, bound: int = 600_000):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
@@ -116,32 +118,43 @@ def repair(ids: np.ndarray, stops: np.ndarray, first: int, least: int = 5) -> tu
     last = np.zeros(len(ids), bool)
     last[stops - 1] = True
     x = ids.astype(np.int32)
+    live = np.ones(len(x), bool)  # places whose pair may be frequent: it was, or one of its symbols is new
     while len(x) > 1:
         keys = x[:-1].astype(np.int64) << 32 | x[1:]
-        inside = np.flatnonzero(~last[:-1])
+        inside = np.flatnonzero(live[:-1] & ~last[:-1])
         codes, pairs = pd.factorize(keys[inside])
         times = np.bincount(codes, minlength=len(pairs))
-        # A pair's rank: by frequency, then by the pair itself, so that equal pairs only tie with themselves.
+        # A pair's rank: by frequency, then by a scattered number of its own, so that only equal pairs
+        # tie, and a passage whose pairs are equally frequent shrinks in many places at once.
+        own = np.arange(len(pairs)) * SCATTER & 0xFFFFFFFF
+        frequent = times >= least
         rank = np.full(len(keys), -1, np.int64)
-        rank[inside] = np.where(times >= least, times << 32 | np.arange(len(pairs)), -1)[codes]
-        before, after = np.r_[-1, rank[:-1]], np.r_[rank[1:], -1]
-        best = (rank >= 0) & (rank >= before) & (rank >= after)
+        rank[inside] = np.where(frequent, times << 32 | own, -1)[codes]
+        live[inside] = frequent[codes]
+        del codes, pairs
+        best = rank >= 0
+        best[1:] &= rank[1:] >= rank[:-1]
+        best[:-1] &= rank[:-1] >= rank[1:]
         at = np.flatnonzero(best)
+        del rank, best
         # Neighbours that are both best are one pair in a run of equal symbols: every second one, from the left.
         fresh = np.r_[True, np.diff(at) != 1]
         place = np.arange(len(at))
         at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
-        code = rank[at] & 0xFFFFFFFF
-        used = np.bincount(code, minlength=len(pairs))
-        at = at[used[code] >= least]
+        chosen, which, used = np.unique(keys[at], return_inverse=True, return_counts=True)
+        enough = used >= least
         if not len(at):
             break
-        chosen, which = np.unique(keys[at], return_inverse=True)
+        if not enough.any():  # pairs that overlap too often with themselves make way for others
+            live[at] = False
+            continue
+        at, which, chosen = at[enough[which]], (np.cumsum(enough) - 1)[which[enough[which]]], chosen[enough]
         x[at] = first + n_rules + which
         last[at] = last[at + 1]
+        live[at] = live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(x), bool)
         keep[at + 1] = False
-        x, last = x[keep], last[keep]
+        x, last, live = x[keep], last[keep], live[keep]
         rules.append(np.stack([chosen >> 32, chosen & 0xFFFFFFFF], 1).astype(np.int32))
         n_rules += len(chosen)
     ends = np.flatnonzero(last) + 1
@@ -247,11 +260,12 @@ def _writer(folder: str, path: str, pattern: str, end_id: int, first: int, least
         ids, counts, doc_ids, size, part, bucket = [], [], [], 0, 0, None
 
         def flush() -> pd.DataFrame:
-            name = f"{uuid.uuid4().hex}.kwrp"
+            name, whole = f"{uuid.uuid4().hex}.kwrp", np.concatenate(ids)
+            ids.clear()
             with fs.open_output_stream(f"{root}/{name}") as out:
-                out.write(data := pack(np.concatenate(ids), counts, doc_ids, first, least))
+                out.write(data := pack(whole, counts, doc_ids, first, least))
             row = pd.DataFrame([(f"{folder}/{name}", bucket, part, len(counts), sum(counts), struct.unpack_from(HEADER, data)[5], len(data))], columns=[c.split()[0] for c in SHARDS.split(", ")])
-            ids.clear(), counts.clear(), doc_ids.clear()
+            counts.clear(), doc_ids.clear()
             return row
 
         for frame in batches:
