@@ -9,6 +9,7 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow.fs
@@ -95,14 +96,22 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def literal_strings(values: list[str], separator: str = "\x01") -> Column:
+def literal_strings(values, separator: str = "\x01") -> Column:
     """An array literal. Catalyst folds the split while it plans, so that tasks
     get one array; building it from single literals takes seconds per 10,000."""
-    return F.split(F.lit(separator.join(values)), separator, -1)
+    return F.split(F.lit(_joined(values, separator)), separator, -1)
 
 
 def literal_longs(values) -> Column:
-    return F.split(F.lit(",".join(map(str, values))), ",").cast("array<bigint>")
+    return F.split(F.lit(_joined(map(str, values), ",")), ",").cast("array<bigint>")
+
+
+def _joined(values, separator: str) -> str:
+    """Joined in parts: a million small strings at once would fill the driver."""
+    values, parts = iter(values), []
+    while part := list(islice(values, 4096)):
+        parts.append(separator.join(part))
+    return separator.join(parts)
 
 
 def components(edges: DataFrame) -> DataFrame:

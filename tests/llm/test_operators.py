@@ -315,20 +315,47 @@ def test_license_scan_brute_force(spark):
         assert {(r.doc_id, r.license): round(r.containment, 6) for r in got} == want
 
 
-@pytest.mark.parametrize("bounds", [(1 << 15, 1 << 20), (0, 1 << 20), (0, 0)])
+@pytest.mark.parametrize("bounds", [(1 << 15, 1 << 20), (3, 1 << 20), (0, 0)])
 def test_byte_bpe(spark, odd, bounds):
     import tiktoken
 
     codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN, *bounds)
     library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=codec.ranks, special_tokens={})
-    out = codec.encode(odd)
+    random.seed(9)
+    more = ["=AB,=12, 1=2", "\x01\x02 \x00\u0100 =", "word=word " * 3, "".join(random.choice("aeiou\u00e9xyz") for _ in range(60_000))]
+    docs = odd.union(spark.createDataFrame([(30 + i, t, None, None, 0, None) for i, t in enumerate(more)], SCHEMA)).withColumn("row", F.lit(1)).withColumn("x", F.lit(2)).withColumn("ids", F.lit("own"))
+    out = codec.encode(docs)
+    assert out.columns == docs.columns
     rows = out.select("text", "ids", codec.decode(out["ids"]).alias("b")).collect()
-    assert len(rows) == odd.count()
+    assert len(rows) == docs.count()
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.b) == (r.text or "").encode()
     assert codec.encode(odd.limit(0)).count() == 0
 
 
+def test_byte_bpe_query_brute_force(spark):
+    import tiktoken
+
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken")), special_tokens={})
+    got = {r.doc_id: r for r in queries.op7_byte_bpe(spark, SMALL).collect()}
+    docs = table(spark, SMALL, "documents").collect()
+    assert len(got) == len(docs)
+    for r in docs:
+        ids, x = library.encode_ordinary(r.text), got[r.doc_id]
+        assert (x.n_tokens, x.ids_sha256) == (len(ids), hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest())
+        assert x.decoded_sha256 == hashlib.sha256(r.text.encode()).hexdigest()
+
+
+def test_byte_bpe_long_words():
+    import tiktoken
+
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    library = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    random.seed(2)
+    for word in ["a" * 5000, "x", "ab" * 700, *("".join(random.choice("etaoin\u00e9\u00fc") for _ in range(n)) for n in (2, 3, 50, 3000))]:
+        assert bpe.merge(word.encode(), ranks) == library.encode_ordinary(word)
+
+
 def test_decontamination(spark, odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontaminate.hits(odd, bench).collect()}
     assert got[8, 5000].hit_words == list(range(5000)) and got[8, 5000].items == ["1"]
