@@ -47,9 +47,14 @@ def _matched(files: DataFrame, terms: list[str]) -> DataFrame:
     return tokenize(files).where(F.col("token").isin(terms))
 
 
+def granted(files: DataFrame, acl: DataFrame) -> DataFrame:
+    """files that anybody is granted; what nobody sees is never tokenised."""
+    return files.join(acl.select("kb"), "kb", "left_semi")
+
+
 def tf_search(files: DataFrame, acl: DataFrame, terms: list[str], k: int = 5) -> DataFrame:
     """(principal, doc_id, score, rnk): occurrences of the terms, ties by doc_id."""
-    hits = _matched(files, terms).groupBy("kb", "doc_id").agg(F.count(F.lit(1)).alias("score"))
+    hits = _matched(granted(files, acl), terms).groupBy("kb", "doc_id").agg(F.count(F.lit(1)).alias("score"))
     return _top(acl_expand(hits, acl), k)
 
 
@@ -59,22 +64,24 @@ def _top(scored: DataFrame, k: int) -> DataFrame:
 
 
 def bm25_scores(files: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(kb, doc_id, score): BM25 with the statistics of each knowledge base."""
-    length = F.size(tokens(F.col("text")))
-    stats = files.groupBy("kb").agg(F.count(F.lit(1)).alias("n"), F.avg(length).alias("avgdl"))
-    sized = files.select("doc_id", "kb", "text", length.alias("dl"))
-    hits = sized.select("doc_id", "kb", "dl", F.explode(tokens(F.col("text"))).alias("token")).where(F.col("token").isin(terms))
-    tf = hits.groupBy("kb", "doc_id", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
-    df = tf.groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"))
-    x = tf.join(F.broadcast(df), ["kb", "token"]) if len(terms) < 1000 else tf.join(df, ["kb", "token"])  # terms x knowledge bases
-    x = x.join(stats, "kb")
+    """(kb, doc_id, score): BM25 with the statistics of each knowledge base. Texts are
+    tokenised once, into their length and the terms' counts; only those travel on."""
+    # The generator keeps Catalyst from computing the tokens once for each use.
+    words = files.select("kb", "doc_id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
+    tf = F.transform(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.struct(t.alias("token"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
+    sized = words.select("kb", "doc_id", F.size("w").alias("dl"), F.filter(tf, lambda x: x["tf"] > 0).alias("found"))
+    found = F.transform("found", lambda x: x["token"])
+    stats = sized.groupBy("kb").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
+    df = sized.select("kb", F.explode(found).alias("token")).groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"))
+    hits = sized.select("kb", "doc_id", "dl", F.inline("found"))
+    x = hits.join(df, ["kb", "token"]).join(stats, "kb")
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return x.groupBy("kb", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_search(files: DataFrame, acl: DataFrame, terms: list[str], k: int = 5) -> DataFrame:
-    return _top(acl_expand(bm25_scores(files, terms), acl), k)
+    return _top(acl_expand(bm25_scores(granted(files, acl), terms), acl), k)
 
 
 def leak_check(results: DataFrame, files: DataFrame, acl: DataFrame) -> DataFrame:

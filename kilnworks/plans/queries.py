@@ -12,11 +12,11 @@ from kilnworks.sources.tables import table
 TERMS = ["the", "and", "on"]
 GRANTS = [("ana", "archive"), ("ben", "plant"), ("cas", "archive"), ("cas", "plant")]
 AGENTS = [("archivist", "archive"), ("engineer", "plant")]
-_KB = "CASE WHEN CAST(substr(source, 4) AS INT) % 2 = 0 THEN 'archive' ELSE 'plant' END"
+_KB = "CASE WHEN TRY_CAST(substr(source, 4) AS INT) % 2 = 0 THEN 'archive' ELSE 'plant' END"
 
 
 def _files(spark, d):
-    return S.kb_assign(table(spark, d, "documents"), F.when(F.substring("source", 4, 9).cast("int") % 2 == 0, "archive").otherwise("plant")).select("doc_id", "kb", "text")
+    return S.kb_assign(table(spark, d, "documents"), F.when(F.substring("source", 4, 9).try_cast("int") % 2 == 0, "archive").otherwise("plant")).select("doc_id", "kb", "text")
 
 
 def _acl(spark):
@@ -27,6 +27,20 @@ def _sets(spark, d):
     return _files(spark, d).select("kb", F.col("doc_id").alias("file_id"))
 
 
+def _results(spark, d):
+    """Search results with a planted leak: ana's list has the best files of the other
+    knowledge base as well, as an index shared between knowledge bases would give."""
+    acl = _acl(spark)
+    leaked = S.tf_search(_files(spark, d), acl.where("kb = 'plant'"), TERMS).where("principal = 'ben'").withColumn("principal", F.lit("ana"))
+    return S.tf_search(_files(spark, d), acl, TERMS).unionByName(leaked)
+
+
+def _shared_sets(spark, d):
+    """The file sets, with every tenth file of one planted in the other's as well."""
+    sets = _sets(spark, d)
+    return sets.union(sets.where("kb = 'archive' AND file_id % 10 = 0").select(F.lit("plant").alias("kb"), "file_id"))
+
+
 QUERIES = {
     "p1_kb_assign": lambda s, d: _files(s, d).select("doc_id", "kb"),
     "p2_acl_visible": lambda s, d: S.acl_visible(_files(s, d), _acl(s), "ana").select("doc_id"),
@@ -36,8 +50,10 @@ QUERIES = {
     "p5_tf_search": lambda s, d: S.tf_search(_files(s, d), _acl(s), TERMS),
     "p6_bm25_scores": lambda s, d: S.bm25_scores(_files(s, d), TERMS),
     "p6_bm25_search": lambda s, d: S.bm25_search(_files(s, d), _acl(s), TERMS),
-    "p7_leak_check": lambda s, d: S.leak_check(S.tf_search(_files(s, d), _acl(s), TERMS), _files(s, d), _acl(s)),
-    "p8_file_set_overlap": lambda s, d: S.file_set_overlap(_sets(s, d)).agg(F.count(F.lit(1)).alias("n_shared")),
+    "p7_leak_check": lambda s, d: S.leak_check(_results(s, d), _files(s, d), _acl(s)),
+    "p7_no_leak": lambda s, d: S.leak_check(S.tf_search(_files(s, d), _acl(s), TERMS), _files(s, d), _acl(s)),
+    "p8_file_set_overlap": lambda s, d: S.file_set_overlap(_shared_sets(s, d)),
+    "p8_file_sets_disjoint": lambda s, d: S.file_set_overlap(_sets(s, d)).agg(F.count(F.lit(1)).alias("n_shared")),
     "r3_agent_files": lambda s, d: S.agent_files(s.createDataFrame(AGENTS, "agent string, kb string"), _sets(s, d)),
 }
 
@@ -53,6 +69,7 @@ _BM = (
     f"q AS (SELECT kb, doc_id, token, count(*) AS tf FROM t WHERE {_IN} GROUP BY ALL), e AS (SELECT kb, token, count(*) AS df FROM q GROUP BY ALL), "
     "s AS (SELECT kb, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN e USING (kb, token) JOIN l USING (kb, doc_id) JOIN a USING (kb) GROUP BY ALL)"
 )
+_LEAKS = "v AS (SELECT f.kb, count(*) AS n FROM r JOIN f USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM acl WHERE acl.principal = r.principal AND acl.kb = f.kb) GROUP BY f.kb) SELECT k.kb, CAST(coalesce(v.n, 0) AS BIGINT) AS violations FROM (SELECT DISTINCT kb FROM f) k LEFT JOIN v USING (kb)"
 SQL = {
     "p1_kb_assign": f"WITH {_F} SELECT doc_id, kb FROM f",
     "p2_acl_visible": f"WITH {_F}, {_ACL} SELECT doc_id FROM f WHERE kb IN (SELECT kb FROM acl WHERE principal = 'ana')",
@@ -62,7 +79,9 @@ SQL = {
     "p5_tf_search": f"WITH {_TF}, {_ACL} {_TOP}",
     "p6_bm25_scores": f"WITH {_BM} SELECT kb, doc_id, score FROM s",
     "p6_bm25_search": f"WITH {_BM}, {_ACL} {_TOP}",
-    "p7_leak_check": f"WITH {_F} SELECT DISTINCT kb, CAST(0 AS BIGINT) AS violations FROM f",
-    "p8_file_set_overlap": f"WITH {_F} SELECT count(*) AS n_shared FROM (SELECT doc_id FROM f GROUP BY doc_id HAVING count(DISTINCT kb) > 1)",
+    "p7_leak_check": f"WITH {_TF}, {_ACL}, o AS ({_TOP}), r AS (SELECT principal, doc_id FROM o UNION ALL SELECT 'ana', doc_id FROM (SELECT doc_id, row_number() OVER (ORDER BY score DESC, doc_id) AS rnk FROM s WHERE kb = 'plant') WHERE rnk <= 5), {_LEAKS}",
+    "p7_no_leak": f"WITH {_TF}, {_ACL}, r AS ({_TOP}), {_LEAKS}",
+    "p8_file_set_overlap": f"WITH {_F}, x AS (SELECT kb, doc_id FROM f UNION ALL SELECT 'plant', doc_id FROM f WHERE kb = 'archive' AND doc_id % 10 = 0) SELECT doc_id AS file_id, count(DISTINCT kb) AS n_kb FROM x GROUP BY doc_id HAVING count(DISTINCT kb) > 1",
+    "p8_file_sets_disjoint": f"WITH {_F} SELECT count(*) AS n_shared FROM (SELECT doc_id FROM f GROUP BY doc_id HAVING count(DISTINCT kb) > 1)",
     "r3_agent_files": f"WITH {_F}, {_AGENTS} SELECT agent, count(DISTINCT doc_id) AS n_files FROM agents JOIN f USING (kb) GROUP BY agent",
 }

@@ -55,7 +55,46 @@ def test_stream(spark, files, tmp_path):
         term_freq_stream(files)
 
 
-def test_access_is_below_tokenising(spark):
-    q = QUERIES["p5_tf_search"](spark, SMALL)
-    assert q.columns == ["principal", "doc_id", "score", "rnk"]
-    assert q.where(F.col("rnk") > 5).count() == 0
+def test_access_is_below_tokenising(spark, files):
+    """The semi-join with the grants stands under the generator of tokens."""
+    acl_ = acl(spark, [("p", "a")])
+    for q in (S.tf_search(files, acl_, TERMS), S.bm25_search(files, acl_, TERMS)):
+        lines = q._jdf.queryExecution().optimizedPlan().toString().split("\n")
+        depth = lambda word: [len(x) - len(x.lstrip(" :+-")) for x in lines if word in x]
+        assert depth("Generate explode") and max(depth("LeftSemi")) > min(depth("Generate explode"))
+    assert S.tf_search(files, acl_, TERMS, 1).collect()[0].doc_id == 1
+
+
+def test_planted_leak_and_overlap(spark):
+    leaks = {r.kb: r.violations for r in QUERIES["p7_leak_check"](spark, SMALL).collect()}
+    assert leaks == {"archive": 0, "plant": 5}
+    assert {r.n_kb for r in QUERIES["p8_file_set_overlap"](spark, SMALL).collect()} == {2}
+
+
+def test_odd_sources(spark):
+    """A source without a number is in neither knowledge base's even half; it fails nothing."""
+    docs = spark.createDataFrame([(1, "srcX"), (2, None), (3, "src4")], "doc_id long, source string")
+    rule = F.when(F.substring("source", 4, 9).try_cast("int") % 2 == 0, "archive").otherwise("plant")
+    assert {r.doc_id: r.kb for r in S.kb_assign(docs, rule).collect()} == {1: "plant", 2: "plant", 3: "archive"}
+
+
+def test_bm25_tokenises_once(spark, files):
+    plan = S.bm25_scores(files, TERMS)._jdf.queryExecution().optimizedPlan().toString()
+    assert "split(lower" in plan and all(x.count("split(lower") <= 1 for x in plan.split("\n"))
+
+
+def test_stream_update_mode(spark, files, tmp_path):
+    """Batches that arrive later only send the counts that changed."""
+    files.where("doc_id < 3").coalesce(1).write.parquet(str(tmp_path / "in"))
+    seen = []
+    stream = spark.readStream.schema(files.schema).parquet(str(tmp_path / "in"))
+    q = term_freq_stream(stream).writeStream.outputMode("update").foreachBatch(lambda df, i: seen.append({(r.kb, r.doc_id, r.token): r.tf for r in df.collect()})).start()
+    q.processAllAvailable()
+    files.where("doc_id >= 3").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    q.processAllAvailable()
+    q.stop()
+    assert ("a", 1, "the") in seen[0] and all(d == 3 for _, d, _ in seen[-1])
+    whole = {}
+    for s in seen:
+        whole |= s
+    assert whole == {(r.kb, r.doc_id, r.token): r.tf for r in S.term_freq(files).collect()}
