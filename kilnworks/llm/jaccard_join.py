@@ -5,25 +5,29 @@ least s have sizes within one factor of each other, so sizes fall into bands and
 set signs for its own band and the next. Two such sets of a band differ in at most
 k items; the item domain is cut into n1 partitions, at most k / (k2 + 1) of which hold
 more than k2 differing items, and each into ``fine`` parts, of which fine - k2 agree
-in any other partition: every subset of that many parts is one signature. With
-k2 = 0, the default, a partition is one signature.
-
-A part without items would sign alike for unrelated sets, so it doesn't sign. There
-are a twelfth more partitions than the bound asks for; a set with more than
-k / (k2 + 1) partitions that have items everywhere shares a signature with every set
-that it links to. A set with fewer also signs by other hashes, up to five, where the
-same holds. Sets of fewer than 64 items sign all partitions of the fifth; a larger
-set would have to fail five independent hashes to be without the guarantee.
-
-Sets that share signatures are chained (each with the one before it, by a window
-that keeps no group), chains give candidate components, and each component's
-different sets are compared exactly: in blocks of bounded size, each pair of blocks
-one unit of work, so that a huge component is neither gathered in one task nor
-written out as pairs. Links stay whole; only a spanning forest of them is written.
-
-Equal sets are one class from the start; copies only count when results go back to
-documents. Null or wordless texts have an empty set and no link. doc_id may be null
-or repeated: rows keep their number, and a component's id is its least doc_id.
+in any other partition: every subset of that many parts is one signature. By default
+k2 is 1 and a partition has three parts, so that each pair of parts signs. Sets of a
+band with k = 0 are equal and have one signature.
+
+A part without items would sign alike for unrelated sets, so a subset without items
+doesn't sign. There are a twelfth more partitions than the bound asks for; a set with
+more than k / (k2 + 1) partitions in which every subset has items shares a signature
+with every set that it links to. A set with fewer also signs by other hashes, where the
+same holds, and after ``LEVELS`` of them by all subsets, empty ones too: no link is lost.
+
+Equal sets are one class from the start. A class signs once in each task, however many
+copies the task sees, so a text that a third of all rows share adds a row per signature
+and task. Classes that share signatures are chained (each with the one before it, by a
+window that keeps no group), chains give candidate components, and each component's
+classes are compared exactly, by postings of their items: in blocks of bounded size,
+each pair of blocks one unit of work, so that a huge component is neither gathered in
+one task nor written out as pairs. A class that a comparison has linked to another one
+of its block stays a candidate, links stay whole; only a spanning forest is written.
+
+Null or wordless texts have an empty set and no link. doc_id may be null or repeated:
+a document is a doc_id and a text, and is compared by its own text; a component's id is its least doc_id, or null where none has one. A component that rows
+without doc_id connect is connected. Ties and repeated rows are equal sets. Extra
+columns are ignored by ``join`` and kept by ``keep_one``. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -33,10 +37,10 @@ from itertools import combinations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, partitions, runs, written
+from .common import components, discard, partitions, runs, written
 
 U = np.uint64
 A1, A2, A3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -94,17 +98,21 @@ class Bands:
         return (self.den - self.num) * 2 * self.ends[b] // (self.den + self.num)
 
 
-LEVELS, SMALL = 5, 64
+LEVELS = 5
 
 
-def signatures(items: np.ndarray, band: Bands, k2: int = 0, fine: int = 1) -> np.ndarray:
+def signatures(items: np.ndarray, band: Bands, k2: int = 1, fine: int = 3) -> np.ndarray:
     """All signatures of one set of hashes."""
     out = []
     b = band.of(len(items))
     for c in (b, b + 1):
-        spoilt = band.most(c) // (k2 + 1)  # partitions with more than k2 of the differing items, at most
+        k = band.most(c)
+        if not k:  # sets of this band that link are equal
+            out.append(_signed(items, c, 1, 0, 1, 0)[0])
+            continue
+        spoilt = k // (k2 + 1)  # partitions with more than k2 of the differing items, at most
         n1 = spoilt + 1 + spoilt // 12
-        for level in range(LEVELS):
+        for level in range(LEVELS + 1):
             got, full = _signed(items, c, n1, k2, fine, level)
             out.append(got)
             if full > spoilt:
@@ -128,7 +136,7 @@ def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int)
         got = _mix(mixed ^ _mix(place + A3 * np.array([i], U)))
         full = count[:, list(chosen)].sum(axis=1) > 0
         whole &= full
-        out.append(got if level == LEVELS - 1 and len(items) < SMALL else got[full])
+        out.append(got if level == LEVELS else got[full])
     return np.concatenate(out), int(whole.sum())
 
 
@@ -143,15 +151,17 @@ def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
 
 def _features(n: int, similarity: tuple[int, int], k2: int, fine: int):
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        shingle, band = Shingler(n), Bands(similarity)
+        shingle, band, seen = Shingler(n), Bands(similarity), set()
+        none = np.zeros(0, np.int64)
         for frame in batches:
             rows = []
-            for doc_id, text in zip(frame["doc_id"].tolist(), frame["text"].tolist()):
+            for doc_id, text, t1, t2 in zip(*(frame[c].tolist() for c in ("doc_id", "text", "t1", "t2"))):
                 s = shingle(text)
-                sig = signatures(s, band, k2, fine) if len(s) else s
                 h1, h2 = (int((_mix(s * a)).sum(dtype=U).astype(np.int64)) for a in (A1, A2))
-                rows.append((doc_id, len(s), h1, h2, sig.astype(np.int64)))
-            yield pd.DataFrame(rows, columns=["doc_id", "n", "h1", "h2", "sig"]).astype({"doc_id": "Int64"})
+                new = len(s) and (h1, h2) not in seen
+                seen.add((h1, h2))
+                rows.append((doc_id, t1, t2, len(s), h1, h2, signatures(s, band, k2, fine).astype(np.int64) if new else none))
+            yield pd.DataFrame(rows, columns=["doc_id", "t1", "t2", "n", "h1", "h2", "sig"]).astype({"doc_id": "Int64"})
 
     return f
 
@@ -211,40 +221,65 @@ def _compare(n: int, similarity: tuple[int, int]):
     return f
 
 
-def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 0, fine: int = 1, block_chars: int = 2_000_000) -> DataFrame:
-    """(doc_id, n_shingles, class_id, component_id) per row of docs. class_id is the
-    least doc_id with an equal set."""
-    spark = docs.sparkSession
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    found = written(docs.mapInPandas(_features(n, similarity, k2, fine), "doc_id long, n long, h1 long, h2 long, sig array<long>"), "features")
-    signed = found.where("n > 0").select("h1", F.explode("sig").alias("s"))
+def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
+    """(doc_id, t1, t2, text): t1 and t2 are 128 bits of the text. Rows that agree in
+    the first three are one document."""
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(1), "text").alias("t2"), F.col("text").cast("string").alias("text"), *more)
+
+
+def _same(a: DataFrame, b: DataFrame, key: str) -> Column:
+    """Whether a row of a is the document that b names as a struct."""
+    return a["doc_id"].eqNullSafe(b[key]["doc_id"]) & (a["t1"] == b[key]["t1"]) & (a["t2"] == b[key]["t2"])
+
+
+def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine: int, block_chars: int) -> DataFrame:
+    """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
+    first document with that set and the first one of its component."""
+    found = written(docs.mapInPandas(_features(n, similarity, k2, fine), "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>"), "features")
+    signed = found.select("h1", F.explode("sig").alias("s"))
     before = signed.withColumn("o", F.lag("h1").over(Window.partitionBy("s").orderBy("h1")))
     candidates = components(before.where("o is not null and o <> h1").select(F.col("o").alias("a"), F.col("h1").alias("b")))
-    classes = found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min("doc_id").alias("class_id"))
-    members = classes.join(candidates, classes["h1"] == candidates["node"]).select("component", "class_id", "n", F.struct("h1", "h2").alias("k")).where("class_id is not null")
-    texts = docs.join(members, docs["doc_id"] == members["class_id"]).groupBy("k", "component").agg(F.any_value("text").alias("text"))
+    first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")
+    classes = written(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first")), "classes")
+    named = written(found.drop("sig"), "sets")
+    discard(found)
+    members = classes.join(candidates, classes["h1"] == candidates["node"]).select("component", F.struct("h1", "h2").alias("k"), "first")
+    texts = docs.join(members, _same(docs, members, "first")).groupBy("component", "k").agg(F.any_value("text").alias("text"))  # repeated rows have one text
     texts = written(texts.withColumn("size", F.length("text").cast("long")), "members")
     size = texts.groupBy("component").agg(F.ceil(F.sum("size") / block_chars).cast("int").alias("nb"))
     work = texts.join(size, "component").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
     work = work.select(F.col("component").alias("c"), "k", "text", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     work = work.select("c", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", F.concat_ws(":", "k.h1", "k.h2").alias("k"), "text")
-    work = work.repartition(partitions(spark) * 4, "c", "x", "y").sortWithinPartitions("c", "x", "y")
+    work = work.repartition(partitions(docs.sparkSession) * 4, "c", "x", "y").sortWithinPartitions("c", "x", "y")
     links = work.mapInPandas(_compare(n, similarity), "a string, b string")
     final = components(links)
-    label = classes.withColumn("k", F.concat_ws(":", "h1", "h2")).join(final, F.col("k") == final["node"], "left").select("h1", "h2", "n", "class_id", F.coalesce("component", "k").alias("g"))
-    label = written(label, "classes")
-    least = label.groupBy("g").agg(F.min("class_id").alias("component_id"))
-    label = label.join(least, "g").select("h1", "h2", F.col("n").alias("_n"), "class_id", "component_id")
-    rows = found.select("doc_id", "n", "h1", "h2")
-    out = rows.join(label, (rows["h1"] == label["h1"]) & (rows["h2"] == label["h2"]) & (rows["n"] == label["_n"]), "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("class_id", "doc_id").alias("class_id"), F.coalesce("component_id", "doc_id").alias("component_id"))
-
-
-def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100)) -> DataFrame:
-    """docs with one document of each component: the one with the least doc_id.
-    Documents without words and rows without doc_id stay."""
-    labels = join(docs, n, similarity).where("doc_id is not null and component_id <> doc_id").select("doc_id").distinct()
-    return docs.join(labels, "doc_id", "left_anti").select(*docs.columns)
+    label = classes.withColumn("k", F.concat_ws(":", "h1", "h2")).join(final, F.col("k") == final["node"], "left").select("h1", "h2", "first", F.coalesce("component", "k").alias("g"))
+    label = written(label, "labels")
+    least = written(label.groupBy("g").agg(F.min("first").alias("least")), "components")
+    label = written(label.join(least, "g").select(F.col("h1").alias("_h1"), F.col("h2").alias("_h2"), "first", "least"), "labelled")
+    out = named.join(label, (named["h1"] == label["_h1"]) & (named["h2"] == label["_h2"]) & (named["n"] > 0), "left")
+    return out.select("doc_id", "t1", "t2", "n", "first", "least")
+
+
+def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 16_000_000) -> DataFrame:
+    """(doc_id, n_shingles, class_id, component_id) per row of docs. class_id is the
+    least doc_id with an equal set."""
+    out = labelled(_keyed(docs), n, similarity, k2, fine, block_chars)
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
+
+
+def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 16_000_000) -> DataFrame:
+    """docs with one row of each component: that with the least doc_id, or one without
+    doc_id where none has one. Documents without words stay. Rows that agree in doc_id
+    and text are one document, of which one row stays."""
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    labels = labelled(_keyed(docs), n, similarity, k2, fine, block_chars)
+    own = F.struct("doc_id", "t1", "t2")
+    gone = labels.where("n > 0").where(own != F.struct("least.doc_id", "least.t1", "least.t2")).select(own.alias("key")).distinct()
+    rows = _keyed(docs, whole).drop("text")
+    gone = written(gone, "near-duplicates")
+    kept = rows.join(gone, _same(rows, gone, "key"), "left_anti")
+    return kept.dropDuplicates(["doc_id", "t1", "t2"]).select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest_query(docs: DataFrame) -> DataFrame:

@@ -395,7 +395,7 @@ def test_jaccard_join(spark, odd):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for more in ({}, {"k2": 1, "fine": 3}, {"block_chars": 500}):
+    for more in ({}, {"k2": 0, "fine": 1}, {"k2": 2, "fine": 4}, {"block_chars": 500}):
         got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_join.join(docs, **more).collect()}
         assert got == {i: (find(i), len(sets[i])) for i in sets}
     out = jaccard_join.join(odd)
@@ -404,6 +404,43 @@ def test_jaccard_join(spark, odd):
     assert jaccard_join.keep_one(odd).columns == odd.columns and jaccard_join.join(odd.limit(0)).count() == 0
 
 
+def test_jaccard_ids_and_copies(spark):
+    """Rows without doc_id connect others; rows that share a doc_id are compared by their own texts."""
+    words = [f"w{i}" for i in range(300)]
+
+    def text(*changed):
+        return " ".join("x" + w if i in changed else w for i, w in enumerate(words))
+
+    a, b, c = text(), text(20, 50, 80), text(20, 50, 80, 110, 140, 170)
+    sets = [{tuple(t.split()[i : i + 3]) for i in range(298)} for t in (a, b, c)]
+    share = lambda x, y: len(x & y) / len(x | y)
+    assert share(sets[0], sets[1]) >= 0.9 <= share(sets[1], sets[2]) and share(sets[0], sets[2]) < 0.9
+    docs = spark.createDataFrame([(1, a), (None, b), (3, c), (4, "other words here"), (4, c), (5, "other words here"), (None, "lone text without id"), (6, None)], "doc_id long, text string")
+    got = sorted(str((r.doc_id, r.component_id)) for r in jaccard_join.join(docs).collect())
+    assert got == sorted(str(x) for x in [(1, 1), (None, 1), (3, 1), (4, 4), (4, 1), (5, 4), (None, None), (6, 6)])
+    near = spark.createDataFrame([(i % 20, text(*range(i, 300, 40)) if i >= 20 else f"unrelated {i} {i * 7} {i * 11}") for i in range(40)] + [(50 + i, text(*range(20 + i, 300, 40), 5)) for i in range(20)], "doc_id long, text string")
+    linked = {r.doc_id: r.component_id for r in jaccard_join.join(near).where("doc_id >= 50").collect()}
+    assert all(v == k - 50 for k, v in linked.items())  # none is lost though each id has another text as well
+    rows = jaccard_join.keep_one(docs.union(docs.where("doc_id = 1")).withColumn("whole", F.lit("own")).withColumn("row", F.lit("r")))
+    assert rows.columns == ["doc_id", "text", "whole", "row"]
+    assert sorted(str((r.doc_id, r.text and len(r.text))) for r in rows.collect()) == sorted(str(x) for x in [(1, len(a)), (4, 16), (None, 20), (6, None)])
+
+
+def test_jaccard_signatures_are_complete():
+    """Any two sets at the threshold share a signature, small and large, whatever parts are empty."""
+    rng = np.random.default_rng(11)
+    band = jaccard_join.Bands((90, 100))
+    for size in [*range(1, 60), 100, 311, 1000]:
+        for _ in range(12):
+            items = rng.integers(0, 1 << 63, size * 2 + 2, dtype=np.uint64)
+            out = int(rng.integers(0, size // 10 + 1))
+            other = np.r_[items[: size - out], items[size : size + int(rng.integers(0, size // 10 + 1))]]
+            x, y = np.unique(items[:size]), np.unique(other)
+            both = len(np.intersect1d(x, y))
+            if 100 * both >= 90 * (len(x) + len(y) - both):
+                assert len(np.intersect1d(jaccard_join.signatures(x, band), jaccard_join.signatures(y, band)))
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="ad-free">
 <nav><ul><li>Menu</li></ul></nav><div class="ad">Buy</div><div class="strip">Same %s everywhere</div><div id="story"><h1>Head &amp; tail %d</h1><p><b>One<br>two
 <p>Three   %d</div><div class="comments"><p>First!</p></div><form><p>Name</p></form><aside>Side</aside><footer>&copy; me</footer></body></html>"""
