@@ -2,28 +2,30 @@ r"""Main text of pages by a site style tree.
 
 Pages of one host are merged into a style tree: a node is an element's path of tags,
 classes and ids; record numbers in them (post-123) count as equal. Each node's
-importance is the entropy of what it shows over the host's different pages, as a
-share of the most it could be: of its contents (the text right inside it) and of its
-presentation (the tags of its children), the larger counting; a branch is as important as its most important node. Branches of
-importance below ``least``, on at least ``pages_needed`` pages of the host, are
-removed from each page: they show the same everywhere. Pages with the same blocks of
-text count once, whatever markup, menus and adverts stand around them, so that a
-copied article doesn't look like a template.
-
-Before that, branches that markup itself names as no article (scripts, styles, forms,
-navigation, headers, footers, asides; elements whose class, id or role says advert,
-menu, sidebar, notice, comments and the like) are not part of the tree, and on a page
-with an article or main element only what is inside it is. There the markup says what
-the article is, and the tree removes nothing: articles that are nearly the same would
-look like a template. On a page without either, a copied text between unnamed parts
-that change from page to page can't be told from a template.
+importance is evidence times entropy. Entropy is that of what the node shows over the
+host's different pages, as a share of the most it could be: of its contents (the text
+right inside it) and of its presentation (the tags of its children), the larger
+counting. Evidence is what the markup says: 1, or ``HINTED`` below an element whose
+class, id or role has a part such as share, widget or related, which may be a box of
+links or the article's own section on share prices; only its entropy tells. A branch is
+as important as its most important node. Branches of importance below ``least``, on at
+least ``pages_needed`` pages of the host, are removed from each page: they show the same
+everywhere. Pages with the same blocks of text count once, whatever markup, menus and
+adverts stand around them, so that a copied article doesn't look like a template.
+
+Where evidence alone keeps importance below ``least``, whatever the entropy, no
+statistics are needed: scripts, styles, forms, navigation, headers, footers, asides;
+elements one of whose classes, or whose id or role, is an advert's, menu's, sidebar's,
+notice's or comment list's name; and on a page with an article or main element, all that
+is outside it. Inside of it, parts without a hint are certain to stay: articles that
+are nearly the same would look like a template. On a page without either, a copied text
+between unnamed parts that change from page to page can't be told from a template.
 
 Counts per (host, path, content) are aggregations that combine before their shuffle;
 no host's pages meet in one task, and which nodes stay is settled by joins on (host,
-path), so that only the nodes to remove travel with pages. A host that holds a third
-of all pages is a skewed key of the one join back, which adaptive execution splits;
-where the nodes to remove are few, as is usual, they are broadcast and pages aren't
-shuffled at all.
+path). Only nodes to remove travel with pages: broadcast where they are at most
+``broadcast_nodes``, as is usual, so that pages aren't shuffled at all; else each page
+gets those of its own nodes, so no list grows with a host.
 
 Text: character references are decoded, white space inside a block becomes one space,
 blocks are joined in page order by a blank line. Nulls: a null html has the empty
@@ -41,7 +43,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import written
+from .common import discard, written
 
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[/!?a-zA-Z](?:[^'\"<>]|\"[^\"]*\"|'[^']*')*>|<[/!?a-zA-Z][^<>]*(?:>|$)", re.S)
 NAME = re.compile(r"</?([a-zA-Z][^\s/>]*)")
@@ -54,28 +56,32 @@ DROPPED = set("script style noscript template nav footer aside form button selec
 RAW = set("script style noscript template textarea title iframe".split())
 VOID = set("area base br col embed hr img input link meta source track wbr".split())
 BLOCKS = set("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
-HINTS = re.compile(r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|banner|breadcrumbs?|comments?|comment-list|cookies?|consent|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notice|notices|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|side-bar|signup|site-header|social|sponsor|sponsored|subscribe|toolbar|topbar|widget|alert|complementary|contentinfo|discussion)(?=$|[\s_-])", re.I)
+NOISE = set("ad ads advert adverts advertisement advertising banner breadcrumb breadcrumbs comments comment-list comments-area complementary consent contentinfo cookie cookies disqus footer masthead menu modal nav navbar navigation newsletter notice notices popup promo promoted related replies respond sharing side-bar sidebar site-header sponsor sponsored subscribe toolbar topbar".split())
+HINTS = re.compile(r"(?:^|[\s_-])(ads?|adverts?|advertisement|advertising|alert|banner|breadcrumbs?|comments?|consent|cookies?|discussion|disqus|footer|login|masthead|menu|modal|nav|navbar|navigation|newsletter|notices?|popup|promo|promoted|related|replies|respond|search|share|sharing|sidebar|signup|social|sponsor|sponsored|subscribe|toolbar|topbar|widget)(?=$|[\s_-])", re.I)
+HINTED = 0.5
 
 
 def blocks(page: str | None) -> list[tuple[str, str, bool]]:
-    """(path, text, in_article) of every block of text, in page order."""
-    out: list[tuple[str, str, bool]] = []
-    stack: list[tuple[str, str, bool]] = []  # name, step of the path, dropped
+    """(path, text, certain) of every block of text that evidence alone doesn't
+    remove, in page order; certain: inside an article, and without a hint."""
+    out: list[tuple[str, str, bool, bool]] = []  # path, text, in an article, hinted at
+    stack: list[tuple[str, str, bool, bool]] = []  # name, step of the path, dropped, hinted at
     text: list[str] = []
-    dropped = article = 0
+    dropped = article = hinted = 0
 
     def flush() -> None:
         nonlocal text
         if text:
             words = " ".join(H.unescape("".join(text)).split())
             if words and not dropped:
-                out.append(("/".join(s[1] for s in stack if s[0] in BLOCKS), words, article > 0))
+                out.append(("/".join(s[1] for s in stack if s[0] in BLOCKS), words, article > 0, hinted > 0))
             text = []
 
     def pop() -> None:
-        nonlocal dropped, article
-        name, _, gone = stack.pop()
+        nonlocal dropped, article, hinted
+        name, _, gone, hint = stack.pop()
         dropped -= gone
+        hinted -= hint
         article -= name in ("article", "main")
 
     page, at = page or "", 0
@@ -115,60 +121,88 @@ def blocks(page: str | None) -> list[tuple[str, str, bool]]:
         if name in VOID or tag.endswith("/>"):
             continue
         said = " ".join(a or b or c for _, a, b, c in ATTRIBUTE.findall(tag)) if "=" in tag else ""
-        gone = name in DROPPED or (name == "header" and not article) or bool(said and name not in ("html", "body") and HINTS.search(said))
+        own = name not in ("html", "body") and said
+        gone = name in DROPPED or (name == "header" and not article) or bool(own and not NOISE.isdisjoint(said.lower().split()))
+        hint = bool(own and name not in ("article", "main") and HINTS.search(said))
         if gone and not dropped:
             flush()
-        stack.append((name, name + ("." + ".".join(sorted(DIGITS.sub("0", said).split())) if said else ""), gone))
+        stack.append((name, name + ("." + ".".join(sorted(DIGITS.sub("0", said).split())) if said else ""), gone, hint))
         dropped += gone
+        hinted += hint
         article += name in ("article", "main")
         if name in RAW:
             end = re.compile(f"</{name}", re.I).search(page, at)
             at = end.start() if end else len(page)
     flush()
-    return [b for b in out if b[2]] if any(b[2] for b in out) else out
+    inside = any(b[2] for b in out)
+    return [(path, words, within and not hint) for path, words, within, hint in out if within or not inside]
+
+
+def _evidence(path: str) -> float:
+    return HINTED if HINTS.search(path.replace(".", " ").replace("/", " ")) else 1.0
+
+
+def _above(path: str) -> list[str]:
+    steps = path.split("/")
+    return ["/".join(steps[:i]) for i in range(1, len(steps) + 1)]
 
 
 def _nodes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """What each page shows at each node: the text right inside it and its children."""
     import xxhash
 
+    digest = lambda parts: xxhash.xxh3_64_intdigest("\0".join(parts).encode("utf-8", "surrogatepass")) >> 1
     for frame in batches:
         rows = []
         for host, page in zip(frame["host"], frame["html"]):
             found = blocks(page)
-            same = xxhash.xxh3_64_intdigest("\0".join(f"{path}\0{text}" for path, text, _ in found).encode("utf-8", "surrogatepass")) >> 1
+            same = digest(f"{path}\0{text}" for path, text, _ in found)
             shown: dict[str, list[str]] = {}
             inside: dict[str, list[str]] = {}
-            for path, text, _ in found:
+            certain = set()
+            for path, text, stays in found:
                 shown.setdefault(path, []).append(text)
-                steps = path.split("/")
-                for i in range(1, len(steps)):
-                    inside.setdefault("/".join(steps[:i]), []).append(steps[i])
+                above = _above(path)
+                for i in range(1, len(above)):
+                    inside.setdefault(above[i - 1], []).append(above[i][len(above[i - 1]) + 1 :])
+                if stays:
+                    certain.update(above)
             for path in shown.keys() | inside.keys():
-                a, b = (xxhash.xxh3_64_intdigest("\0".join(x.get(path, [])).encode("utf-8", "surrogatepass")) >> 1 for x in (shown, inside))
-                rows.append((host, same, path, a, b))
-        yield pd.DataFrame(rows, columns=["host", "same", "path", "content", "look"])
+                rows.append((host, same, path, digest(shown.get(path, [])), digest(inside.get(path, [])), 2.0 if path in certain else _evidence(path)))
+        yield pd.DataFrame(rows, columns=["host", "same", "path", "content", "look", "evidence"])
 
 
 def importance(pages: DataFrame) -> DataFrame:
-    """(host, path, pages, importance) of the style trees' nodes, from (host, html)."""
-    nodes = pages.mapInPandas(_nodes, "host string, same long, path string, content long, look long").distinct()  # a page's copies count once
-    both = nodes.select("host", "path", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("v")))).alias("x"))
-    counts = both.groupBy("host", "path", "x").agg(F.count(F.lit(1)).alias("k"))
-    by = counts.groupBy("host", "path", F.col("x.kind").alias("kind")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"))
+    """(host, path, pages, importance) of the style trees' nodes, from (host, html);
+    1 at least for nodes that are certain to stay."""
+    nodes = pages.mapInPandas(_nodes, "host string, same long, path string, content long, look long, evidence double").distinct()  # a page's copies count once
+    both = nodes.select("host", "path", "evidence", F.explode(F.array(F.struct(F.lit(0).alias("kind"), F.col("content").alias("v")), F.struct(F.lit(1).alias("kind"), F.col("look").alias("v")))).alias("x"))
+    counts = both.groupBy("host", "path", "x").agg(F.count(F.lit(1)).alias("k"), F.max("evidence").alias("e"))
+    by = counts.groupBy("host", "path", F.col("x.kind").alias("kind")).agg(F.sum("k").alias("n"), F.sum(F.col("k") * F.ln("k")).alias("s"), F.max("e").alias("e"))
     share = F.when(F.col("n") > 1, (F.ln("n") - F.col("s") / F.col("n")) / F.ln("n")).otherwise(1.0)
-    return by.groupBy("host", "path").agg(F.max("n").alias("pages"), F.max(share).alias("importance"))
+    return by.groupBy("host", "path").agg(F.max("n").alias("pages"), F.max(F.when(F.col("e") > 1, 1.0).otherwise(share * F.col("e"))).alias("importance"))
 
 
 def removed(tree: DataFrame, least: float, pages_needed: int) -> DataFrame:
-    """(host, low): the nodes to remove. A branch is as important as its most
+    """(host, path): the nodes to remove. A branch is as important as its most
     important node, so a node goes only if none inside it stays."""
     tree = written(tree, "style-tree")
     low = tree.where((F.col("importance") < least) & (F.col("pages") >= pages_needed)).select("host", "path")
     steps = F.split("path", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda i: F.array_join(F.slice(steps, F.lit(1), i), "/"))
     stay = tree.where(F.col("importance") >= least).select("host", F.explode(above).alias("path")).distinct()
-    return low.join(stay, ["host", "path"], "left_anti").groupBy("host").agg(F.collect_list("path").alias("low"))
+    out = written(low.join(stay, ["host", "path"], "left_anti"), "style-nodes")
+    discard(tree)
+    return out
+
+
+def _paths(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """The nodes of each page that may go."""
+    for frame in batches:
+        rows = []
+        for k1, k2, host, page in zip(frame["k1"], frame["k2"], frame["host"], frame["html"]):
+            rows += [(k1, k2, host, path) for path in {a for p, _, certain in blocks(page) if not certain for a in _above(p)}]
+        yield pd.DataFrame(rows, columns=["k1", "k2", "host", "path"])
 
 
 def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -176,27 +210,25 @@ def _texts(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         texts = []
         for page, low in zip(frame["html"], frame["low"]):
             low = set(low) if low is not None else set()
-
-            def gone(path: str) -> bool:
-                steps = path.split("/")
-                return any("/".join(steps[:i]) in low for i in range(1, len(steps) + 1))
-
-            texts.append("\n\n".join(t for p, t, article in blocks(page) if article or not low or not gone(p)))
+            texts.append("\n\n".join(t for p, t, certain in blocks(page) if certain or not low or low.isdisjoint(_above(p))))
         out = frame.drop(columns=["html", "low"])
         yield out.assign(text=texts, n_chars=[len(t) for t in texts])
 
 
-def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 5, broadcast_nodes: int = 50_000) -> DataFrame:
+def extract(pages: DataFrame, least: float = 0.2, pages_needed: int = 3, broadcast_nodes: int = 50_000) -> DataFrame:
     """(page_id, url, text, n_chars) per page."""
     p = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     p = p.withColumn("host", F.coalesce(F.lower(F.regexp_extract("url", r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/@?#]*@)?([^/?#]+)", 1)), F.lit("")))
-    seen = removed(importance(p.select("host", "html")), least, pages_needed)
-    # Few nodes are removed, as a rule; beyond broadcast_nodes of them, pages are shuffled by host instead.
-    seen = written(seen, "style-nodes")
-    if (seen.agg(F.sum(F.size("low"))).first()[0] or 0) <= broadcast_nodes:
-        seen = F.broadcast(seen)
-    rows = p.join(seen, "host", "left").select("page_id", "url", "html", "low")
-    return rows.mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
+    nodes = removed(importance(p.select("host", "html")), least, pages_needed)
+    if nodes.count() <= broadcast_nodes:
+        low = F.broadcast(nodes.groupBy("host").agg(F.collect_list("path").alias("low")))  # broadcast_nodes paths in all
+        rows = p.join(low, "host", "left")
+    else:
+        p = p.withColumns({"k1": F.xxhash64("host", "html"), "k2": F.xxhash64(F.lit(1), "host", "html")})
+        own = p.select("k1", "k2", "host", "html").mapInPandas(_paths, "k1 long, k2 long, host string, path string").distinct()
+        low = written(own.join(nodes, ["host", "path"]).groupBy("k1", "k2").agg(F.collect_list("path").alias("low")), "page-nodes")
+        rows = p.join(low, ["k1", "k2"], "left")
+    return rows.select("page_id", "url", "html", "low").mapInPandas(_texts, "page_id long, url string, text string, n_chars long")
 
 
 def digest_query(pages: DataFrame) -> DataFrame:

@@ -478,7 +478,28 @@ def test_html_record_numbers_in_ids(spark):
     assert {r.page_id: r.text for r in got} == {i: f"Own {i}" for i in range(1000, 1008)}
     tree = [("a", "b", 9, 0.0), ("a", "b/c", 9, 0.0), ("a", "b/d", 9, 0.0), ("a", "b/d/e", 1, 1.0)] + [("a", f"x/y{i}", 1, 1.0) for i in range(1000)]
     nodes = html_extract.removed(spark.createDataFrame(tree, "host string, path string, pages long, importance double"), 0.2, 5)
-    assert [tuple(r) for r in nodes.collect()] == [("a", ["b/c"])]  # no path that stays comes along
+    assert [tuple(r) for r in nodes.collect()] == [("a", "b/c")]  # no path that stays comes along
+
+
+def test_html_entropy_decides_on_hints(spark):
+    """Parts of an article whose class hints at a box: those that say the same everywhere go, the others stay. Off, the tree removes nothing."""
+    page = '<html><body><nav>Menu</nav><article><h1>Head %d</h1><section class="share-price"><p>Price %d</p></section><div class="share-box"><p>Share this</p></div><p>Same law</p><div class="comments"><p>First %d</p></div></article></body></html>'
+    rows = [(i, f"http://{'big' if i < 9 else 'small'}/{i}", page % (i, i, i)) for i in range(12)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumns({"host": F.lit("x"), "low": F.lit("y"), "k1": F.lit(1)})
+    for more in ({}, {"broadcast_nodes": 0}):
+        got = {r.page_id: r.text for r in html_extract.extract(pages, **more).collect()}
+        assert got == {i: f"Head {i}\n\nPrice {i}\n\nSame law" for i in range(12)}
+    off = {r.page_id: r.text for r in html_extract.extract(pages, least=0.0).collect()}
+    assert off == {i: f"Head {i}\n\nPrice {i}\n\nShare this\n\nSame law" for i in range(12)}
+
+
+def test_html_without_article(spark):
+    """Three pages are enough to know a host's menu and last line; a page of 2 MB and repeated rows."""
+    page = '<html><body><div class="top"><p>Home Shop</p></div><div class="text"><p>%s</p></div><div class="end"><p>All rights</p></div></body></html>'
+    rows = [(i, f"http://h/{i}", page % (f"Own {i} " * (300_000 if i == 2 else 1))) for i in range(3)]
+    rows += [rows[0], (7, "http://other/", page % "alone")]
+    got = html_extract.extract(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert sorted((r.page_id, r.n_chars) for r in got) == [(0, 5), (0, 5), (1, 5), (2, 1_799_999), (7, len("Home Shop\n\nalone\n\nAll rights"))]
 
 
 def test_html_is_the_article(spark):
