@@ -65,6 +65,15 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return out
 
 
+def written_stage(make, name: str) -> DataFrame:
+    """make()'s rows, written; the tables that it wrote on the way are discarded."""
+    before = set(_WRITTEN)
+    out = written(make(), name)
+    for path in _WRITTEN - before - {out.written_to}:
+        _delete(path)
+    return out
+
+
 def discard(*tables: DataFrame) -> None:
     """Deletes written tables that nothing will read again: not even a lost task of
     what is still to run, whose inputs are written tables of their own."""

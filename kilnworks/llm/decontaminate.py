@@ -89,18 +89,21 @@ def remove(docs: DataFrame, bench: DataFrame, n: int = 10, spans: bool = False,
     """docs without contaminated documents or, with ``spans``, with the hit words
     (and what stands between two of them) cut out of their texts and n_chars set to
     what is left."""
-    digest = F.xxhash64(F.col("text"))
-    keyed = docs.withColumn("_digest", digest)
-    bad = hits(keyed, bench, n, ["doc_id", "_digest"], max_broadcast).where(F.size("hit_words") > 0).dropDuplicates(["doc_id", "_digest"])
-    bad = bad.select(F.col("doc_id").alias("_id"), F.col("_digest").alias("_d"), F.col("hit_words").alias("_hits"))
-    same = keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["_digest"] == bad["_d"])
+    # Whole rows travel as one column, so that no name of theirs can clash.
+    whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
+    keyed = docs.select(whole, "doc_id", "text", F.xxhash64("text").alias("digest"))
+    bad = hits(keyed, bench, n, ["doc_id", "digest"], max_broadcast).where(F.size("hit_words") > 0).dropDuplicates(["doc_id", "digest"])
+    bad = bad.select(F.col("doc_id").alias("_id"), F.col("digest").alias("_d"), F.col("hit_words").alias("_hits"))
+    same = keyed["doc_id"].eqNullSafe(bad["_id"]) & (keyed["digest"] == bad["_d"])
+    columns = {c: F.col(f"whole.`{c}`").alias(c) for c in docs.columns}
     if not spans:
-        return keyed.join(bad, same, "left_anti").drop("_digest")
+        return keyed.join(bad, same, "left_anti").select(*columns.values())
     gap, inside = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]", r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
     joined = keyed.join(bad, same, "left").withColumn("_pieces", F.regexp_extract_all("text", F.lit(rf"(?:^{gap}+)?{inside}+{gap}*"), F.lit(0)))
     cut = F.array_join(F.filter(F.transform("_pieces", lambda x, i: F.when(F.array_contains("_hits", i), F.lit(None)).otherwise(x)), lambda x: x.isNotNull()), "")
-    text = F.when(F.col("_hits").isNull(), F.col("text")).otherwise(cut)
-    return joined.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
+    joined = joined.withColumn("_new", F.when(F.col("_hits").isNull(), F.col("text")).otherwise(cut))
+    own = {"text": F.col("_new").alias("text"), "n_chars": F.length("_new").cast("long").alias("n_chars")}
+    return joined.select(*[own.get(c, x) for c, x in columns.items()])
 
 
 def digest_query(docs: DataFrame, bench: DataFrame) -> DataFrame:

@@ -5,9 +5,9 @@ ordered thresholds theta_0 < ... < theta_(K-2), and the output is the expected g
 sum over j of P(grade > j). Features of a text are its words, each with
 log(1 + 200 * occurrences / words), so that a word counts by its share of the text.
 
-Fitting uses at most ``sample`` labelled rows, chosen by a hash of doc_id, and at
-most ``vocabulary`` words that ``least_documents`` of them have; nothing else is
-bounded: every word of every whole text is scored, by the words with a weight, which
+Fitting uses at most ``sample`` labelled rows, chosen by a hash of doc_id, and all
+words that ``least_documents`` of them have, since fewer can't show a weight; nothing
+else is bounded: every word of every whole text is scored, by the words with a weight, which
 travel with the task. Weights are found by full-batch proximal Adam (L1), so most are
 zero.
 
@@ -20,7 +20,10 @@ small to show that rate keeps 0.5.
 Grades are integers 0 .. K-1; ``documents`` has only toxic 0/1, so K is 2 there.
 Nulls: a null text has no words; a null grade or doc_id isn't fitted on. Without
 labelled rows, or with one grade only, every expected grade is that grade (0 without
-rows). Repeated rows and extra columns stay.
+rows). A document with several labels has the highest; of several texts under one
+doc_id the least by hash is fitted on, so that a fit is the same each time. Repeated
+rows and extra columns stay; a column named severity is replaced. An empty table of
+documents gives the empty model and no rows.
 """
 
 from __future__ import annotations
@@ -75,15 +78,16 @@ def _explode(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(rows, columns=["doc_id", "grade", "word", "x"])
 
 
-def fit(docs: DataFrame, grades: DataFrame, sample: int = 4000, vocabulary: int = 50_000, least_documents: int = 4, steps: int = 250, l1: float = 2e-4, false_rejections: float = 0.005, folds: int = 5) -> Ordinal:
+def fit(docs: DataFrame, grades: DataFrame, sample: int = 4000, least_documents: int = 4, steps: int = 250, l1: float = 2e-4, false_rejections: float = 0.005, folds: int = 5) -> Ordinal:
     """grades: (doc_id, grade)."""
-    known = grades.where("doc_id is not null and grade is not null").dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id").dropDuplicates(["doc_id"])  # sample rows at most
+    known = grades.where("doc_id is not null and grade is not null").groupBy("doc_id").agg(F.max("grade").alias("grade")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = docs.select("doc_id", "text").join(F.broadcast(known), "doc_id")  # sample rows at most
+    rows = rows.groupBy("doc_id", "grade").agg(F.min_by("text", F.struct(F.xxhash64("text"), F.xxhash64(F.lit(1), "text"))).alias("text"))
     x = rows.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("grade").cast("int").alias("grade"), "text").mapInPandas(_explode, "doc_id long, grade int, word string, x double")
     # Rows of one document come together; the words' counts are those of the sample.
 
     x = written(x, "sample")
-    kept = x.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_documents).orderBy(F.desc("k"), "word").limit(vocabulary).select("word", F.xxhash64("word").alias("w"))
+    kept = x.groupBy("word").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") >= least_documents).select("word", F.xxhash64("word").alias("w"))
     labels = x.select("doc_id", "grade").distinct().toArrow().to_pandas().sort_values("doc_id", ignore_index=True)
     cells = x.join(F.broadcast(kept), "word").select("doc_id", "w", F.col("x").cast("float").alias("x")).toArrow().to_pandas().sort_values(["doc_id", "w"], ignore_index=True)
     names = dict(kept.select("w", "word").toArrow().to_pandas().itertuples(index=False, name=None))

@@ -262,10 +262,51 @@ def test_toxicity_cut_held_out(spark):
     rows = toxicity.score(docs, model).join(labels.where("doc_id % 4 = 1"), "doc_id").select("grade", toxicity.toxic(model).alias("p")).collect()
     caught, rejected = ([r.p for r in rows if (r.grade > 0) == t] for t in (True, False))
     print(model.cut, sum(caught), len(caught), sum(rejected), len(rejected))
-    assert sum(caught) / len(caught) > 0.85
+    assert sum(caught) / len(caught) >= 0.9
     assert sum(rejected) / len(rejected) < 0.01
 
 
+def test_toxicity_brute_force(spark):
+    """Scores by the formula, word by word; the fit against a dense loss and plain gradient steps."""
+    import math
+
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels").selectExpr("doc_id", "toxic AS grade")
+    model = toxicity.fit(docs, labels, least_documents=1)
+    for r in toxicity.score(docs, model).collect():
+        words = toxicity.WORDS.findall(r.text.lower())
+        z = sum(w * math.log(1 + 200 * words.count(x) / len(words)) for x, w in model.weights.items() if x in words)
+        assert abs(r.severity - sum(1 / (1 + math.exp(t - z)) for t in model.thresholds)) < 1e-9
+    rng = np.random.default_rng(5)
+    x = (rng.random((200, 6)) < 0.3) * rng.random((200, 6))
+    grade = np.clip((x @ np.array([6, 3, 0, 0, -4, 0]) + rng.normal(0, 0.3, 200)).round(), 0, 2).astype(int)
+    cells = pd.DataFrame([(i, f"f{j}", x[i, j]) for i in range(200) for j in range(6) if x[i, j]], columns=["doc_id", "word", "x"])
+    got = toxicity.solve(pd.DataFrame({"doc_id": range(200), "grade": grade}), cells, 2000)
+
+    def loss(w, theta):
+        p = 1 / (1 + np.exp(np.clip(np.array(theta)[None] - (x @ w)[:, None], -60, 60)))
+        above = grade[:, None] > np.arange(2)[None]
+        return -np.where(above, np.log(p), np.log(1 - p)).sum() / 200 + 2e-4 * np.abs(w).sum()
+
+    w, theta = np.zeros(6), np.array([0.0, 1.0])
+    for _ in range(6000):
+        p = 1 / (1 + np.exp(theta[None] - (x @ w)[:, None]))
+        slope = p - (grade[:, None] > np.arange(2)[None])
+        w -= 2.0 * (x.T @ slope.sum(1) / 200 + 2e-4 * np.sign(w))
+        theta += 2.0 * slope.sum(0) / 200
+    mine = np.array([got.weights.get(f"f{j}", 0.0) for j in range(6)])
+    assert loss(mine, got.thresholds) < loss(w, theta) * 1.02
+
+
+def test_toxicity_is_the_same_each_time(spark):
+    docs = spark.createDataFrame([(i, f"{'bad' if i % 3 == 0 else 'good'} word {i % 7}") for i in range(60)] + [(3, "good other"), (4, "bad other")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(60)] + [(3, 0), (4, 1), (4, 0)], "doc_id long, grade int")
+    models = [toxicity.fit(d, g) for d, g in ((docs, labels), (docs.orderBy(F.desc("text")).repartition(3), labels.repartition(3)))]
+    assert models[0] == models[1] and models[0].expected("bad word") > models[0].expected("good word")
+    assert toxicity.score(docs.limit(0), models[0]).count() == 0 and toxicity.fit(docs.limit(0), labels) == toxicity.Ordinal()
+    again = toxicity.score(docs.union(docs.limit(1)).withColumn("severity", F.lit("own")), models[0])
+    assert again.count() == 63 and dict(again.dtypes)["severity"] == "double"
+
+
 def test_toxicity_edges(spark, odd):
     none = spark.createDataFrame([], "doc_id long, grade int")
     assert toxicity.fit(odd, none) == toxicity.Ordinal()
