@@ -235,15 +235,21 @@ def _same(a: DataFrame, b: DataFrame, key: str) -> Column:
 def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine: int, block_chars: int) -> DataFrame:
     """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
     first document with that set and the first one of its component."""
-    found = written(docs.mapInPandas(_features(n, similarity, k2, fine), "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>"), "features")
-    signed = found.select("h1", F.explode("sig").alias("s"))
-    before = signed.withColumn("o", F.lag("h1").over(Window.partitionBy("s").orderBy("h1")))
-    candidates = components(before.where("o is not null and o <> h1").select(F.col("o").alias("a"), F.col("h1").alias("b")))
+    found = docs.mapInPandas(_features(n, similarity, k2, fine), "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>")
+    # Rows that sign have numbers, which the shuffle packs better than hashes; they are written, so they don't change.
+    found = written(found.withColumn("i", F.monotonically_increasing_id()), "features")
+    signed = found.select("i", F.explode("sig").alias("s"))
+    before = signed.withColumn("o", F.lag("i").over(Window.partitionBy("s").orderBy("i")))
+    edges = written(before.where("o is not null").select(F.col("o").alias("a"), F.col("i").alias("b")).distinct(), "shared-signatures")
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")
     classes = written(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first")), "classes")
     named = written(found.drop("sig"), "sets")
     discard(found)
-    members = classes.join(candidates, classes["h1"] == candidates["node"]).select("component", F.struct("h1", "h2").alias("k"), "first")
+    candidates = components(edges)
+    held = named.join(candidates, named["i"] == candidates["node"]).select("component", "h1", "h2", "n").distinct()
+    held = written(held, "candidates")
+    several = written(held.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component"), "several")
+    members = classes.join(held.join(several, "component"), ["h1", "h2", "n"]).select("component", F.struct("h1", "h2").alias("k"), "first")
     texts = docs.join(members, _same(docs, members, "first")).groupBy("component", "k").agg(F.any_value("text").alias("text"))  # repeated rows have one text
     texts = written(texts.withColumn("size", F.length("text").cast("long")), "members")
     size = texts.groupBy("component").agg(F.ceil(F.sum("size") / block_chars).cast("int").alias("nb"))
@@ -261,14 +267,14 @@ def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine
     return out.select("doc_id", "t1", "t2", "n", "first", "least")
 
 
-def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 16_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) per row of docs. class_id is the
     least doc_id with an equal set."""
     out = labelled(_keyed(docs), n, similarity, k2, fine, block_chars)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 16_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 4_000_000) -> DataFrame:
     """docs with one row of each component: that with the least doc_id, or one without
     doc_id where none has one. Documents without words stay. Rows that agree in doc_id
     and text are one document, of which one row stays."""
