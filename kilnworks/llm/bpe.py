@@ -42,6 +42,8 @@ WHITE = r"\t-\r \u0085   -     　"
 NO_RANK = 1 << 18
 #: Words of more characters are merged in a Python worker.
 LONG = 1000
+#: Characters of a plan's text that the driver keeps: the literal tables would fill it.
+PLAN_TEXT = 100_000
 #: Multiplier and shift of the two hashes of a pair; products stay below 2 ** 63 for ids below 2 ** 16.
 FIRST, SECOND = (1540483477, 15), (1597334677, 11)
 
@@ -158,7 +160,7 @@ class ByteBpe:
     """Encoder and decoder for one file of ranks (the file's path is a parameter,
     read on the driver)."""
 
-    def __init__(self, path: str, pattern: str, slots: int = 1 << 17, held_words: int = 1 << 20):
+    def __init__(self, path: str, pattern: str, slots: int = 1 << 16, held_words: int = 1 << 20):
         self.path, self.ranks, self.pattern = path, read_ranks(path), java_pattern(pattern)
         self.slots, self.held_words = max(1, slots), held_words if slots else 0
         self.shift = (max(self.ranks.values()) + 1).bit_length()
@@ -258,6 +260,9 @@ class ByteBpe:
 
     def encode_text(self, docs: DataFrame, text_col: str = "text", out: str = "ids_text") -> DataFrame:
         """docs with their ids as text: decimal, joined by commas; '' for none."""
+        conf = docs.sparkSession.conf
+        if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
+            conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
         folder, held = self.dictionary(docs, text_col)
         at = dict(zip(held["slot"].to_pylist(), range(len(held))))
         words, ids = (literal_strings(column[at[i]].as_py() if i in at else "" for i in range(self.slots)) for column in (held["word"].combine_chunks(), held["ids"].combine_chunks()))
