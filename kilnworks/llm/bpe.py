@@ -260,9 +260,7 @@ class ByteBpe:
 
     def encode_text(self, docs: DataFrame, text_col: str = "text", out: str = "ids_text") -> DataFrame:
         """docs with their ids as text: decimal, joined by commas; '' for none."""
-        conf = docs.sparkSession.conf
-        if int(conf.get("spark.sql.maxPlanStringLength")) > PLAN_TEXT:
-            conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
+        docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
         folder, held = self.dictionary(docs, text_col)
         at = dict(zip(held["slot"].to_pylist(), range(len(held))))
         words, ids = (literal_strings(column[at[i]].as_py() if i in at else "" for i in range(self.slots)) for column in (held["word"].combine_chunks(), held["ids"].combine_chunks()))
