@@ -19,10 +19,14 @@ Equal sets are one class from the start. A class signs once in each task, howeve
 copies the task sees, so a text that a third of all rows share adds a row per signature
 and task. Classes that share signatures are chained (each with the one before it, by a
 window that keeps no group), chains give candidate components, and each component's
-classes are compared exactly, by postings of their items: in blocks of bounded size,
-each pair of blocks one unit of work, so that a huge component is neither gathered in
-one task nor written out as pairs. A class that a comparison has linked to another one
-of its block stays a candidate, links stay whole; only a spanning forest is written.
+classes are compared exactly, by postings of their items, in blocks of bounded size. At
+first all blocks meet the component's leading one only. What that links needs no further
+comparison within itself: of the groups known by then the largest one's blocks meet
+only the blocks of the rest, and the rest's meet each other, each pair of blocks one unit
+of work. So a huge group of near copies is neither gathered in one task nor written out
+as pairs, and its texts move as often as the rest has blocks. Links stay whole: each
+two classes of a candidate component are compared, or known to be connected already;
+only a spanning forest is written.
 
 Null or wordless texts have an empty set and no link. doc_id may be null or repeated:
 a document is a doc_id and a text, and is compared by its own text; a component's id is its least doc_id, or null where none has one. A component that rows
@@ -232,6 +236,31 @@ def _same(a: DataFrame, b: DataFrame, key: str) -> Column:
     return a["doc_id"].eqNullSafe(b[key]["doc_id"]) & (a["t1"] == b[key]["t1"]) & (a["t2"] == b[key]["t2"])
 
 
+def _links(texts: DataFrame, lead: Column, n: int, similarity: tuple[int, int]) -> DataFrame:
+    """Links (a, b) between texts (c, k, text, b, nb) of one component c, the blocks b
+    below lead compared with all nb blocks and within themselves."""
+    others = F.explode(F.sequence(F.lit(0), F.when(F.col("b") < lead, F.col("nb")).otherwise(lead) - 1))
+    work = texts.select("c", "k", "text", "b", others.alias("o"))
+    work = work.select("c", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "k", "text")
+    work = work.repartition(partitions(texts.sparkSession) * 4, "c", "x", "y").sortWithinPartitions("c", "x", "y")
+    return work.mapInPandas(_compare(n, similarity), "a string, b string")
+
+
+def _rest(texts: DataFrame, links: DataFrame, block_chars: int) -> tuple[DataFrame, Column]:
+    """texts (c, k, text, size) dealt into blocks, and how many of them lead: those of
+    the texts outside the largest group that links connect in their component. A component
+    without such texts has no more to compare and no rows."""
+    known = components(links)
+    grouped = texts.join(known, texts["k"] == known["node"], "left").select("c", "k", "text", "size", F.coalesce("component", "k").alias("g"))
+    grouped = written(grouped, "groups")
+    groups = grouped.groupBy("c", "g").agg(F.sum("size").alias("size"))
+    largest = groups.groupBy("c").agg(F.max_by("g", F.struct("size", "g")).alias("main"), F.max("size").alias("held"), F.sum("size").alias("size"))
+    blocks = largest.where("held < size").select("c", "main", F.ceil((F.col("size") - F.col("held")) / block_chars).cast("int").alias("lead"), F.ceil(F.col("held") / block_chars).cast("int").alias("more"))
+    dealt = grouped.join(blocks, "c").withColumn("z", F.xxhash64("k"))
+    b = F.when(F.col("g") == F.col("main"), F.col("lead") + F.pmod("z", "more")).otherwise(F.pmod("z", "lead"))
+    return dealt.select("c", "k", "text", b.cast("int").alias("b"), (F.col("lead") + F.col("more")).alias("nb"), "lead"), F.col("lead")
+
+
 def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine: int, block_chars: int) -> DataFrame:
     """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
     first document with that set and the first one of its component."""
@@ -252,12 +281,13 @@ def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine
     members = classes.join(held.join(several, "component"), ["h1", "h2", "n"]).select("component", F.struct("h1", "h2").alias("k"), "first")
     texts = docs.join(members, _same(docs, members, "first")).groupBy("component", "k").agg(F.any_value("text").alias("text"))  # repeated rows have one text
     texts = written(texts.withColumn("size", F.length("text").cast("long")), "members")
-    size = texts.groupBy("component").agg(F.ceil(F.sum("size") / block_chars).cast("int").alias("nb"))
-    work = texts.join(size, "component").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
-    work = work.select(F.col("component").alias("c"), "k", "text", "b", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
-    work = work.select("c", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", F.concat_ws(":", "k.h1", "k.h2").alias("k"), "text")
-    work = work.repartition(partitions(docs.sparkSession) * 4, "c", "x", "y").sortWithinPartitions("c", "x", "y")
-    links = work.mapInPandas(_compare(n, similarity), "a string, b string")
+    texts = texts.select(F.col("component").alias("c"), F.concat_ws(":", "k.h1", "k.h2").alias("k"), "text", "size")
+    size = texts.groupBy("c").agg(F.ceil(F.sum("size") / block_chars).cast("int").alias("nb"))
+    dealt = texts.join(size, "c").withColumn("b", F.pmod(F.xxhash64("k"), F.col("nb")).cast("int"))
+    links = written(_links(dealt, F.lit(1), n, similarity), "links")
+    large = written(size.where("nb > 1"), "large-components")
+    if not large.isEmpty():
+        links = links.union(_links(*_rest(texts.join(large.select("c"), "c"), links, block_chars), n, similarity))
     final = components(links)
     label = classes.withColumn("k", F.concat_ws(":", "h1", "h2")).join(final, F.col("k") == final["node"], "left").select("h1", "h2", "first", F.coalesce("component", "k").alias("g"))
     label = written(label, "labels")

@@ -467,6 +467,36 @@ def test_jaccard_ids_and_copies(spark):
     assert sorted(str((r.doc_id, r.text and len(r.text))) for r in rows.collect()) == sorted(str(x) for x in [(1, len(a)), (4, 16), (None, 20), (6, None)])
 
 
+def test_jaccard_large_components(spark):
+    """Links only through one text, or along a chain, over many blocks; what is linked isn't compared again."""
+    words = [f"w{i}" for i in range(100)]
+
+    def text(*changed):
+        return " ".join("x" + w if i in changed else w for i, w in enumerate(words))
+
+    star = [(100 + i, text(3 * i)) for i in range(30)] + [(7, text())]
+    chain = [(200 + i, text(*range(4, 4 + 9 * i, 9))) for i in range(1, 10)]
+    far = [(300 + i, text(*range(i, 100, 9))) for i in range(3)]
+    rows = star + chain + far
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(98)} for i, t in rows}
+    root = {i: i for i in sets}
+    find = lambda x: x if root[x] == x else find(root[x])
+    for a in sets:
+        for b in sets:
+            if a < b and 100 * len(sets[a] & sets[b]) >= 90 * len(sets[a] | sets[b]):
+                x, y = find(a), find(b)
+                root[max(x, y)] = min(x, y)
+    assert sum(find(i) == 7 for i in sets) == 40
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    for block_chars in (300, 2000, 100_000):
+        assert {r.doc_id: r.component_id for r in jaccard_join.join(docs, block_chars=block_chars).collect()} == {i: find(i) for i in sets}
+    texts = spark.createDataFrame([("c", k, "t", 10) for k in "abcd"], "c string, k string, text string, size long")
+    linked = lambda *e: spark.createDataFrame(list(e), "a string, b string")
+    assert jaccard_join._rest(texts, linked(("a", "b"), ("b", "c"), ("c", "d")), 10)[0].count() == 0
+    out = {r.k: (r.b, r.lead, r.nb) for r in jaccard_join._rest(texts, linked(("a", "b"), ("b", "d")), 10)[0].collect()}
+    assert out["c"] == (0, 1, 4) and all(1 <= out[k][0] < 4 for k in "abd")
+
+
 def test_jaccard_signatures_are_complete():
     """Any two sets at the threshold share a signature, small and large, whatever parts are empty."""
     rng = np.random.default_rng(11)
