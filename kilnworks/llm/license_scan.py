@@ -14,15 +14,19 @@ So equal windows, which share all bands, retrieve every match, wherever it stand
 however it is edited. A text without any template shingle can't match, so its
 windows are not hashed.
 
-Templates are a parameter; their bands are broadcast, as the list (``most_templates``
-at most, else an error) bounds them. Texts aren't shuffled, only matches are.
+Templates are a parameter. Their bands are broadcast and their shingles are literals of
+the plan, in blocks of ``block_chars`` characters, one pass over the texts each; a longer
+template is a block of its own. Texts aren't shuffled, only matches are.
 
 Nulls: a null text has no words. Repeated rows match alike and give one result row
-per (doc_id, license). Extra columns are ignored.
+per (doc_id, license), also where several templates have one name; of templates that
+match alike each is reported. Extra columns are ignored. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -54,10 +58,26 @@ def _bands(window: Column, c: int, bands: int) -> Column:
     return F.array(*[F.xxhash64(F.lit(c), F.lit(j), F.array_min(F.transform(window, lambda x: x.bitwiseXOR(F.lit(SEEDS[j]))))) for j in range(bands)])
 
 
-def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, bands: int = 4, most: int = 16, most_templates: int = 5000) -> DataFrame:
+def _blocks(templates: list[tuple[str, str]], block_chars: int) -> list[list[tuple[str, str]]]:
+    """The templates in order, in lists of at most block_chars characters or one template."""
+    out, held = [[]], 0
+    for license, text in templates:
+        held += len(text or "")
+        if out[-1] and held > block_chars:
+            out.append([])
+            held = len(text or "")
+        out[-1].append((license, text))
+    return out
+
+
+def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, bands: int = 4, most: int = 16, block_chars: int = 1_000_000) -> DataFrame:
     """(doc_id, license, containment) of every match."""
-    if len(templates) > most_templates:
-        raise ValueError("too many templates to broadcast")
+    found = reduce(DataFrame.union, [_matches(docs, block, bands, most) for block in _blocks(templates, block_chars)])
+    return found.groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+
+
+def _matches(docs: DataFrame, templates: list[tuple[str, str]], bands: int, most: int) -> DataFrame:
+    """Matches of one block of templates, repeated ones too."""
     spark = docs.sparkSession
     t = spark.createDataFrame(templates, "license string, t string")
     fours = let(words(F.col("t")), lambda w: F.transform(F.slice(w, F.lit(1), F.greatest(F.size(w) - 3, F.lit(0))), lambda x, i: F.array_join(F.slice(w, i + 1, 4), " ")))
@@ -87,7 +107,7 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] = TEMPLATES, bands: i
     span = n + F.floor(n / 4).cast("int")
     near = F.sequence(F.greatest(F.col("w.p") - span, F.lit(0)), F.least(F.col("w.p") + F.col("c"), F.size("s") - 1))
     share = F.array_max(F.transform(near, lambda p: F.size(F.array_intersect(F.slice("s", p + 1, span), F.col("ts"))) / n))
-    return found.select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= SHARE).groupBy("doc_id", "license").agg(F.max("containment").alias("containment"))
+    return found.select("doc_id", "license", share.alias("containment")).where(F.col("containment") >= SHARE)
 
 
 def digest_query(docs: DataFrame) -> DataFrame:

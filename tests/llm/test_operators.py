@@ -320,7 +320,10 @@ def test_license_scan(spark, odd):
     assert [tuple(r) for r in license_scan.scan(docs).collect()] == [(1, "GPL-3.0", 1.0)]
     grant = license_scan.TEMPLATES[5][1].replace("files", "papers")
     assert license_scan.scan(spark.createDataFrame([(1, "z " * 30 + grant)], "doc_id long, text string")).first().license == "MIT-grant"
-    assert license_scan.scan(odd).count() == 0 and license_scan.scan(docs, []).count() == 0
+    assert license_scan.scan(odd).count() == 0 and license_scan.scan(docs, []).count() == 0 and license_scan.scan(docs.limit(0)).count() == 0
+    twice = license_scan.scan(docs.withColumn("license", F.lit("own")), [("b", text), ("a", text), ("a", text), (None, "short")], block_chars=1).collect()
+    assert sorted(tuple(r) for r in twice) == [(1, "a", 1.0), (1, "b", 1.0)]  # ties
+    assert [len(b) for b in license_scan._blocks([("l", "x" * n) for n in (4, 3, 3, 9, 1)], 7)] == [2, 1, 1, 1]
 
 
 def test_license_scan_brute_force(spark):
@@ -351,8 +354,9 @@ def test_license_scan_brute_force(spark):
             if share >= 0.8:
                 want[d, name] = round(share, 6)
     docs = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
-    for bands in (4, 1):  # no match depends on the number of bands
-        got = license_scan.scan(docs, templates, bands).collect()
+    for more in ({}, {"bands": 1}, {"block_chars": 150}):  # no match depends on bands or blocks
+        got = license_scan.scan(docs, templates, **more).collect()
+        assert len(got) == len(want)
         assert {(r.doc_id, r.license): round(r.containment, 6) for r in got} == want
 
 
