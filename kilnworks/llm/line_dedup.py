@@ -23,6 +23,12 @@ written; joining occurrences to these tables lets adaptive execution split a pas
 that a third of all documents share. With t = 5 a passage of over 50 words is always
 caught when its first word begins a unit.
 
+Units by content (``content``) also end after each word whose hash is divisible by
+``CONTENT``, so that the units of a passage that begins in the middle of a sentence agree
+again from the first such word on, wherever the count of ten stood before it. Of such
+passages without any . ! or ?, by simulation 2% are missed at 51 words, 0.5% at 60;
+with a sentence end every twelve words 0.1% at 51.
+
 Nulls: a null text stays null. A null doc_id comes after all others. Rows that agree
 in doc_id and text are one document and fare alike; the same text under another
 doc_id is a copy, of which the lowest doc_id stays. A text that loses no unit stays
@@ -42,11 +48,25 @@ K, W = 2, 4
 UNIT = r"[ \t\n\r]*(?:[^ \t\n\r]*[^ \t\n\r.!?][ \t]+){0,9}[^ \t\n\r]+(?:[ \t\n\r]+$)?"
 
 
-def units(text: Column) -> Column:
-    return F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+WORD = r"[ \t\n\r]*[^ \t\n\r]+(?:[ \t\n\r]+$)?"
+CONTENT, MARK = 6, "\x01"
+
+
+def units(text: Column, content: bool = False) -> Column:
+    plain = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
+    if not content:
+        return plain
+
+    def marked(words: Column) -> Column:  # but for the last word, which ends a unit anyway
+        ends = lambda w: F.pmod(F.xxhash64(F.trim(F.translate(w, "\t\n\r", "   "))), F.lit(CONTENT)) == 0
+        return F.array_join(F.transform(words, lambda w, i: F.when(ends(w) & (i < F.size(words) - 1), F.concat(w, F.lit(MARK))).otherwise(w)), "")
+
+    cut = F.regexp_extract_all(let(F.regexp_extract_all(text, F.lit(WORD), F.lit(0)), marked), F.lit(UNIT.replace(".!?", f".!?{MARK}")), F.lit(0))
+    # A text that has the mark itself is cut by its lines, sentences and tens.
+    return F.when(F.contains(text, F.lit(MARK)), plain).otherwise(F.transform(cut, lambda u: F.translate(u, MARK, "")))
 
 
-def _hashes(docs: DataFrame, k: int, w: int) -> DataFrame:
+def _hashes(docs: DataFrame, k: int, w: int, content: bool) -> DataFrame:
     """(id, digest, h, at) of documents with a run at least: the hashes of their units
     and, for the run that begins at each place, how far in its least fingerprint is."""
     t, bits = k + w - 1, max(1, (w - 1).bit_length())
@@ -54,7 +74,7 @@ def _hashes(docs: DataFrame, k: int, w: int) -> DataFrame:
     def offset(h: Column, s: Column) -> Column:  # the low bits of a fingerprint give way to its place
         return F.least(*[F.shiftleft(F.shiftright(_fingerprint(h, s + i, k), bits), bits).bitwiseOR(F.lit(i)) for i in range(w)]).bitwiseAND((1 << bits) - 1).cast("byte")
 
-    line = F.transform(units(F.col("text")), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
+    line = F.transform(units(F.col("text"), content), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
     # The generator keeps Catalyst from splitting the text once for each use.
     split = docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("digest"), F.explode(F.array(line)).alias("h")).where(F.size("h") >= t)
     return split.withColumn("at", F.transform(F.slice("h", F.lit(1), F.size("h") - (t - 1)), lambda x, s: offset(F.col("h"), s)))
@@ -64,11 +84,11 @@ def _fingerprint(h: Column, p: Column, k: int) -> Column:
     return F.get(h, p) if k == 1 else F.xxhash64(*[F.get(h, p + i) for i in range(k)])
 
 
-def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def deleted(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> DataFrame:
     """(id, digest, gone): the places of the runs' first units, per document that
     has later occurrences; each deletes k + w - 1 units."""
     t = k + w - 1
-    hashes = written(_hashes(docs, k, w), "hashes")
+    hashes = written(_hashes(docs, k, w, content), "hashes")
     places = F.array_distinct(F.transform("at", lambda o, s: s + o.cast("int")))
     selected = F.transform(places, lambda p: F.struct(p.alias("p"), _fingerprint(F.col("h"), p, k).alias("fingerprint")))
     anchors = hashes.select("id", "digest", F.explode(selected).alias("a")).select("id", "digest", "a.*")
@@ -94,16 +114,16 @@ def deleted(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
     return gone
 
 
-def dedup(docs: DataFrame, k: int = K, w: int = W) -> DataFrame:
+def dedup(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> DataFrame:
     """docs with n_units and n_deleted, and text and n_chars as they are after the
     deletion."""
     t = k + w - 1
-    gone = deleted(docs, k, w)
+    gone = deleted(docs, k, w, content)
     # Whole rows travel as one column, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), F.hash("text").alias("d"), F.col("text").alias("text"))
     joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["d"] == gone["digest"]), "left").select("row", "text", "gone")
     # The generator keeps Catalyst from splitting the text once for each use.
-    joined = joined.select("row", "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"))))).alias("_units"))
+    joined = joined.select("row", "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"), content)))).alias("_units"))
     away = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s, s + (t - 1))))))
     joined = joined.select("row", "gone", "_units", F.explode(F.array(away)).alias("_away"))
     # Kept stretches lie between deleted places: slices, so that no unit is looked up in a list.

@@ -183,6 +183,25 @@ def test_line_dedup_stock_passage(spark):
     assert line_dedup.dedup(docs).where("n_deleted > 0").count() == 0
 
 
+def test_line_dedup_passages_mid_sentence(spark):
+    """Passages of over 50 words inside other sentences: units by content meet again."""
+    random.seed(8)
+    said = lambda n: [random.choice("abcdefgh") + str(random.randrange(10**6)) for _ in range(n)]
+    rows = []
+    for _ in range(100):
+        passage = said(60)
+        rows += [(len(rows) + i, " ".join(said(random.randrange(40, 80)) + passage + said(30))) for i in range(2)]
+    rows += [(1000, " ".join(said(80)) + " \x01 x\x01 y"), (1001, " \n "), (1002, None), (1003, "  one\ttwo\nthree  ")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = docs.select("doc_id", line_dedup.units(F.col("text"), True).alias("u")).collect()
+    texts = dict(rows)
+    assert all(r.u is None or "".join(r.u) == texts[r.doc_id] or not texts[r.doc_id].strip() for r in cut)  # units are the text
+    out = {r.doc_id: r.n_deleted for r in line_dedup.dedup(docs, content=True).collect()}
+    plain = {r.doc_id: r.n_deleted for r in line_dedup.dedup(docs).collect()}
+    assert sum(out[i] > 0 for i in range(1, 200, 2)) >= 90 > sum(plain[i] > 0 for i in range(1, 200, 2))
+    assert not any(out[i] for i in [*range(0, 200, 2), 1000, 1001, 1002, 1003])
+
+
 def test_merkle(spark, odd):
     text = "\n".join(f"Paragraph {i} says something. And more of it." for i in range(40))
     edited = text.replace("Paragraph 20 says", "Paragraph 20 denies")

@@ -1,6 +1,9 @@
 """The pipeline's stages, each against a plain version of its decision."""
 
+import re
+
 import public_tokenizers as P
+import xxhash
 from oracle import SMALL
 
 import corpus_pipeline as C
@@ -13,15 +16,31 @@ def shingles(text, n=5):
     return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))} if w else set()
 
 
-def lines(texts):
-    """Units in runs of five that have occurred before go; so do texts of which nothing is left."""
-    import re
+def cut(text):
+    """Units end at line ends, after . ! or ?, after words with a hash divisible by six, and after ten words."""
+    out, n = [""], 0
+    for m in re.finditer(r"([ \t\n\r]*)([^ \t\n\r]+)", text):
+        space, word = m.groups()
+        if n and re.search(r"[\n\r]", space):
+            out.append("")
+            n = 0
+        out[-1] += m.group()
+        n += 1
+        h = xxhash.xxh64_intdigest(word.encode(), 42)
+        h -= (h >> 63) << 64
+        if n == 10 or word[-1] in ".!?" or h % 6 == 0:
+            out.append("")
+            n = 0
+    out = [u for u in out if u]
+    tail = re.search(r"[ \t\n\r]*\Z", text).group()
+    return out[:-1] + [out[-1] + tail] if out else out
 
-    from kilnworks.llm.line_dedup import UNIT
 
+def lines(texts):
+    """Units in runs of five that have occurred before go; so do texts of which nothing is left."""
     seen, out = set(), {}
     for i in sorted(texts):
-        units = re.findall(UNIT.replace("$)", r"\Z)"), texts[i])
+        units = cut(texts[i])
         bare = [re.sub(r"[\t\n\r]", " ", u).strip(" ") for u in units]
         away = set()
         for s in range(len(bare) - 4):
@@ -36,8 +55,6 @@ def lines(texts):
 
 def clean(texts, items):
     """Documents without any ten words in a row, or whole short item, of an item."""
-    import re
-
     cut = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", re.sub("[A-Z]", lambda m: m.group().lower(), t or ""))
     bad = {tuple(w[p : p + 10]) for w in map(cut, items) for p in range(max(1, len(w) - 9)) if w}
     sizes = {len(b) for b in bad}
