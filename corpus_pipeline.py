@@ -31,9 +31,10 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without repeated runs of lines; those of which no line is left go."""
+    """Documents without repeated runs of units, which are cut by content so that passages
+    in the middle of a sentence are found; those of which no unit is left go."""
     whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole"), "doc_id", "text")
-    out = line_dedup.dedup(whole).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_units")))
+    out = line_dedup.dedup(whole, content=True).where((F.col("n_deleted") == 0) | (F.col("n_deleted") < F.col("n_units")))
     own = {"text": F.col("text")} | ({"n_chars": F.length("text").cast("long").alias("n_chars")} if "n_chars" in docs.columns else {})
     return out.select(*[own.get(c, F.col(f"whole.`{c}`").alias(c)) for c in docs.columns])
 
