@@ -9,13 +9,13 @@ table in one array so that a look-up reads at most two places.
 Work per distinct word: word counts over all documents (one aggregation, combined
 before its shuffle) give the words that occur more than once, and a histogram of the
 counts says from which count on at most ``held_words`` words are left. Those are
-folded once and written to the shared folder. Each of ``slots`` hash slots of a
-literal dictionary takes its most frequent one; each Python worker holds the others
-and looks up, in Arrow batches, the words that the dictionary doesn't have. Any word
-beyond takes the same fold in place, which for a word that occurs once is the only
-time. So the bounds decide speed, never the result, and text is never shuffled. The
-fold's arrays are copied at each merge; words of more than ``LONG`` characters, such
-as a megabyte without a break, are merged in the Python worker, with a heap.
+folded once and written to the shared folder. Python workers read them, cut the texts
+in Arrow batches and put the ids in their places: the ``quick`` most frequent words are
+in a dict, the others in arrays sorted by hash. Any word beyond takes the same fold in
+place, which for a word that occurs once is the only time. So the bounds decide speed,
+never the result, and text is never shuffled. The fold's arrays are copied at each
+merge; words of more than ``LONG`` characters, such as a megabyte without a break, are
+merged in the Python worker, with a heap.
 
 Nulls: a null text has no ids. Rows are independent: repeated rows, ties and extra
 columns stay as they are, whatever their names; the column that the result is put in
@@ -27,11 +27,13 @@ from __future__ import annotations
 import base64
 import heapq
 from array import array
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import pyarrow.dataset
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -42,6 +44,8 @@ WHITE = r"\t-\r \u0085   -     　"
 NO_RANK = 1 << 18
 #: Words of more characters are merged in a Python worker.
 LONG = 1000
+#: Characters of texts that a Python worker encodes at a time.
+AT_ONCE = 1 << 22
 #: Characters of a plan's text that the driver keeps: the literal tables would fill it.
 PLAN_TEXT = 100_000
 #: Multiplier and shift of the two hashes of a pair; products stay below 2 ** 63 for ids below 2 ** 16.
@@ -114,55 +118,86 @@ def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
     return [ranks[word[i : ends[i]]] for i in range(n) if ends[i]]
 
 
-_HELD: dict[str, tuple[np.ndarray, pa.Array, pa.Array]] = {}
+class Words:
+    """The folded words of a folder: hash, word and ids in the order of hashes, and
+    the most frequent ones in a dict."""
 
-
-def _held(folder: str) -> tuple[np.ndarray, pa.Array, pa.Array]:
-    """Hashes in order, words and ids of a folder of folded words; a Python worker
-    reads it once for all its tasks."""
-    if folder not in _HELD:
+    def __init__(self, folder: str, quick: int):
         fs, root = store(folder)
-        rows = pyarrow.dataset.dataset(root, filesystem=fs, format="parquet").to_table(columns=["h", "word", "ids"]).sort_by("h").combine_chunks()
-        _HELD.clear()
-        _HELD[folder] = (rows["h"].to_numpy(), *(pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in rows[n].chunks)]) for n in ("word", "ids")))
-    return _HELD[folder]
-
-
+        rows = pyarrow.dataset.dataset(root, filesystem=fs, format="parquet").to_table(columns=["h", "n", "word", "ids"]).sort_by("h").combine_chunks()
+        self.hashes = rows["h"].to_numpy()
+        self.words, self.ids = (pa.concat_arrays([pa.array([], pa.string()), *(c.cast(pa.string()) for c in rows[n].chunks)]) for n in ("word", "ids"))
+        top = pa.array(np.argsort(-rows["n"].to_numpy(), kind="stable")[:quick])
+        self.quick = dict(zip(self.words.take(top).to_pylist(), self.ids.take(top).to_pylist()))
+
+    def look_up(self, words: list[str]) -> list[str | None]:
+        """ids of words, None where one isn't held."""
+        if not words or not len(self.hashes):
+            return [None] * len(words)
+        # Spark's xxhash64 has the seed 42.
+        hashes = np.array([xxhash.xxh64_intdigest(w.encode(), 42) for w in words], np.uint64).view(np.int64)
+        at = pa.array(np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1))
+        same = pc.equal(self.words.take(at), pa.array(words, pa.string()))
+        return pc.if_else(same, self.ids.take(at), pa.scalar(None, pa.string())).to_pylist()
+
+
+#: A Python worker reads a folder and a file of ranks once for all its tasks.
+_WORDS: dict[str, Words] = {}
 _RANKS: dict[str, dict[bytes, int]] = {}
 
 
-def _finder(folder: str, path: str):
-    """ids of the words in an array, null where a word isn't held."""
+def _encoder(folder: str, path: str, pattern: str, quick: int):
+    """The ids of texts as stretches of text, with the words between them that aren't held."""
 
     def long(word: str) -> str:
         if path not in _RANKS:
             _RANKS[path] = read_ranks(path)
         return ",".join(map(str, merge(word.encode(), _RANKS[path])))
 
-    @F.arrow_udf("array<string>")
-    def find(words: pa.Array, hashes: pa.Array) -> pa.Array:
-        known, spelt, ids = _held(folder)
-        flat = words.flatten().cast(pa.string())
-        offsets = pa.array(np.r_[0, np.cumsum(pc.list_value_length(words).to_numpy(zero_copy_only=False))].astype(np.int32))
-        got = pa.nulls(len(flat), pa.string())
-        if len(known):
-            at = pa.array(np.minimum(np.searchsorted(known, hashes.flatten().to_numpy()), len(known) - 1))
-            got = pc.if_else(pc.equal(spelt.take(at), flat), ids.take(at), pa.scalar(None, pa.string()))
-        if pc.any(longer := pc.greater(pc.utf8_length(flat), LONG)).as_py():
-            merged = {w: long(w) for w in set(flat.filter(longer).to_pylist())}
-            got = pa.array([merged.get(w, g) for w, g in zip(flat.to_pylist(), got.to_pylist())], pa.string())
-        return pa.ListArray.from_arrays(offsets, got)
-
-    return find
+    def encoded(texts: list[str | None], held: Words, cut) -> Iterator[tuple[list[str], list[str]]]:
+        found, rare = [], []
+        for text in texts:
+            words = cut(text or "")
+            found.append(list(map(held.quick.get, words)))
+            rare.append([w for w, ids in zip(words, found[-1]) if ids is None])
+        flat = [w for ws in rare for w in ws]
+        more = iter([long(w) if ids is None and len(w) > LONG else ids for w, ids in zip(flat, held.look_up(flat))])
+        for got, words in zip(found, rare):
+            rest = []
+            if words:
+                looked = [next(more) for _ in words]
+                rest = [w for w, ids in zip(words, looked) if ids is None]
+                fill = iter(looked)
+                got = ["=" if ids is None else ids for ids in (next(fill) if ids is None else ids for ids in got)]
+            yield ",".join(got).split("="), rest
+
+    @F.arrow_udf("struct<ids array<string>, other array<string>>")
+    def encode(texts: pa.Array) -> pa.Array:
+        import regex
+
+        if folder not in _WORDS:
+            _WORDS.clear()
+            _WORDS[folder] = Words(folder, quick)
+        cut = regex.compile(pattern).findall
+        ends = np.cumsum(pc.fill_null(pc.utf8_length(texts), 0).to_numpy(zero_copy_only=False)) // AT_ONCE
+        starts = [0, *(np.flatnonzero(np.diff(ends)) + 1), len(texts)]
+        ids, other = [], []
+        for i, j in zip(starts, starts[1:]):
+            part = list(zip(*encoded(texts[i:j].to_pylist(), _WORDS[folder], cut))) or [(), ()]
+            ids.append(pa.array(part[0], pa.list_(pa.string())))
+            other.append(pa.array(part[1], pa.list_(pa.string())))
+        return pa.StructArray.from_arrays([pa.concat_arrays(ids), pa.concat_arrays(other)], ["ids", "other"])
+
+    return encode
 
 
 class ByteBpe:
     """Encoder and decoder for one file of ranks (the file's path is a parameter,
     read on the driver)."""
 
-    def __init__(self, path: str, pattern: str, slots: int = 1 << 16, held_words: int = 1 << 20):
+    def __init__(self, path: str, pattern: str, quick: int = 1 << 17, held_words: int = 1 << 20):
         self.path, self.ranks, self.pattern = path, read_ranks(path), java_pattern(pattern)
-        self.slots, self.held_words = max(1, slots), held_words if slots else 0
+        self.quick, self.held_words = quick, held_words
         self.shift = (max(self.ranks.values()) + 1).bit_length()
         pairs, out = pair_ranks(self.ranks)
         keys = array("q", ((k >> 32) << self.shift | k & 0xFFFFFFFF for k in pairs))
@@ -239,11 +274,9 @@ class ByteBpe:
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))
 
-    def dictionary(self, docs: DataFrame, text_col: str) -> tuple[str, pa.Table]:
-        """The folder of frequent words with their ids as text, and of these each
-        slot's most frequent one (slot, word, ids)."""
-        spark = docs.sparkSession
-        words = docs.select(F.explode(self.words(F.col(text_col))).alias("word")).where(F.length("word") <= LONG)
+    def dictionary(self, docs: DataFrame, text_col: str) -> str:
+        """The folder of frequent words (word, count, ids as text, hash)."""
+        words = docs.select(F.explode(self.words(F.col(f"`{text_col}`"))).alias("word")).where(F.length("word") <= LONG)
         words = words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
         counted = written(words.withColumn("level", F.floor(F.log2("n") * 8).cast("int")), "words")  # at most 512 levels
         least, total = 1 << 30, 0
@@ -252,38 +285,26 @@ class ByteBpe:
             if total > self.held_words:
                 break
             least = level
-        folded = counted.where(F.col("level") >= least).select("word", "n", F.array_join(self.fold(F.col("word")).cast("array<string>"), ",").alias("ids"), F.xxhash64("word").alias("h"))
+        folded = counted.where(F.col("level") >= least).select("word", "n", self.fold_text(F.col("word")).alias("ids"), F.xxhash64("word").alias("h"))
         folded = written(folded, "folded")
         discard(counted)
-        best = folded.where(~F.contains("word", F.lit("\x01"))).groupBy(F.pmod("h", F.lit(self.slots)).cast("int").alias("slot"))
-        return folded.written_to, best.agg(F.max_by(F.struct("word", "ids"), F.struct("n", "word")).alias("w")).select("slot", "w.word", "w.ids").toArrow()
+        return folded.written_to
+
+    def fold_text(self, word: Column) -> Column:
+        return F.array_join(self.fold(word).cast("array<string>"), ",")
 
     def encode_text(self, docs: DataFrame, text_col: str = "text", out: str = "ids_text") -> DataFrame:
         """docs with their ids as text: decimal, joined by commas; '' for none."""
         docs.sparkSession.conf.set("spark.sql.maxPlanStringLength", PLAN_TEXT)
-        folder, held = self.dictionary(docs, text_col)
-        at = dict(zip(held["slot"].to_pylist(), range(len(held))))
-        words, ids = (literal_strings(column[at[i]].as_py() if i in at else "" for i in range(self.slots)) for column in (held["word"].combine_chunks(), held["ids"].combine_chunks()))
-
-        def one(word: Column) -> Column:
-            """A word's ids, or the word in hexadecimal after a sign that no ids have."""
-            return let(F.pmod(F.xxhash64(word), F.lit(self.slots)).cast("int"), lambda i: F.when(F.get(words, i) == word, F.get(ids, i)).otherwise(F.concat(F.lit("="), F.hex(word))))
-
-        def finish(rest: Column, found: Column) -> Column:
-            return F.coalesce(found, F.array_join(self.fold(rest).cast("array<string>"), ","))
-
+        encode = _encoder(self.dictionary(docs, text_col), self.path, self.pattern, self.quick)
         # Whole rows travel as one column, so that no name of theirs can clash. The
-        # generators keep Catalyst from computing the encoding once for each use.
+        # generator keeps Catalyst from folding words once for each use of the result.
         row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
-        parts = docs.select(row, F.explode(F.array(F.array_join(F.transform(self.words(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), one), ","))).alias("ids"))
-        other = F.transform(F.regexp_extract_all("ids", F.lit("=([0-9A-F]+)"), F.lit(1)), lambda x: F.unhex(x).cast("string"))
-        # Only words that aren't in the dictionary go on by themselves, between stretches of ids.
-        parts = parts.select("row", F.explode(F.array(F.struct(F.split("ids", "=[0-9A-F]+", -1).alias("ids"), other.alias("other")))).alias("x"))
-        found = parts.select("row", "x", _finder(folder, self.path)(F.col("x.other"), F.transform("x.other", lambda x: F.xxhash64(x))).alias("found"))
-        ends = F.concat(F.zip_with("x.other", "found", finish), F.array(F.lit("")))
+        parts = docs.select(row, encode(F.col(f"`{text_col}`")).alias("x"))
+        ends = F.concat(F.transform("x.other", self.fold_text), F.array(F.lit("")))
         text = F.explode(F.array(F.array_join(F.zip_with("x.ids", ends, lambda x, y: F.concat(x, y)), "")))
         names = [c for c in docs.columns if c.lower() != out.lower()]
-        return found.select("row", text.alias("text")).select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("text").alias(out))
+        return parts.select("row", text.alias("text")).select(*[F.col(f"row.`{c}`").alias(c) for c in names], F.col("text").alias(out))
 
     def encode(self, docs: DataFrame, text_col: str = "text", out: str = "ids") -> DataFrame:
         """docs with an array<int> of ids."""
