@@ -51,15 +51,23 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 _WRITTEN: set[str] = set()
+#: Spark's setting to delete an execution's shuffle files when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """The same rows, written to the shared folder and read again: work that
     several later steps use is done once, and a lost executor loses none of it. The
-    table goes when it is discarded, or when the process ends."""
-    path = shared_folder(df.sparkSession, name)
+    table goes when it is discarded, or when the process ends. The shuffles that
+    made it go at once: nothing reads them again."""
+    path, conf = shared_folder(df.sparkSession, name), df.sparkSession.conf
     _WRITTEN.add(path)
-    df.write.parquet(path)
+    before = conf.get(CLEANUP)
+    conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        conf.set(CLEANUP, before)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.written_to = path
     return out
