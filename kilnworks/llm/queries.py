@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import public_tokenizers as P
 
-from . import bpe, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, token_files, toxicity, warc
+from . import ball_tree, bpe, conversation_repair, decontaminate, html_extract, jaccard_join, license_scan, line_dedup, merkle, quality, token_files, toxicity, warc
 from .common import table
 
 
@@ -48,11 +48,23 @@ def op9_jaccard_join(spark, sf_dir):
     return jaccard_join.digest_query(table(spark, sf_dir, "documents"))
 
 
+def op11_ball_tree(spark, sf_dir):
+    return ball_tree.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op12_conversation_repair(spark, sf_dir):
+    return conversation_repair.digest_query(table(spark, sf_dir, "conversations"))
+
+
+def op13_quality_rules(spark, sf_dir):
+    return quality.digest_query(table(spark, sf_dir, "documents"))
+
+
 def pipeline(spark, sf_dir):
     import corpus_pipeline
 
     return corpus_pipeline.run(spark, sf_dir)
 
 
-QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op4_merkle, op5_toxicity, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_jaccard_join, op10_html_extract, pipeline)}
-SQL = {"op1_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op8_decontamination": decontaminate.SQL, "op9_jaccard_join": jaccard_join.SQL}
+QUERIES = {f.__name__: f for f in (op1_warc, op2_token_files, op3_line_dedup, op4_merkle, op5_toxicity, op6_license_scan, op7_byte_bpe, op8_decontamination, op9_jaccard_join, op10_html_extract, op11_ball_tree, op12_conversation_repair, op13_quality_rules, pipeline)}
+SQL = {"op1_warc": warc.SQL, "op3_line_dedup": line_dedup.SQL, "op6_license_scan": license_scan.SQL, "op8_decontamination": decontaminate.SQL, "op9_jaccard_join": jaccard_join.SQL, "op11_ball_tree": ball_tree.SQL}

@@ -1,0 +1,269 @@
+"""Ball-tree clustering, conversation repair and quality rules against brute force."""
+
+import hashlib
+import heapq
+import math
+import random
+import re
+import zlib
+from collections import Counter, defaultdict
+
+import numpy as np
+import pytest
+from oracle import SMALL, assert_same
+from pyspark.sql import functions as F
+
+from kilnworks.llm import ball_tree, conversation_repair, quality, queries
+from kilnworks.llm.common import table
+
+VECTORS = "vec_id long, embedding array<double>, label int, cluster int"
+
+
+def naive_clusters(points, k, rounds):
+    seeds = sorted((hashlib.sha256(f"1:{i}".encode()).hexdigest(), p) for i, p in points if i is not None)[:k]
+    centroids = [p for _, p in seeds]
+    far = lambda p, c: sum((a - b) ** 2 for a, b in zip(p, c))
+    near = lambda p: min(range(len(centroids)), key=lambda c: (far(p, centroids[c]), c))
+    for _ in range(rounds):
+        own = defaultdict(list)
+        for _, p in points:
+            own[near(p)].append(p)
+        centroids = [[sum(x) // len(x) for x in zip(*own[c])] if own[c] else centroids[c] for c in range(len(centroids))]
+    return [(i, c, far(p, centroids[c])) for i, p in points for c in [near(p)]], centroids
+
+
+@pytest.mark.parametrize("dim,k", [(64, 16), (3, 5)])
+def test_clusters(spark, dim, k, monkeypatch):
+    rng = random.Random(dim)
+    tight = [[rng.choice([0, 5, 9]) + rng.random() / 9 for _ in range(dim)] for _ in range(6)]
+    vectors = [(i, [x + rng.random() / 20 for x in rng.choice(tight)]) for i in range(300)]
+    same = [7.5] * dim
+    vectors += [(i, same) for i in range(300, 420)] + [(9, same), (9, same), (None, same), (None, [-1e5] * dim)]
+    bad = [(900, None), (901, [1.0] * (dim + 1)), (902, [float("nan")] + [0.0] * (dim - 1)), (903, [float("inf")] * dim), (904, [None] * dim), (905, []), (906, [3e6] * dim)]
+    df = spark.createDataFrame([(i, v, 1, 7) for i, v in vectors + bad], VECTORS)
+    points = [(i, [math.floor(64 * x) for x in v]) for i, v in vectors]
+    monkeypatch.setattr(ball_tree, "TREE", 128)
+    want, centroids = naive_clusters(points, k, 3)
+    got = ball_tree.cluster(df, k=k, dim=dim).collect()
+    key = lambda r: tuple(-1 if x is None else x for x in r)
+    assert sorted(((r.vec_id, r.cluster, r.distance) for r in got), key=key) == sorted(want, key=key)
+    inertia = Counter()
+    for _, c, d in want:
+        inertia[c] += d
+    for r in got:
+        assert (r.cluster_inertia, r.inertia) == (inertia[r.cluster], sum(inertia.values()))
+        assert r.centroid_sha256 == hashlib.sha256(",".join(map(str, centroids[r.cluster])).encode()).hexdigest()
+
+
+def test_few_vectors(spark):
+    df = spark.createDataFrame([(5, [1.0] * 64, 0, 0), (6, [2.0] * 64, 0, 0)], VECTORS)
+    assert {r.distance for r in ball_tree.cluster(df).collect()} == {0}
+    assert ball_tree.cluster(df.limit(0)).count() == 0
+    assert_same(ball_tree.cluster(table(spark, SMALL, "embeddings")), ball_tree.SQL)
+
+
+def test_whole_balls():
+    """Tight groups and copies are assigned without looking at their vectors."""
+    rng = np.random.default_rng(0)
+    points = np.repeat(rng.integers(0, 4000, (8, 64)), 100, axis=0) + rng.integers(0, 3, (800, 64))
+    order, nodes = ball_tree.grow(points)
+    tree = ball_tree.Tree({"ids": list(range(800)), "points": points[order].astype("<i4").tobytes()} | {n: x.tobytes() for n, x in nodes.items()}, 64)
+    parts = list(tree.parts(points[::100].astype(np.int64)))
+    assert all(isinstance(c, int) for _, c in parts) and len(parts) <= 16
+    assert sum(int(tree.count[n]) for n, _ in parts) == 800
+    assert (sum(tree.sum[n] for n, _ in parts) == points.sum(axis=0)).all()
+    assert (nodes["sum"][0] == points.sum(axis=0)).all() and nodes["count"][0] == 800
+
+
+# --- conversations
+
+
+def naive_repair(rows):
+    """Dijkstra by (cost, audit) over whole edit sequences."""
+    blank = lambda t: not re.search(r"[^\x20\x09-\x0D]", t)
+    faults, seen = [], set()
+    for _, role, text in rows:
+        kind = "blank" if blank(text) else "duplicate" if (role, text) in seen else "truncated" if re.findall(r"[^\x20\x09-\x0D]", text)[-1] not in ".!?" else ""
+        seen.add((role, text))
+        faults.append(kind)
+    full, some = re.compile(r"(s?(ua)+)?\Z"), re.compile(r"s?(ua)*u?\Z")
+    heap, done = [(0, "", 0, "", ())], set()
+    while heap:
+        cost, audit, i, shape, out = heapq.heappop(heap)
+        state = (i, shape[-1:] or "-")
+        if i == len(rows) and full.match(shape):
+            break
+        if state in done:
+            continue
+        done.add(state)
+        for r in ("user", "assistant"):
+            if some.match(shape + r[0]):
+                heapq.heappush(heap, (cost + 5, audit + "I", i, shape + r[0], (*out, (r, ""))))
+        if i < len(rows):
+            _, role, text = rows[i]
+            heapq.heappush(heap, (cost + 2, audit + "D", i + 1, shape, out))
+            if faults[i] not in ("blank", "duplicate"):
+                more = 5 * (faults[i] == "truncated")
+                if some.match(shape + role[:1]) and role[:1]:
+                    heapq.heappush(heap, (cost + more, audit + "K", i + 1, shape + role[0], (*out, (role, text))))
+                for r in ("user", "assistant"):
+                    if some.match(shape + r[0]):
+                        heapq.heappush(heap, (cost + more + 1, audit + "R", i + 1, shape + r[0], (*out, (r, text))))
+    turns = [t for t, _, _ in rows if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    illegal = sum(a[1][:1] + b[1][:1] not in ("su", "ua", "au") for a, b in zip(rows, rows[1:]))
+    digest = hashlib.sha256("\n".join(f"{r}:{t}" for r, t in out).encode()).hexdigest()
+    return (gaps, *(faults.count(f) for f in ("blank", "duplicate", "truncated")), illegal, cost, audit, digest)
+
+
+def naive_damage(rows):
+    """Rows (conv_id, turn, role, text) by conversation, in order, after the damage."""
+    out = defaultdict(list)
+    for c, t, role, text in rows:
+        out[c]
+        role, text = " " if role is None else role, " " if text is None else text
+        kind = zlib.crc32(f"{' ' if c is None else c}:{' ' if t is None else t}".encode()) % 20
+        if kind:
+            row = (t, "user" if kind == 4 else role, "" if kind == 1 else re.sub("[.!?]", "", text) if kind == 2 else text)
+            out[c] += [row] * (2 if kind == 3 else 1)
+    order = lambda r: ((-1, 0) if r[0] is None else (0, r[0]), hashlib.md5(f"{r[1]}\0{r[2]}".encode()).hexdigest())
+    return {c: sorted(x, key=order) for c, x in out.items()}
+
+
+NAMES = ("gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256")
+
+
+def as_dict(df):
+    got = {r.conv_id: tuple(r[n] for n in NAMES) for r in df.collect()}
+    assert len(got) == df.count()
+    return got
+
+
+def test_repair_query(spark):
+    rows = [tuple(r) for r in table(spark, SMALL, "conversations").select("conv_id", "turn", "role", "text").collect()]
+    got = as_dict(queries.op12_conversation_repair(spark, SMALL))
+    assert got == {c: naive_repair(x) for c, x in naive_damage(rows).items()}
+    assert {x for v in got.values() for x in v[6]} >= set("DKR")
+
+
+def test_repair_odd(spark):
+    """Nulls, odd roles, ties, repeated rows, clashing columns; a conversation over many partitions."""
+    rng = random.Random(5)
+    roles = ["user", "assistant", "system", "tool", "", None, "sage", "u"]
+    texts = ["Yes.", "no", "", None, " \n", "What? ", "Ünïcode!", "x" * 5000 + ".", "Yes."]
+    rows = [(c, rng.choice([None, *range(-3, 9)]), rng.choice(roles), rng.choice(texts)) for c in [None, *range(60)] for _ in range(rng.randrange(1, 9))]
+    rows += [(77, i, rng.choice(roles), rng.choice(texts) if i % 3 else f"line {i}") for i in range(400)]
+    rows += [(78, 1, "user", "Same.")] * 30 + [(7, 3, "user", "Same.")] * 2
+    df = spark.createDataFrame([(*r, "own", 1) for r in rows], "conv_id long, turn long, role string, text string, audit string, pos int").repartition(3)
+    got = as_dict(conversation_repair.digest_query(df))
+    assert got == {c: naive_repair(x) for c, x in naive_damage(rows).items()}
+    assert conversation_repair.digest_query(df.limit(0)).count() == 0
+
+
+def test_pieces_chain():
+    """Codes cut into pieces anywhere give the letters of the whole."""
+    rng = random.Random(1)
+    for _ in range(60):
+        codes = bytes(rng.randrange(12) for _ in range(rng.randrange(1, 14)))
+        cuts = sorted({0, len(codes), *(rng.randrange(len(codes) + 1) for _ in range(3))})
+        parts = [codes[a:b] for a, b in zip(cuts, cuts[1:])]
+        C = conversation_repair
+        first, after = [np.array([0, C.FAR, C.FAR, C.FAR])], [C.END]
+        for p in parts:
+            first.append(C.product(first[-1][None, :], C.through(p))[0])
+        for p in reversed(parts):
+            after.insert(0, C.product(C.through(p), after[0][:, None])[:, 0])
+        total, state, audit = int(after[0][0]), 0, ""
+        for p, f, b in zip(parts, first, after[1:]):
+            state, letters = C.ways(p, f, b, total)[state]
+            audit += letters
+        assert audit == C.ways(codes, first[0], C.END, total)[0][1]
+
+
+# --- quality
+
+
+def naive_measures(text):
+    words = re.findall(r"[^\x20\x09-\x0D]+", text or "")
+    lines = [x for x in (text or "").split("\n") if re.search(r"[^\x20\x09-\x0D]", x)]
+    grams = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))
+    inside = {i + j for i in range(len(words) - 4) if grams[tuple(words[i : i + 5])] > 1 for j in range(5)}
+    return (len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text or "")), len(lines) - len(set(lines)), len(inside))
+
+
+def naive_model(texts):
+    """Interpolated modified Kneser-Ney of order three over bytes; returns bits of each byte."""
+    grams = Counter()
+    for t in texts:
+        b = b"\0\0" + "".join(w + " " for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")).encode()
+        grams.update(b[i : i + 3] for i in range(len(b) - 2))
+    counts = {3: grams, 2: Counter(g[1:] for g in grams)}
+    counts[1] = Counter(g[1:] for g in counts[2])
+    cut, total, off = {}, {}, {}
+    for order, c in counts.items():
+        n = [sum(x == j for x in c.values()) for j in range(6)]
+        y = n[1] / (n[1] + 2 * n[2]) if n[1] else 0
+        cut[order] = [0, *(min(max(j - (j + 1) * y * n[j + 1] / n[j], 0), j) if n[j] and n[1] else 0 for j in (1, 2, 3))]
+        total[order], off[order] = Counter(), Counter()
+        for g, x in c.items():
+            total[order][g[:-1]] += x
+            off[order][g[:-1]] += cut[order][min(x, 3)]
+
+    def p(g):
+        out = 1 / 256
+        for order in (1, 2, 3):
+            h = g[3 - order :]
+            if total[order][h[:-1]]:
+                own = counts[order][h] - cut[order][min(counts[order][h], 3)] if counts[order][h] else 0
+                out = own / total[order][h[:-1]] + off[order][h[:-1]] / total[order][h[:-1]] * out
+        return out
+
+    def bits(t):
+        b = b"\0\0" + "".join(w + " " for w in re.findall(r"[^\x20\x09-\x0D]+", t or "")).encode()
+        return [-math.log2(p(b[i : i + 3])) for i in range(len(b) - 2)]
+
+    return bits
+
+
+DOCS = "doc_id long, text string, lang string, source string, kept string, _text string, `a b` int"
+
+
+def test_quality(spark, monkeypatch):
+    rows = [(r.doc_id, r.text, r.lang) for r in table(spark, SMALL, "documents").where("doc_id % 3 = 0").collect()]
+    rows += [(9001, None, "en"), (9002, "", None), (9003, "no language here at all, ten words or more than that", None), (9004, " \n\t", "en"), (None, "ok. " * 30, "en"), (9005, "é\x1c\x85 x y\x0bz " * 900, "xx")]
+    rows += [rows[0], (9006, "a b c d e a b c d e\na b\n a b\na b\n\n\n", "en"), (9007, "one two three four five six", "en")]
+    df = spark.createDataFrame([(i, t, x, "s", "own", "own", 1) for i, t, x in rows], DOCS)
+    monkeypatch.setattr(quality, "PIECE", 1 << 12)
+    got = quality.judge(df, ["doc_id", "_text", "a b", "lang", "kept"])
+    assert got.columns == ["doc_id", "_text", "a b", "lang", *quality.FEATURES, "perplexity", "lower", "upper", "base_failed", "kept"]
+    got = got.collect()
+    assert len(got) == len(rows)
+    texts = dict((i, t) for i, t, _ in rows)
+    models = {x: naive_model([t for _, t, y in rows if y == x]) for x in {x for _, _, x in rows}}
+    stats = {}
+    for i, t, x in rows:
+        b, n = models[x](t), naive_measures(t)
+        mean = sum(b) / max(len(b), 1)
+        error = math.sqrt(max(sum(v * v for v in b) / max(len(b), 1) - mean * mean, 0) / max(len(b), 1))
+        stats[i] = n, mean, error, n[0] < 10 or 100 * n[4] > 20 * n[0], x
+    for x in models:
+        own = sorted({(round(m, 9), len((texts[i] or "").split())) for i, (_, m, _, bad, y) in stats.items() if y == x and not bad})
+        own = [round(m, 3) for m, _ in own]
+        middle = float(np.median(own)) if own else None
+        half = max(3.5 * 1.4826 * float(np.median([abs(m - middle) for m in own])), 0.02) if own else None
+        for r in (r for r in got if r.lang == x):
+            n, mean, error, bad, _ = stats[r.doc_id]
+            assert tuple(r[f] for f in quality.FEATURES) == n
+            assert r.base_failed == bad and abs(math.log2(r.perplexity) - mean) < 1e-9
+            edge = None if bad else abs(mean - middle) - error - half
+            assert bad and not r.kept or not bad and (abs(edge) < 2e-3 or r.kept == (edge <= 0))
+    assert {r["a b"] for r in got} == {1} and {r._text for r in got} == {"own"}
+    assert quality.judge(df.limit(0)).count() == 0
+
+
+def test_quality_separates(spark):
+    """Of labelled documents that pass the base rules, clean ones stay and most junk that a tenth of this size shows goes."""
+    d = "/root/testdata/sf0.01"
+    got = queries.op13_quality_rules(spark, d).join(table(spark, d, "labels"), "doc_id").where("NOT base_failed")
+    share = {r.quality: r.s for r in got.groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("s")).collect()}
+    assert share[1] > 0.95 and share[0] < 0.6

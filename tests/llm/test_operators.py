@@ -36,7 +36,7 @@ def test_oracle(spark, name):
 
 
 def test_every_query_is_there():
-    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 11)), "pipeline"}
+    assert {n.split("_")[0] for n in queries.QUERIES} == {*(f"op{i}" for i in range(1, 14)), "pipeline"}
 
 
 def test_components(spark):
