@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from kilnworks.functions.text import tokens
+from kilnworks.sources.shared import written
 
 
 def kb_assign(docs: DataFrame, rule) -> DataFrame:
@@ -55,33 +56,41 @@ def granted(files: DataFrame, acl: DataFrame) -> DataFrame:
 def tf_search(files: DataFrame, acl: DataFrame, terms: list[str], k: int = 5) -> DataFrame:
     """(principal, doc_id, score, rnk): occurrences of the terms, ties by doc_id."""
     hits = _matched(granted(files, acl), terms).groupBy("kb", "doc_id").agg(F.count(F.lit(1)).alias("score"))
-    return _top(acl_expand(hits, acl), k)
+    return top(acl_expand(hits, acl), k)
 
 
-def _top(scored: DataFrame, k: int) -> DataFrame:
+def top(scored: DataFrame, k: int) -> DataFrame:
+    """Each principal's k best of (principal, doc_id, score), with ranks; ties by doc_id."""
     order = Window.partitionBy("principal").orderBy(F.desc("score"), "doc_id")
     return scored.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).select("principal", "doc_id", "score", "rnk")
 
 
-def bm25_scores(files: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """(kb, doc_id, score): BM25 with the statistics of each knowledge base. Texts are
-    tokenised once, into their length and the terms' counts; only those travel on."""
+def lengths_and_counts(files: DataFrame, terms: list[str]) -> DataFrame:
+    """(kb, doc_id, dl, found): each file's length and the terms' counts in it, from one
+    pass over the texts."""
     # The generator keeps Catalyst from computing the tokens once for each use.
     words = files.select("kb", "doc_id", F.explode(F.array(tokens(F.col("text")))).alias("w"))
     tf = F.transform(F.array(*[F.lit(t) for t in sorted(set(terms))]), lambda t: F.struct(t.alias("token"), F.size(F.filter("w", lambda x: x == t)).alias("tf")))
-    sized = words.select("kb", "doc_id", F.size("w").alias("dl"), F.filter(tf, lambda x: x["tf"] > 0).alias("found"))
-    found = F.transform("found", lambda x: x["token"])
-    stats = sized.groupBy("kb").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"))
-    df = sized.select("kb", F.explode(found).alias("token")).groupBy("kb", "token").agg(F.count(F.lit(1)).alias("df"))
+    return words.select("kb", "doc_id", F.size("w").alias("dl"), F.filter(tf, lambda x: x["tf"] > 0).alias("found"))
+
+
+def bm25_scores(files: DataFrame, terms: list[str], k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """(kb, doc_id, score): BM25 with the statistics of each knowledge base. Texts are
+    read once, into their lengths and the terms' counts, which are written; the
+    statistics (a row for each knowledge base) and the scores read those."""
+    sized = written(lengths_and_counts(files, terms), "counts")
+    names = sorted(set(terms))
+    has = [F.sum(F.array_contains("found.token", t).cast("long")) for t in names]
+    stats = sized.groupBy("kb").agg(F.count(F.lit(1)).alias("n"), F.avg("dl").alias("avgdl"), F.map_from_arrays(F.array(*[F.lit(t) for t in names]), F.array(*has)).alias("df"))
     hits = sized.select("kb", "doc_id", "dl", F.inline("found"))
-    x = hits.join(df, ["kb", "token"]).join(stats, "kb")
+    x = hits.join(stats, "kb").withColumn("df", F.element_at("df", F.col("token")))
     idf = F.ln(1 + (F.col("n") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     part = idf * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("dl") / F.col("avgdl")))
     return x.groupBy("kb", "doc_id").agg(F.round(F.sum(part), 6).alias("score"))
 
 
 def bm25_search(files: DataFrame, acl: DataFrame, terms: list[str], k: int = 5) -> DataFrame:
-    return _top(acl_expand(bm25_scores(granted(files, acl), terms), acl), k)
+    return top(acl_expand(bm25_scores(granted(files, acl), terms), acl), k)
 
 
 def leak_check(results: DataFrame, files: DataFrame, acl: DataFrame) -> DataFrame:

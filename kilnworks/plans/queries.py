@@ -6,10 +6,15 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from kilnworks.operators import asof
+from kilnworks.operators import index as I
 from kilnworks.operators import search as S
+from kilnworks.sources import kb_store
 from kilnworks.sources.tables import table
 
 TERMS = ["the", "and", "on"]
+MIXED = ["the", "mit", "license"]
+PHRASE = ["of", "the"]
 GRANTS = [("ana", "archive"), ("ben", "plant"), ("cas", "archive"), ("cas", "plant")]
 AGENTS = [("archivist", "archive"), ("engineer", "plant")]
 _KB = "CASE WHEN TRY_CAST(substr(source, 4) AS INT) % 2 = 0 THEN 'archive' ELSE 'plant' END"
@@ -41,7 +46,49 @@ def _shared_sets(spark, d):
     return sets.union(sets.where("kb = 'archive' AND file_id % 10 = 0").select(F.lit("plant").alias("kb"), "file_id"))
 
 
+def _phrase(spark, d):
+    return I.phrase_search(I.build(_files(spark, d)), _acl(spark), PHRASE)
+
+
+def _best(terms):
+    return lambda spark, d: I.best_files(I.build(_files(spark, d)), _acl(spark), terms)[0]
+
+
+def _store_visible(spark, d):
+    """Each knowledge base's files and characters that a principal reads from the store."""
+    held = kb_store.store(_files(spark, d), _acl(spark))
+    return held.visible("ana").select("doc_id", "kb", F.length("text").cast("long").alias("n_chars"))
+
+
+def _uses_and_grants(spark, d):
+    """Uses of knowledge bases, and the log of what users were granted when: purchases
+    grant, errors revoke, with the knowledge base by the parity of the user."""
+    events = table(spark, d, "events").withColumn("kb", F.when(F.col("user_id") % 2 == 0, "archive").otherwise("plant"))
+    uses = events.where("event_type IN ('view', 'click')").select("event_id", "user_id", "kb", "ts")
+    return uses, events.where("event_type IN ('purchase', 'error')").select("user_id", "kb", "ts", "event_id", (F.col("event_type") == "purchase").alias("granted"))
+
+
+def _grants_asof(spark, d):
+    uses, log = _uses_and_grants(spark, d)
+    found = asof.asof_join(uses, log, "user_id", "ts", "ts")
+    return found.select("event_id", "user_id", "kb", F.coalesce("match.event_id", F.lit(-1)).cast("long").alias("grant_id"), F.coalesce("match.granted", F.lit(False)).alias("allowed"))
+
+
+def _grants_interval(spark, d):
+    """Uses inside the grants that a purchase opens for as many hours as it cost."""
+    uses, log = _uses_and_grants(spark, d)
+    paid = table(spark, d, "events").where("event_type = 'purchase'").select(F.col("event_id").alias("grant_id"), "user_id", F.col("ts").alias("opens"), (F.unix_micros(F.col("ts").cast("timestamp")) + F.round(F.col("value") * 100).cast("long") * 36_000_000).alias("us"))
+    paid = paid.withColumn("closes", F.timestamp_micros("us").cast("timestamp_ntz"))
+    return asof.interval_join(uses, paid, "user_id", "ts", "opens", "closes").select("event_id", "user_id", F.col("match.grant_id").alias("grant_id"))
+
+
 QUERIES = {
+    "kb_store_visible": _store_visible,
+    "grants_asof": _grants_asof,
+    "grants_interval": _grants_interval,
+    "idx_phrase_search": _phrase,
+    "idx_best_files": _best(MIXED),
+    "idx_best_files_common": _best(TERMS),
     "p1_kb_assign": lambda s, d: _files(s, d).select("doc_id", "kb"),
     "p2_acl_visible": lambda s, d: S.acl_visible(_files(s, d), _acl(s), "ana").select("doc_id"),
     "p3_tokenize": lambda s, d: S.tokenize(_files(s, d)),
@@ -62,6 +109,7 @@ _AGENTS = "agents(agent, kb) AS (VALUES " + ", ".join(f"('{p}', '{k}')" for p, k
 _F = f"f AS (SELECT doc_id, {_KB} AS kb, text FROM documents)"
 _T = _F + r", t AS (SELECT doc_id, kb, token FROM (SELECT doc_id, kb, unnest(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+')) AS token FROM f) WHERE token <> '')"
 _IN = "token IN (" + ", ".join(f"'{t}'" for t in TERMS) + ")"
+_MIXED = "token IN (" + ", ".join(f"'{t}'" for t in MIXED) + ")"
 _TOP = "SELECT principal, doc_id, score, rnk FROM (SELECT principal, doc_id, score, CAST(row_number() OVER (PARTITION BY principal ORDER BY score DESC, doc_id) AS INT) AS rnk FROM s JOIN acl USING (kb)) WHERE rnk <= 5"
 _TF = f"{_T}, s AS (SELECT kb, doc_id, count(*) AS score FROM t WHERE {_IN} GROUP BY ALL)"
 _BM = (
@@ -70,7 +118,16 @@ _BM = (
     "s AS (SELECT kb, doc_id, round(sum(ln(1 + (n - df + 0.5::DOUBLE) / (df + 0.5::DOUBLE)) * tf * 2.2::DOUBLE / (tf + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * dl / avgdl))), 6) AS score FROM q JOIN e USING (kb, token) JOIN l USING (kb, doc_id) JOIN a USING (kb) GROUP BY ALL)"
 )
 _LEAKS = "v AS (SELECT f.kb, count(*) AS n FROM r JOIN f USING (doc_id) WHERE NOT EXISTS (SELECT 1 FROM acl WHERE acl.principal = r.principal AND acl.kb = f.kb) GROUP BY f.kb) SELECT k.kb, CAST(coalesce(v.n, 0) AS BIGINT) AS violations FROM (SELECT DISTINCT kb FROM f) k LEFT JOIN v USING (kb)"
+_WORDS = _F + r", w AS (SELECT doc_id, kb, list_filter(regexp_split_to_array(lower(text), '[^\p{L}\p{N}]+'), lambda t: t <> '') AS w FROM f)"
+_PHRASE = " AND ".join(f"w[p + {i}] = '{t}'" for i, t in enumerate(PHRASE))
+_USES = "u AS (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN 'archive' ELSE 'plant' END AS kb, ts FROM events WHERE event_type IN ('view', 'click'))"
 SQL = {
+    "kb_store_visible": f"WITH {_F}, {_ACL} SELECT doc_id, kb, CAST(length(text) AS BIGINT) AS n_chars FROM f WHERE kb IN (SELECT kb FROM acl WHERE principal = 'ana')",
+    "grants_asof": f"WITH {_USES}, g AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS granted FROM events WHERE event_type IN ('purchase', 'error')) SELECT u.event_id, u.user_id, u.kb, CAST(coalesce(g.event_id, -1) AS BIGINT) AS grant_id, coalesce(g.granted, false) AS allowed FROM u ASOF LEFT JOIN g ON u.user_id = g.user_id AND u.ts >= g.ts",
+    "grants_interval": f"WITH {_USES}, p AS (SELECT event_id, user_id, ts AS opens, ts + to_microseconds(CAST(round(value * 100) AS BIGINT) * 36000000) AS closes FROM events WHERE event_type = 'purchase') SELECT u.event_id, u.user_id, p.event_id AS grant_id FROM u JOIN p ON u.user_id = p.user_id AND u.ts >= p.opens AND u.ts < p.closes",
+    "idx_phrase_search": f"WITH {_WORDS}, {_ACL}, h AS (SELECT kb, doc_id, count(*) AS n FROM (SELECT kb, doc_id, w, unnest(range(1, len(w) + 1)) AS p FROM w) WHERE {_PHRASE} GROUP BY ALL) SELECT principal, doc_id, n FROM h JOIN acl USING (kb)",
+    "idx_best_files": f"WITH {_BM.replace(_IN, _MIXED)}, {_ACL} {_TOP}",
+    "idx_best_files_common": f"WITH {_BM}, {_ACL} {_TOP}",
     "p1_kb_assign": f"WITH {_F} SELECT doc_id, kb FROM f",
     "p2_acl_visible": f"WITH {_F}, {_ACL} SELECT doc_id FROM f WHERE kb IN (SELECT kb FROM acl WHERE principal = 'ana')",
     "p3_tokenize": f"WITH {_T} SELECT doc_id, kb, token FROM t",

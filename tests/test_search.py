@@ -58,7 +58,7 @@ def test_stream(spark, files, tmp_path):
 def test_access_is_below_tokenising(spark, files):
     """The semi-join with the grants stands under the generator of tokens."""
     acl_ = acl(spark, [("p", "a")])
-    for q in (S.tf_search(files, acl_, TERMS), S.bm25_search(files, acl_, TERMS)):
+    for q in (S.tf_search(files, acl_, TERMS), S.lengths_and_counts(S.granted(files, acl_), TERMS)):
         lines = q._jdf.queryExecution().optimizedPlan().toString().split("\n")
         depth = lambda word: [len(x) - len(x.lstrip(" :+-")) for x in lines if word in x]
         assert depth("Generate explode") and max(depth("LeftSemi")) > min(depth("Generate explode"))
@@ -78,9 +78,13 @@ def test_odd_sources(spark):
     assert {r.doc_id: r.kb for r in S.kb_assign(docs, rule).collect()} == {1: "plant", 2: "plant", 3: "archive"}
 
 
-def test_bm25_tokenises_once(spark, files):
-    plan = S.bm25_scores(files, TERMS)._jdf.queryExecution().optimizedPlan().toString()
-    assert "split(lower" in plan and all(x.count("split(lower") <= 1 for x in plan.split("\n"))
+def test_bm25_reads_texts_once(spark):
+    """One scan and one tokenisation of the texts; what follows reads counts."""
+    table_ = spark.read.parquet(f"{SMALL}/documents.parquet").selectExpr("doc_id", "'a' AS kb", "text")
+    first = S.lengths_and_counts(table_, TERMS)._jdf.queryExecution().executedPlan().toString()
+    assert first.count("FileScan") == 1 and all(x.count("split(lower") <= 1 for x in first.split("\n"))
+    rest = S.bm25_scores(table_, TERMS)._jdf.queryExecution().executedPlan().toString()
+    assert "split(" not in rest and "documents.parquet" not in rest
 
 
 def test_stream_update_mode(spark, files, tmp_path):
