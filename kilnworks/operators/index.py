@@ -41,7 +41,7 @@ from kilnworks.functions.text import tokens
 from kilnworks.operators.search import top
 from kilnworks.sources.shared import shared_folder, written_stage
 
-BLOCK, PART, ZONE_BITS = 128, 64, 2
+BLOCK, PART, ZONE_BITS = 32, 64, 2
 K1, B = 1.2, 0.75
 
 
