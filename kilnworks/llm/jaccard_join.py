@@ -5,9 +5,11 @@ least s have sizes within one factor of each other, so sizes fall into bands and
 set signs for its own band and the next. Two such sets of a band differ in at most
 k items; the item domain is cut into n1 partitions, at most k / (k2 + 1) of which hold
 more than k2 differing items, and each into ``fine`` parts, of which fine - k2 agree
-in any other partition: every subset of that many parts is one signature. By default
-k2 is 1 and a partition has three parts, so that each pair of parts signs. Sets of a
-band with k = 0 are equal and have one signature.
+in any other partition: every subset of that many parts is one signature. A band's k2 and
+fine are those with the fewest signatures whose subsets have ``ITEMS`` items on average
+in its largest sets, or else the most items: at a high similarity single parts of
+halved partitions do, at a low one larger subsets of more parts. Sets of a band with
+k = 0 are equal and have one signature.
 
 A part without items would sign alike for unrelated sets, so a subset without items
 doesn't sign. There are a twelfth more partitions than the bound asks for; a set with
@@ -15,10 +17,12 @@ more than k / (k2 + 1) partitions in which every subset has items shares a signa
 with every set that it links to. A set with fewer also signs by other hashes, where the
 same holds, and after ``LEVELS`` of them by all subsets, empty ones too: no link is lost.
 
-Equal sets are one class from the start. A class signs once in each task, however many
-copies the task sees, so a text that a third of all rows share adds a row per signature
-and task. Classes that share signatures are chained (each with the one before it, by a
-window that keeps no group), chains give candidate components, and each component's
+Equal sets are one class from the start. A class signs once for so many different sets
+as a task remembers (a bounded number), and of the sets of a batch that share a signature
+only the first one takes it along, the others are chained to that one where they are. So a
+signature that a third of all sets have, near copies of a form letter say, is one row per
+batch in the shuffle. There rows with one signature are chained (each with the one before
+it, by a window that keeps no group), chains give candidate components, and each component's
 classes are compared exactly, by postings of their items, in blocks of bounded size. At
 first all blocks meet the component's leading one only. What that links needs no further
 comparison within itself: of the groups known by then the largest one's blocks meet
@@ -38,9 +42,11 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from itertools import combinations
+from math import comb
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -88,13 +94,19 @@ class Shingler:
 
 class Bands:
     def __init__(self, similarity: tuple[int, int]):
-        self.num, self.den, self.ends = *similarity, [1]
+        self.num, self.den, self.ends, self.known = *similarity, [1], {}
 
     def of(self, size: int) -> int:
         while self.ends[-1] < size:
             self.ends.append(max(self.ends[-1] + 1, (self.ends[-1] + 1) * self.den // self.num))
         return int(np.searchsorted(self.ends, size))
 
+    def partitions(self, b: int) -> tuple[int, int, int]:
+        """(n1, k2, fine) of band b."""
+        if b not in self.known:
+            self.known[b] = chosen(self.most(b), self.ends[b])
+        return self.known[b]
+
     def most(self, b: int) -> int:
         """Items in which two sets that link, of band b or b and the one below, differ at most."""
         while len(self.ends) <= b:
@@ -103,9 +115,24 @@ class Bands:
 
 
 LEVELS = 5
+#: Items that a signature's subset has on average, and (k2, fine) to choose from.
+ITEMS = 4
+CHOICES = [(k2, k2 + more) for k2 in range(1, 5) for more in range(1, 4)]
+
 
+def chosen(k: int, size: int) -> tuple[int, int, int]:
+    """(n1, k2, fine) for sets of so many items that differ in k at most; n1 with the
+    spare partitions."""
+    found = []
+    for k2, fine in CHOICES:
+        spoilt = k // (k2 + 1)  # partitions with more than k2 of the differing items, at most
+        n1 = spoilt + 1 + spoilt // 12
+        items = size / n1 * (fine - k2) / fine
+        found.append((items < ITEMS, n1 * comb(fine, k2) if items >= ITEMS else -items, n1, k2, fine))
+    return min(found)[2:]
 
-def signatures(items: np.ndarray, band: Bands, k2: int = 1, fine: int = 3) -> np.ndarray:
+
+def signatures(items: np.ndarray, band: Bands) -> np.ndarray:
     """All signatures of one set of hashes."""
     out = []
     b = band.of(len(items))
@@ -114,8 +141,8 @@ def signatures(items: np.ndarray, band: Bands, k2: int = 1, fine: int = 3) -> np
         if not k:  # sets of this band that link are equal
             out.append(_signed(items, c, 1, 0, 1, 0)[0])
             continue
-        spoilt = k // (k2 + 1)  # partitions with more than k2 of the differing items, at most
-        n1 = spoilt + 1 + spoilt // 12
+        n1, k2, fine = band.partitions(c)
+        spoilt = k // (k2 + 1)
         for level in range(LEVELS + 1):
             got, full = _signed(items, c, n1, k2, fine, level)
             out.append(got)
@@ -153,78 +180,111 @@ def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-def _features(n: int, similarity: tuple[int, int], k2: int, fine: int):
+#: Classes that a task remembers to have signed.
+REMEMBERED = 1 << 20
+
+
+def _features(n: int, similarity: tuple[int, int]):
+    """Each row's number i, set size, set hash, the signatures that it takes along, and the
+    rows of its batch that took others of its signatures along."""
+
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, band, seen = Shingler(n), Bands(similarity), set()
         none = np.zeros(0, np.int64)
+        i = TaskContext.get().partitionId() << 33
         for frame in batches:
-            rows = []
+            rows, signed = [], []
+            if len(seen) > REMEMBERED:
+                seen.clear()
             for doc_id, text, t1, t2 in zip(*(frame[c].tolist() for c in ("doc_id", "text", "t1", "t2"))):
                 s = shingle(text)
                 h1, h2 = (int((_mix(s * a)).sum(dtype=U).astype(np.int64)) for a in (A1, A2))
                 new = len(s) and (h1, h2) not in seen
                 seen.add((h1, h2))
-                rows.append((doc_id, t1, t2, len(s), h1, h2, signatures(s, band, k2, fine).astype(np.int64) if new else none))
-            yield pd.DataFrame(rows, columns=["doc_id", "t1", "t2", "n", "h1", "h2", "sig"]).astype({"doc_id": "Int64"})
+                rows.append((i, doc_id, t1, t2, len(s), h1, h2))
+                signed.append(signatures(s, band).astype(np.int64) if new else none)
+                i += 1
+            out = pd.DataFrame(rows, columns=["i", "doc_id", "t1", "t2", "n", "h1", "h2"]).astype({"doc_id": "Int64"})
+            out["sig"], out["near"] = _taken(signed, out["i"].to_numpy())
+            yield out
 
     return f
 
 
-def _linked(a: np.ndarray, b: np.ndarray, num: int, den: int) -> bool:
-    if den * min(len(a), len(b)) < num * max(len(a), len(b)):
-        return False
-    both = len(a) + len(b) - len(np.union1d(a, b))
-    return den * both >= num * (len(a) + len(b) - both)
+def _taken(signed: list[np.ndarray], i: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By row, the signatures that no row before has, and the first rows that have the others."""
+    sizes = np.array([len(s) for s in signed])
+    flat, owner = np.concatenate(signed), np.repeat(np.arange(len(signed)), sizes)
+    order = np.argsort(flat, kind="stable")
+    new = np.ones(len(flat), bool)
+    new[1:] = flat[order[1:]] != flat[order[:-1]]
+    first = np.empty(len(flat), np.int64)
+    first[order] = owner[order[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]]
+    own, at = first == owner, np.r_[0, np.cumsum(sizes)]
+    parts = [slice(a, b) for a, b in zip(at, at[1:])]
+    return [flat[p][own[p]] for p in parts], [i[np.unique(first[p][~own[p]])] for p in parts]
 
 
 def _compare(n: int, similarity: tuple[int, int]):
-    """Links of a unit of work: one block's pairs or those between two blocks."""
+    """Links that connect what is linked in a unit of work: one block or two."""
     num, den = similarity
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle = Shingler(n)
         for parts in runs(batches, ["c", "x", "y"]):
             g = pd.concat(parts) if len(parts) > 1 else parts[0]
-            sets = [shingle(t) for t in g["text"]]
-            key, block = g["k"].tolist(), g["b"].to_numpy()
-            cross = g["x"].iloc[0] != g["y"].iloc[0]
-            root = list(range(len(sets)))
-
-            def find(i: int) -> int:
-                while root[i] != i:
-                    root[i] = root[root[i]]
-                    i = root[i]
-                return i
-
-            out = []
-            sizes = np.array([len(s) for s in sets])
-            if len(sets) > 4:
-                flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
-                order = np.argsort(flat, kind="stable")
-                flat, owner = flat[order], owner[order]
-            for i in range(len(sets)):
-                if len(sets) > 4:
-                    lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
-                    width = hi - lo
-                    at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
-                    both = np.bincount(owner[at], minlength=len(sets))
-                    ok = den * both >= num * (sizes + sizes[i] - both)
-                    js = np.flatnonzero(ok[i + 1 :]) + i + 1
-                else:
-                    js = [j for j in range(i + 1, len(sets)) if _linked(sets[i], sets[j], num, den)]
-                for j in js:
-                    if cross and block[i] == block[j]:
-                        continue
-                    p, q = find(i), find(int(j))
-                    if p != q:
-                        root[p] = q
-                        out.append((key[i], key[int(j)]))
+            key = g["k"].tolist()
+            out = [(key[i], key[j]) for i, j in _forest([shingle(t) for t in g["text"]], num, den)]
             if out:
                 yield pd.DataFrame(out, columns=["a", "b"])
 
     return f
 
 
+def _forest(sets: list[np.ndarray], num: int, den: int) -> list[tuple[int, int]]:
+    """Links that connect all that links connect. A set that nothing has reached yet is
+    compared with all others; then those outside the largest group are. Two sets of one
+    group, or one that has been compared with all, need no further comparison: a block of
+    near copies of one text takes about as many comparisons as it has sets."""
+    root, out = list(range(len(sets))), []
+    sizes = np.array([len(s) for s in sets])
+    flat, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), sizes)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    def compare(i: int) -> None:
+        lo, hi = np.searchsorted(flat, sets[i], "left"), np.searchsorted(flat, sets[i], "right")
+        width = hi - lo
+        at = np.repeat(lo - np.r_[0, np.cumsum(width)[:-1]], width) + np.arange(width.sum())
+        both = np.bincount(owner[at], minlength=len(sets))
+        for j in np.flatnonzero(den * both >= num * (sizes + sizes[i] - both)).tolist():
+            p, q = find(i), find(j)
+            if p != q:
+                root[p] = q
+                out.append((i, j))
+
+    done = np.zeros(len(sets), bool)
+    reached = np.zeros(len(sets), bool)
+    for i in range(len(sets)):
+        if not reached[i]:
+            before = len(out)
+            compare(i)
+            done[i] = reached[i] = True
+            for _, j in out[before:]:
+                reached[j] = True
+    groups = np.array([find(i) for i in range(len(sets))])
+    main = np.bincount(groups).argmax()
+    for i in np.flatnonzero((groups != main) & ~done).tolist():
+        compare(i)
+    return out
+
+
 def _keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, t1, t2, text): t1 and t2 are 128 bits of the text. Rows that agree in
     the first three are one document."""
@@ -261,18 +321,18 @@ def _rest(texts: DataFrame, links: DataFrame, block_chars: int) -> tuple[DataFra
     return dealt.select("c", "k", "text", b.cast("int").alias("b"), (F.col("lead") + F.col("more")).alias("nb"), "lead"), F.col("lead")
 
 
-def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine: int, block_chars: int) -> DataFrame:
+def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], block_chars: int) -> DataFrame:
     """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
     first document with that set and the first one of its component."""
-    found = docs.mapInPandas(_features(n, similarity, k2, fine), "doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>")
-    # Rows that sign have numbers, which the shuffle packs better than hashes; they are written, so they don't change.
-    found = written(found.withColumn("i", F.monotonically_increasing_id()), "features")
+    found = docs.mapInPandas(_features(n, similarity), "i long, doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>, near array<long>")
+    found = written(found, "features")
     signed = found.select("i", F.explode("sig").alias("s"))
-    before = signed.withColumn("o", F.lag("i").over(Window.partitionBy("s").orderBy("i")))
-    edges = written(before.where("o is not null").select(F.col("o").alias("a"), F.col("i").alias("b")).distinct(), "shared-signatures")
+    before = signed.withColumn("o", F.lag("i").over(Window.partitionBy("s").orderBy("i")))  # a row for each batch at most
+    edges = before.where("o is not null").select(F.col("o").alias("a"), F.col("i").alias("b")).distinct()
+    edges = written(edges.union(found.select(F.explode("near").alias("a"), F.col("i").alias("b"))), "shared-signatures")
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")
     classes = written(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first")), "classes")
-    named = written(found.drop("sig"), "sets")
+    named = written(found.drop("sig", "near"), "sets")
     discard(found)
     candidates = components(edges)
     held = named.join(candidates, named["i"] == candidates["node"]).select("component", "h1", "h2", "n").distinct()
@@ -297,19 +357,19 @@ def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], k2: int, fine
     return out.select("doc_id", "t1", "t2", "n", "first", "least")
 
 
-def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 4_000_000) -> DataFrame:
+def join(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block_chars: int = 4_000_000) -> DataFrame:
     """(doc_id, n_shingles, class_id, component_id) per row of docs. class_id is the
     least doc_id with an equal set."""
-    out = labelled(_keyed(docs), n, similarity, k2, fine, block_chars)
+    out = labelled(_keyed(docs), n, similarity, block_chars)
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("first.doc_id", "doc_id").alias("class_id"), F.coalesce("least.doc_id", "doc_id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), k2: int = 1, fine: int = 3, block_chars: int = 4_000_000) -> DataFrame:
+def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100), block_chars: int = 4_000_000) -> DataFrame:
     """docs with one row of each component: that with the least doc_id, or one without
     doc_id where none has one. Documents without words stay. Rows that agree in doc_id
     and text are one document, of which one row stays."""
     whole = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("whole")
-    labels = labelled(_keyed(docs), n, similarity, k2, fine, block_chars)
+    labels = labelled(_keyed(docs), n, similarity, block_chars)
     own = F.struct("doc_id", "t1", "t2")
     gone = labels.where("n > 0").where(own != F.struct("least.doc_id", "least.t1", "least.t2")).select(own.alias("key")).distinct()
     rows = _keyed(docs, whole).drop("text")

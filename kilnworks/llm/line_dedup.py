@@ -30,7 +30,8 @@ passages without any . ! or ?, by simulation 2% are missed at 51 words, 0.5% at
 with a sentence end every twelve words 0.1% at 51.
 
 Nulls: a null text stays null. A null doc_id comes after all others. Rows that agree
-in doc_id and text are one document and fare alike; the same text under another
+in doc_id and text (by 128 bits of it) are one document and fare alike; a text without
+words has no units and stays, however long; the same text under another
 doc_id is a copy, of which the lowest doc_id stays. A text that loses no unit stays
 as it is, byte by byte; one that loses all of them becomes ''. Extra columns stay,
 whatever their names; n_units and n_deleted are replaced. An empty table gives no rows.
@@ -53,6 +54,12 @@ CONTENT, MARK = 6, "\x01"
 
 
 def units(text: Column, content: bool = False) -> Column:
+    """A text's units; none of a text without any word, in which the pattern would look
+    for a word from each place on."""
+    return F.when(F.rlike(text, F.lit(r"[^ \t\n\r]")), _units(text, content)).otherwise(F.array().cast("array<string>"))
+
+
+def _units(text: Column, content: bool) -> Column:
     plain = F.regexp_extract_all(text, F.lit(UNIT), F.lit(0))
     if not content:
         return plain
@@ -66,8 +73,13 @@ def units(text: Column, content: bool = False) -> Column:
     return F.when(F.contains(text, F.lit(MARK)), plain).otherwise(F.transform(cut, lambda u: F.translate(u, MARK, "")))
 
 
+def _digests() -> list[Column]:
+    """128 bits of the text: rows that agree in doc_id and in these are one document."""
+    return [F.xxhash64("text").alias("d1"), F.xxhash64(F.lit(1), "text").alias("d2")]
+
+
 def _hashes(docs: DataFrame, k: int, w: int, content: bool) -> DataFrame:
-    """(id, digest, h, at) of documents with a run at least: the hashes of their units
+    """(id, d1, d2, h, at) of documents with a run at least: the hashes of their units
     and, for the run that begins at each place, how far in its least fingerprint is."""
     t, bits = k + w - 1, max(1, (w - 1).bit_length())
 
@@ -76,7 +88,7 @@ def _hashes(docs: DataFrame, k: int, w: int, content: bool) -> DataFrame:
 
     line = F.transform(units(F.col("text"), content), lambda u: F.xxhash64(F.trim(F.translate(u, "\t\n\r", "   "))))
     # The generator keeps Catalyst from splitting the text once for each use.
-    split = docs.select(F.col("doc_id").alias("id"), F.hash("text").alias("digest"), F.explode(F.array(line)).alias("h")).where(F.size("h") >= t)
+    split = docs.select(F.col("doc_id").alias("id"), *_digests(), F.explode(F.array(line)).alias("h")).where(F.size("h") >= t)
     return split.withColumn("at", F.transform(F.slice("h", F.lit(1), F.size("h") - (t - 1)), lambda x, s: offset(F.col("h"), s)))
 
 
@@ -85,16 +97,16 @@ def _fingerprint(h: Column, p: Column, k: int) -> Column:
 
 
 def deleted(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> DataFrame:
-    """(id, digest, gone): the places of the runs' first units, per document that
+    """(id, d1, d2, gone): the places of the runs' first units, per document that
     has later occurrences; each deletes k + w - 1 units."""
     t = k + w - 1
     hashes = written(_hashes(docs, k, w, content), "hashes")
     places = F.array_distinct(F.transform("at", lambda o, s: s + o.cast("int")))
     selected = F.transform(places, lambda p: F.struct(p.alias("p"), _fingerprint(F.col("h"), p, k).alias("fingerprint")))
-    anchors = hashes.select("id", "digest", F.explode(selected).alias("a")).select("id", "digest", "a.*")
+    anchors = hashes.select("id", "d1", "d2", F.explode(selected).alias("a")).select("id", "d1", "d2", "a.*")
     again = written(anchors.groupBy("fingerprint").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fingerprint"), "fingerprints")
-    matched = anchors.join(again, "fingerprint").groupBy("id", "digest").agg(F.collect_set("p").alias("hit"))  # a document's places
-    matched = written(matched.withColumnsRenamed({"id": "_id", "digest": "_digest"}), "matches")
+    matched = anchors.join(again, "fingerprint").groupBy("id", "d1", "d2").agg(F.collect_set("p").alias("hit"))  # a document's places
+    matched = written(matched.withColumnsRenamed({"id": "_id", "d1": "_d1", "d2": "_d2"}), "matches")
 
     def runs(p: Column) -> Column:  # those that selected the fingerprint at p
         return F.filter(F.sequence(F.greatest(p - (w - 1), F.lit(0)), F.least(p, F.size("at") - 1)), lambda s: s + F.get("at", s).cast("int") == p)
@@ -103,13 +115,13 @@ def deleted(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> D
         u = [F.get("h", s + i) for i in range(t)]
         return F.struct(s.alias("s"), F.xxhash64(*u).alias("n1"), F.xxhash64(F.lit(t), *reversed(u)).alias("n2"))
 
-    found = hashes.join(matched, hashes["id"].eqNullSafe(matched["_id"]) & (hashes["digest"] == matched["_digest"]))
-    found = found.select("id", "digest", F.explode(F.transform(F.flatten(F.transform("hit", runs)), named)).alias("r"))
-    found = written(found.select(F.struct(F.col("id").isNull().alias("z"), "id", "digest", "r.s").alias("at"), "r.n1", "r.n2"), "runs")
+    found = hashes.join(matched, hashes["id"].eqNullSafe(matched["_id"]) & (hashes["d1"] == matched["_d1"]) & (hashes["d2"] == matched["_d2"]))
+    found = found.select("id", "d1", "d2", F.explode(F.transform(F.flatten(F.transform("hit", runs)), named)).alias("r"))
+    found = written(found.select(F.struct(F.col("id").isNull().alias("z"), "id", "d1", "d2", "r.s").alias("at"), "r.n1", "r.n2"), "runs")
     first = found.groupBy("n1", "n2").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last")
     first = written(first.select("n1", "n2", "one"), "first-runs")
-    later = found.join(first, ["n1", "n2"]).where("at <> one").select("at.id", "at.digest", "at.s")
-    gone = written(later.groupBy("id", "digest").agg(F.collect_set("s").alias("gone")), "gone")
+    later = found.join(first, ["n1", "n2"]).where("at <> one").select("at.id", "at.d1", "at.d2", "at.s")
+    gone = written(later.groupBy("id", "d1", "d2").agg(F.collect_set("s").alias("gone")), "gone")
     discard(hashes, again, matched, found, first)
     return gone
 
@@ -120,8 +132,8 @@ def dedup(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> Dat
     t = k + w - 1
     gone = deleted(docs, k, w, content)
     # Whole rows travel as one column, so that no name of theirs can clash.
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), F.hash("text").alias("d"), F.col("text").alias("text"))
-    joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["d"] == gone["digest"]), "left").select("row", "text", "gone")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), *[d.alias(f"_{n}") for n, d in zip(("d1", "d2"), _digests())], F.col("text").alias("text"))
+    joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["_d1"] == gone["d1"]) & (rows["_d2"] == gone["d2"]), "left").select("row", "text", "gone")
     # The generator keeps Catalyst from splitting the text once for each use.
     joined = joined.select("row", "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"), content)))).alias("_units"))
     away = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s, s + (t - 1))))))

@@ -1,7 +1,9 @@
 """Each operator on small fixtures: against brute force, round trips, edge cases."""
 
 import hashlib
+import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -149,7 +151,7 @@ def test_line_dedup(spark, odd):
     out = line_dedup.dedup(odd)
     assert out.count() == odd.count() and set(odd.columns) <= set(out.columns)
     assert line_dedup.dedup(odd.limit(0)).count() == 0
-    names = {c: F.lit(c) for c in ("gone", "id", "_id", "_digest", "digest", "_units", "row", "n_units", "a.b")}
+    names = {c: F.lit(c) for c in ("gone", "id", "_id", "_d1", "d1", "_units", "row", "n_units", "a.b")}
     clash = line_dedup.dedup(docs.withColumns(names))
     assert clash.columns == [*docs.columns, *(c for c in names if c != "n_units"), "n_units", "n_deleted"]
     assert {(r.doc_id, r.text, r.n_deleted) for r in clash.collect()} == {(i, r.text, r.n_deleted) for i, r in got.items()}
@@ -163,7 +165,7 @@ def test_line_dedup_brute_force(spark, kw):
     rows = [(i, " ".join(f"{random.choice('abc')}." for _ in range(random.randrange(0, 30)))) for i in range(40)]
     rows += [(None, rows[3][1]), (None, "q. r. s. t. u. v."), rows[5]]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "hash(text) AS h").collect()}
+    hashes = {(r.doc_id, r.text): r.h for r in docs.selectExpr("doc_id", "text", "xxhash64(text) AS h").collect()}
     seen, want = set(), {}
     for i, t in sorted(set(rows), key=lambda r: (r[0] is None, r[0] or 0, hashes[r])):
         u, away = t.split(), set()
@@ -172,11 +174,35 @@ def test_line_dedup_brute_force(spark, kw):
                 away |= set(range(s, s + 5))
             seen.add(tuple(u[s : s + 5]))
         want[i, hashes[i, t]] = " ".join(x for j, x in enumerate(u) if j not in away)
-    got = line_dedup.dedup(docs.withColumn("h", F.hash("text"))).collect()
+    got = line_dedup.dedup(docs.withColumn("h", F.xxhash64("text"))).collect()
     assert len(got) == len(rows)
     assert all(r.text == want[r.doc_id, r.h] for r in got)
 
 
+def test_line_dedup_tells_documents_apart(spark):
+    """Rows without doc_id are told apart by all of their text: two whose 32-bit hashes agree,
+    of which one repeats a run and the other nothing, don't share the deletion."""
+    run = "Aa bb. Cc dd. Ee ff. Gg hh. Ii jj. "
+    own = F.concat(*[x for c in "abcdef" for x in (F.lit("V"), F.col("id"), F.lit(f"{c}. "))])
+    tries = spark.range(150_000).select(F.concat(F.lit(run), F.lit("Un"), "id", F.lit("a.")).alias("a"), own.alias("b"))
+    twin = tries.select("a", F.hash("a").alias("h")).join(tries.select("b", F.hash("b").alias("h")), "h").orderBy("a", "b").first()
+    docs = spark.createDataFrame([(1, run), (None, twin.a), (None, twin.b)], "doc_id long, text string")
+    got = {r.text for r in line_dedup.dedup(docs).collect()}
+    assert got == {run, twin.a[len(run) :], twin.b}
+
+
+def test_line_dedup_blank_texts(spark):
+    """A text without words has no units and takes a moment, however long."""
+    blank = [" " * 1_000_000, "\n" * 300_000, "\t \r\n" * 100_000]
+    rows = [(i, t) for i, t in enumerate([*blank, blank[0] + "word.", "a" + blank[0] + "b", "c." + blank[1], ""])]
+    for content in (False, True):
+        began = time.time()
+        got = {r.doc_id: r for r in line_dedup.dedup(spark.createDataFrame(rows, "doc_id long, text string"), content=content).collect()}
+        assert time.time() - began < 60
+        assert [got[i].n_units for i in (0, 1, 2, 3, 5, 6)] == [0, 0, 0, 1, 1, 0] and got[4].n_units in (1, 1 + content)
+        assert all(got[i].text == t for i, t in rows)
+
+
 def test_line_dedup_stock_passage(spark):
     """Different runs around one passage of three units, whose fingerprint is low enough to be selected: none may pass for another."""
     docs = spark.range(400_000).selectExpr("id AS doc_id", "concat('A', id, '. B', id, '. Stock 53. Stock text. Stock end. C', id, '. D', id, '.') AS text")
@@ -459,7 +485,7 @@ def test_jaccard_join(spark, odd):
                 x, y = find(a), find(b)
                 root[max(x, y)] = min(x, y)
     docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for more in ({}, {"k2": 0, "fine": 1}, {"k2": 2, "fine": 4}, {"block_chars": 500}):
+    for more in ({}, {"block_chars": 500}):
         got = {r.doc_id: (r.component_id, r.n_shingles) for r in jaccard_join.join(docs, **more).collect()}
         assert got == {i: (find(i), len(sets[i])) for i in sets}
     out = jaccard_join.join(odd)
@@ -520,21 +546,51 @@ def test_jaccard_large_components(spark):
     assert out["c"] == (0, 1, 4) and all(1 <= out[k][0] < 4 for k in "abd")
 
 
-def test_jaccard_signatures_are_complete():
+@pytest.mark.parametrize("similarity", [(90, 100), (80, 100), (50, 100)])
+def test_jaccard_signatures_are_complete(similarity):
     """Any two sets at the threshold share a signature, small and large, whatever parts are empty."""
     rng = np.random.default_rng(11)
-    band = jaccard_join.Bands((90, 100))
-    for size in [*range(1, 60), 100, 311, 1000]:
+    band, (num, den) = jaccard_join.Bands(similarity), similarity
+    for size in [*range(1, 60), 100, 311, 1000] if num > 50 else [*range(1, 30), 100]:
+        most = size * (den - num) // den
         for _ in range(12):
             items = rng.integers(0, 1 << 63, size * 2 + 2, dtype=np.uint64)
-            out = int(rng.integers(0, size // 10 + 1))
-            other = np.r_[items[: size - out], items[size : size + int(rng.integers(0, size // 10 + 1))]]
+            out = int(rng.integers(0, most + 1))
+            other = np.r_[items[: size - out], items[size : size + int(rng.integers(0, most + 1))]]
             x, y = np.unique(items[:size]), np.unique(other)
             both = len(np.intersect1d(x, y))
-            if 100 * both >= 90 * (len(x) + len(y) - both):
+            if den * both >= num * (len(x) + len(y) - both):
                 assert len(np.intersect1d(jaccard_join.signatures(x, band), jaccard_join.signatures(y, band)))
 
 
+def test_jaccard_choice():
+    """Single parts where differences are few; larger subsets of more parts where they are many."""
+    few, many = jaccard_join.chosen(105, 1000), jaccard_join.chosen(660, 1000)
+    assert few[0] * math.comb(few[2], few[1]) < 1.1 * 106 and few[2] - few[1] == 1
+    assert many[2] - many[1] > 1
+    sizes = [len(jaccard_join.signatures(np.arange(1000, dtype=np.uint64) * jaccard_join.A1, jaccard_join.Bands(s))) for s in ((90, 100), (80, 100))]
+    assert sizes[0] < 270 and sizes[1] < 620  # 390 and 884 with three parts each
+
+
+def test_jaccard_batch_chains():
+    """Of the rows that share a signature the first takes it along, the others name that row."""
+    i = np.array([70, 71, 72, 73])
+    sig, near = jaccard_join._taken([np.array([5, 9]), np.array([9, 11]), np.array([], np.int64), np.array([5, 11, 12])], i)
+    assert [x.tolist() for x in sig] == [[5, 9], [11], [], [12]]
+    assert [x.tolist() for x in near] == [[], [70], [], [70, 71]]
+
+
+def test_jaccard_many_near_copies(spark):
+    """100,000 different sets that share a signature: no window or comparison grows with their square."""
+    words = " ".join(f"w{i}" for i in range(70))
+    copies = spark.range(100_000).select(F.col("id").alias("doc_id"), F.concat(F.lit(words + " k"), "id").alias("text"))
+    far = spark.range(100_000, 100_050).select(F.col("id").alias("doc_id"), F.concat_ws(" ", *[F.concat(F.lit(f"z{j}q"), "id") for j in range(70)]).alias("text"))
+    began = time.time()
+    got = jaccard_join.join(copies.union(far)).groupBy("component_id").count().collect()
+    assert sorted(r["count"] for r in got)[-1] == 100_000 and len(got) == 51
+    assert time.time() - began < 400
+
+
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>var a="</p>";</script></head><body class="ad-free">
 <nav><ul><li>Menu</li></ul></nav><div class="ad">Buy</div><div class="strip">Same %s everywhere</div><div id="story"><h1>Head &amp; tail %d</h1><p><b>One<br>two
 <p>Three   %d</div><div class="comments"><p>First!</p></div><form><p>Name</p></form><aside>Side</aside><footer>&copy; me</footer></body></html>"""
