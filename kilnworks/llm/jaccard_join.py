@@ -12,8 +12,9 @@ halved partitions do, at a low one larger subsets of more parts. Sets of a band
 k = 0 are equal and have one signature.
 
 A part without items would sign alike for unrelated sets, so a subset without items
-doesn't sign. There are a twelfth more partitions than the bound asks for; a set with
-more than k / (k2 + 1) partitions in which every subset has items shares a signature
+doesn't sign. There are a twelfth more partitions than the bound asks for (a sixth where
+single parts sign); a set with more than k / (k2 + 1) partitions in which every subset has
+items, or with more than k parts that have items where those sign, shares a signature
 with every set that it links to. A set with fewer also signs by other hashes, where the
 same holds, and after ``LEVELS`` of them by all subsets, empty ones too: no link is lost.
 
@@ -101,8 +102,8 @@ class Bands:
             self.ends.append(max(self.ends[-1] + 1, (self.ends[-1] + 1) * self.den // self.num))
         return int(np.searchsorted(self.ends, size))
 
-    def partitions(self, b: int) -> tuple[int, int, int]:
-        """(n1, k2, fine) of band b."""
+    def partitions(self, b: int) -> tuple[int, int, int, int]:
+        """chosen() of band b."""
         if b not in self.known:
             self.known[b] = chosen(self.most(b), self.ends[b])
         return self.known[b]
@@ -116,19 +117,20 @@ class Bands:
 
 LEVELS = 5
 #: Items that a signature's subset has on average, and (k2, fine) to choose from.
-ITEMS = 4
+ITEMS = 3
 CHOICES = [(k2, k2 + more) for k2 in range(1, 5) for more in range(1, 4)]
 
 
-def chosen(k: int, size: int) -> tuple[int, int, int]:
-    """(n1, k2, fine) for sets of so many items that differ in k at most; n1 with the
-    spare partitions."""
+def chosen(k: int, size: int) -> tuple[int, int, int, int]:
+    """(n1, k2, fine, spoilt) for sets of so many items that differ in k at most; n1 with
+    the spare partitions, spoilt being the parts (where single parts sign) or partitions
+    that differing items can spoil."""
     found = []
     for k2, fine in CHOICES:
-        spoilt = k // (k2 + 1)  # partitions with more than k2 of the differing items, at most
-        n1 = spoilt + 1 + spoilt // 12
+        spoilt = k if fine - k2 == 1 else k // (k2 + 1)
+        n1 = -(-(spoilt + 1 + spoilt // 6) // fine) if fine - k2 == 1 else spoilt + 1 + spoilt // 12
         items = size / n1 * (fine - k2) / fine
-        found.append((items < ITEMS, n1 * comb(fine, k2) if items >= ITEMS else -items, n1, k2, fine))
+        found.append((items < ITEMS, n1 * comb(fine, k2) if items >= ITEMS else -items, n1, k2, fine, spoilt))
     return min(found)[2:]
 
 
@@ -141,8 +143,7 @@ def signatures(items: np.ndarray, band: Bands) -> np.ndarray:
         if not k:  # sets of this band that link are equal
             out.append(_signed(items, c, 1, 0, 1, 0)[0])
             continue
-        n1, k2, fine = band.partitions(c)
-        spoilt = k // (k2 + 1)
+        n1, k2, fine, spoilt = band.partitions(c)
         for level in range(LEVELS + 1):
             got, full = _signed(items, c, n1, k2, fine, level)
             out.append(got)
@@ -152,8 +153,8 @@ def signatures(items: np.ndarray, band: Bands) -> np.ndarray:
 
 
 def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int) -> tuple[np.ndarray, int]:
-    """Signatures by one partitioning of the domain, without those of no item, and
-    the number of partitions that lack none."""
+    """Signatures by one partitioning of the domain, without those of no item, and the
+    number of partitions that lack none, or of parts with items where single ones sign."""
     salted = _mix(items + A1 * np.array([level + 1], U))
     cells = ((salted >> U(32)) * U(n1 * fine) >> U(32)).astype(np.int64)
     sums = _sums(cells, salted * A3 | U(1), n1 * fine).reshape(n1, fine)
@@ -168,7 +169,7 @@ def _signed(items: np.ndarray, c: int, n1: int, k2: int, fine: int, level: int)
         full = count[:, list(chosen)].sum(axis=1) > 0
         whole &= full
         out.append(got if level == LEVELS else got[full])
-    return np.concatenate(out), int(whole.sum())
+    return np.concatenate(out), int((count > 0).sum() if fine - k2 == 1 else whole.sum())
 
 
 def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
