@@ -51,7 +51,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, partitions, runs, written
+from .common import components, discard, partitions, runs, written, written_stage
 
 U = np.uint64
 A1, A2, A3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -381,7 +381,7 @@ def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100
 
 def digest_query(docs: DataFrame) -> DataFrame:
     """What is asked of op9."""
-    return join(docs).select("doc_id", "n_shingles", "component_id")
+    return written_stage(lambda: join(docs).select("doc_id", "n_shingles", "component_id"), "components-of")  # all other tables go
 
 
 SQL_BODY = r"""

@@ -2,14 +2,18 @@ r"""Merkle fingerprints of documents.
 
 A text is a tree: sections (groups of paragraphs; one ends at a blank line or after a
 paragraph whose hash is divisible by 8, so that an insertion moves no later bound),
-paragraphs (lines), and pieces of a paragraph, cut after . ! or ? and white space and
-after ``PIECE`` characters without one. A node's hash covers its children's hashes;
-a piece's covers its bytes. Equal texts, and only those up to hash collisions, have
+paragraphs (lines), and pieces of a paragraph: sentences, cut after . ! or ? and white
+space and after ``PIECE`` characters without one, taken together up to one whose checksum
+is even, or to ``PIECE`` characters. Nodes have 128-bit hashes; a node's covers its
+children's, a piece's its bytes. Equal texts, and only those up to hash collisions, have
 equal roots; ``differing`` walks down unequal branches to the pieces that changed.
 
-As a string a fingerprint is the root's hash, then the sections, each with its
-paragraphs, each with its pieces' hashes and lengths: what likeness needs without the
-texts. Likeness is the share of text below branches that both trees have:
+A fingerprint is base64 of bytes: the root's hash, then the sections, each with its
+paragraphs, each with its pieces and their lengths: what likeness needs without the
+texts. Sections keep 128 bits of their hashes, paragraphs and pieces 64, and a node with
+one child keeps none, its child's being its own. On the given documents fingerprints have
+a fifth to a quarter of the texts' bytes.
+Likeness is the share of text below branches that both trees have:
 2 * common / (length + length), 1 for equal roots, from 0 to 1; two empty texts are
 alike.
 
@@ -25,8 +29,10 @@ next one. Extra columns are ignored; an empty table gives no rows.
 
 from __future__ import annotations
 
+import base64
 import hashlib
 import re
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 
@@ -38,53 +44,123 @@ from .common import RangeBuckets, partitions
 
 PIECE = 256
 CUT = re.compile(r"(?:[^.!?]{1,%d}?(?:[.!?]+(?:\s+|$))|.{1,%d})" % (PIECE, PIECE), re.S)
+#: Bytes of a whole hash, and of what is kept of a paragraph's or piece's.
+WHOLE, SHORT = 16, 8
 
 
-#: Hexadecimal digits of a hash: 128 bits, so that unequal texts have unequal roots at any size.
-DIGITS = 32
+def _hash(data: bytes) -> bytes:
+    return hashlib.blake2b(data, digest_size=WHOLE).digest()
 
 
-def _hash(data: bytes) -> str:
-    return hashlib.blake2b(data, digest_size=DIGITS // 2).hexdigest()
+def _pieces(line: str) -> Iterator[bytes]:
+    held, size = [], 0
+    for sentence in CUT.findall(line):
+        data = sentence.encode("utf-8", "surrogatepass")
+        held.append(data)
+        size += len(sentence)
+        if size >= PIECE or zlib.crc32(data) % 2 == 0:
+            yield b"".join(held)
+            held, size = [], 0
+    if held:
+        yield b"".join(held)
 
 
-def tree(text: str | None) -> list:
-    """[(hash, length, [(hash, length, [(hash, length), ...]), ...]), ...]: sections,
-    paragraphs, pieces."""
-    sections, held = [], []
+def _parent(whole: list[bytes], keys: list[bytes], kept: int) -> tuple[bytes, bytes]:
+    """A node's hash and what is kept of it."""
+    if len(whole) == 1:
+        return whole[0], keys[0]
+    h = _hash(b"".join(whole))
+    return h, h[:kept]
+
+
+def rooted(text: str | None) -> tuple[bytes, list]:
+    """(root, [(kept hash, length, [(kept hash, length, [(kept hash, length), ...]), ...]), ...]):
+    sections, paragraphs, pieces."""
+    sections, wholes, held = [], [], []
 
     def close() -> None:
         if held:
-            sections.append((_hash("".join(p[0] for p in held).encode()), sum(p[1] for p in held), list(held)))
+            whole, key = _parent([h for h, _ in held], [p[0] for _, p in held], WHOLE)
+            wholes.append(whole)
+            sections.append((key, sum(p[1] for _, p in held), [p for _, p in held]))
             held.clear()
 
     for line in (text or "").splitlines(keepends=True):
-        pieces = [(_hash(p.encode("utf-8", "surrogatepass")), len(p)) for p in CUT.findall(line)]
-        paragraph = (_hash("".join(p[0] for p in pieces).encode()), len(line), pieces)
-        held.append(paragraph)
-        if not line.strip() or int(paragraph[0], 16) % 8 == 0:
+        data = list(_pieces(line))
+        hashes = [_hash(d) for d in data]
+        pieces = [(h[:SHORT], _length(d)) for h, d in zip(hashes, data)]
+        whole, key = _parent(hashes, [p[0] for p in pieces], SHORT)
+        held.append((whole, (key, len(line), pieces)))
+        if not line.strip() or whole[0] % 8 == 0:
             close()
     close()
-    return sections
+    return _hash(b"".join(wholes)), sections
 
 
-def to_string(sections: list) -> str:
-    root = _hash("".join(s[0] for s in sections).encode())
-    return root + "|" + ";".join(s[0] + ">" + "/".join(p[0] + ":" + ",".join(f"{h}.{n}" for h, n in p[2]) for p in s[2]) for s in sections)
+def _length(data: bytes) -> int:
+    return len(data) if data.isascii() else len(data.decode("utf-8", "surrogatepass"))
 
 
-def from_string(fingerprint: str) -> tuple[str, list]:
-    root, _, rest = fingerprint.partition("|")
+def tree(text: str | None) -> list:
+    return rooted(text)[1]
+
+
+def _number(n: int) -> bytes:
+    out = bytearray()
+    while n > 127:
+        out.append(n & 127 | 128)
+        n >>= 7
+    out.append(n)
+    return bytes(out)
+
+
+def encoded(root: bytes, sections: list) -> str:
+    out = [root]
+    for key, _, paragraphs in sections:
+        out.append(_number(len(paragraphs)))
+        if len(paragraphs) > 1:
+            out.append(key)
+        for own, _, pieces in paragraphs:
+            out.append(_number(len(pieces)))
+            if len(pieces) > 1:
+                out.append(own)
+            out += [x for h, n in pieces for x in (h, _number(n))]
+    return base64.b64encode(b"".join(out)).decode()
+
+
+def fingerprint(text: str | None) -> str:
+    return encoded(*rooted(text))
+
+
+def from_string(fingerprint: str) -> tuple[bytes, list]:
+    data = base64.b64decode(fingerprint)
+    at = WHOLE
+
+    def taken(n: int) -> bytes:
+        nonlocal at
+        at += n
+        return data[at - n : at]
+
+    def number() -> int:
+        n = shift = 0
+        while True:
+            (x,) = taken(1)
+            n |= (x & 127) << shift
+            shift += 7
+            if x < 128:
+                return n
+
     sections = []
-    for s in rest.split(";") if rest else []:
-        h, _, body = s.partition(">")
-        paragraphs = []
-        for p in body.split("/"):
-            k, _, pieces = p.partition(":")
-            leaves = [(a, int(n)) for a, _, n in (x.partition(".") for x in pieces.split(","))]
-            paragraphs.append((k, sum(n for _, n in leaves), leaves))
-        sections.append((h, sum(p[1] for p in paragraphs), paragraphs))
-    return root, sections
+    while at < len(data):
+        n = number()
+        key, paragraphs = taken(WHOLE) if n > 1 else b"", []
+        for _ in range(n):
+            m = number()
+            own = taken(SHORT) if m > 1 else b""
+            pieces = [(taken(SHORT), number()) for _ in range(m)]
+            paragraphs.append((own or pieces[0][0], sum(x for _, x in pieces), pieces))
+        sections.append((key or paragraphs[0][0], sum(p[1] for p in paragraphs), paragraphs))
+    return data[:WHOLE], sections
 
 
 def _unmatched(a: list, b: list) -> tuple[int, list, list]:
@@ -118,7 +194,7 @@ def likeness(a: str, b: str) -> float:
     return tree_likeness(ra, sa, rb, sb)
 
 
-def tree_likeness(ra: str, sa: list, rb: str, sb: list) -> float:
+def tree_likeness(ra: bytes, sa: list, rb: bytes, sb: list) -> float:
     if ra == rb:
         return 1.0
     total = sum(s[1] for s in sa) + sum(s[1] for s in sb)
@@ -128,7 +204,7 @@ def tree_likeness(ra: str, sa: list, rb: str, sb: list) -> float:
 def differing(a: str, b: str) -> tuple[list[str], list[str]]:
     """Hashes of the pieces that only one of two texts has: where edits lie."""
     _, x, y = _descend(from_string(a)[1], from_string(b)[1])
-    return [p[0] for p in x], [p[0] for p in y]
+    return [p[0].hex() for p in x], [p[0].hex() for p in y]
 
 
 def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -136,32 +212,27 @@ def fingerprints(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     @F.pandas_udf("string")
     def of(texts: pd.Series) -> pd.Series:
-        return pd.Series([to_string(tree(t)) for t in texts], dtype=object)
+        return pd.Series([fingerprint(t) for t in texts], dtype=object)
 
     return docs.withColumn("fingerprint", of(F.col(text_col)))
 
 
 def _compare(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     names = ["doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"]
-    held = None  # the row before: its bucket, doc_id, text, tree, root
-
-    def made(text: str) -> tuple:
-        t = tree(text)
-        return t, to_string(t)
+    held = None  # the row before: its bucket, doc_id, text, root and tree
 
     for frame in batches:
         rows = []
         for bucket, ahead, doc_id, text in zip(frame["bucket"], frame["ahead"], frame["doc_id"], frame["text"]):
             text = text or ""
-            t, s = made(text)
+            own = rooted(text)
             if held and held[0] == bucket:
-                _, last, old, ot, os = held
+                _, last, old, before = held
                 half = len(old) // 2
                 edited = old[: len(old) - half] + text[:half]
-                et, es = made(edited)
-                root = lambda x: x[:DIGITS]
-                rows.append((last, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), os, es, tree_likeness(root(os), ot, root(es), et), tree_likeness(root(os), ot, root(s), t)))
-            held = None if ahead else (bucket, doc_id, text, t, s)
+                changed = rooted(edited)
+                rows.append((last, len(old), hashlib.sha256(edited.encode("utf-8", "surrogatepass")).hexdigest(), encoded(*before), encoded(*changed), tree_likeness(*before, *changed), tree_likeness(*before, *own)))
+            held = None if ahead else (bucket, doc_id, text, own)
         yield pd.DataFrame(rows, columns=names).astype({"doc_id": "Int64"})
 
 

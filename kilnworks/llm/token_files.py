@@ -45,7 +45,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import RangeBuckets, partitions, shared_folder, store, written
+from .common import RangeBuckets, partitions, shared_folder, store, written, written_stage
 
 MAGIC, VERSION = b"KWRP", 2
 #: Odd, so that products are different modulo 2 ** 32.
@@ -337,7 +337,11 @@ def read(shards: DataFrame) -> DataFrame:
 
 
 def digest_query(docs: DataFrame, path: str, pattern: str) -> DataFrame:
-    """What is asked of op2, from the files."""
+    """What is asked of op2, from the files, which go then."""
+    return written_stage(lambda: _digests(docs, path, pattern), "token-digests")
+
+
+def _digests(docs: DataFrame, path: str, pattern: str) -> DataFrame:
     shards = write(docs, path, pattern)
 
     def crcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

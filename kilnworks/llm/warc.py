@@ -31,7 +31,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import partitions, shared_folder, store, written
+from .common import partitions, shared_folder, store, written, written_stage
 
 INDEX = "file string, offset long, length long, url string, digest string, page_id long"
 RECORD = "page_id long, url string, payload binary, payload_bytes long, payload_digest string, record_type string, refers_to long"
@@ -164,7 +164,8 @@ def read(index: DataFrame, payload: bool = True, gap: int = 1 << 16, most: int =
 
 def digest_query(pages: DataFrame) -> DataFrame:
     """What is asked of op1."""
-    return read(write(pages, revisit_bytes=0)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    rows = lambda: read(write(pages, revisit_bytes=0)).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    return written_stage(rows, "warc-digests")  # the archives go
 
 
 SQL = """

@@ -231,10 +231,10 @@ def test_line_dedup_passages_mid_sentence(spark):
 def test_merkle(spark, odd):
     text = "\n".join(f"Paragraph {i} says something. And more of it." for i in range(40))
     edited = text.replace("Paragraph 20 says", "Paragraph 20 denies")
-    a, b = merkle.to_string(merkle.tree(text)), merkle.to_string(merkle.tree(edited))
-    assert merkle.likeness(a, a) == 1 and 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.to_string(merkle.tree("zz"))) == 0
+    a, b = merkle.fingerprint(text), merkle.fingerprint(edited)
+    assert merkle.likeness(a, a) == 1 and 0.9 < merkle.likeness(a, b) < 1 and merkle.likeness(a, merkle.fingerprint("zz")) == 0
     one, other = merkle.differing(a, b)
-    assert len(one) == len(other) == 1 and a[: merkle.DIGITS] != b[: merkle.DIGITS]
+    assert 1 <= len(one) <= 2 and 1 <= len(other) <= 2 and a[:20] != b[:20]  # the edited sentence, alone or with its neighbour
     assert "".join(merkle.CUT.findall("x" * 999 + ". no end\n")) == "x" * 999 + ". no end\n"
     check_neighbours(spark, odd)
     assert merkle.neighbours(odd.limit(0)).count() == 0
@@ -248,7 +248,7 @@ def check_neighbours(spark, docs):
     for k, (i, t, _) in enumerate(rows):
         n = rows[(k + 1) % len(rows)][1]
         e = t[: len(t) - len(t) // 2] + n[: len(t) // 2]
-        prints = [merkle.to_string(merkle.tree(x)) for x in (t, e, n)]
+        prints = [merkle.fingerprint(x) for x in (t, e, n)]
         want.append((i, len(t), hashlib.sha256(e.encode()).hexdigest(), *prints[:2], merkle.likeness(prints[0], prints[1]), merkle.likeness(prints[0], prints[2])))
     assert sorted(map(str, (tuple(r) for r in merkle.neighbours(docs).collect()))) == sorted(map(str, want))
 
@@ -264,17 +264,63 @@ def test_merkle_partitions(spark, odd, n):
         spark.conf.set("spark.sql.shuffle.partitions", 4)
 
 
+def plain_pieces(text):
+    """Sections of paragraphs of pieces, as the docstring says, as texts."""
+    sections, held = [], []
+    for line in text.splitlines(keepends=True):
+        pieces, open_ = [], ""
+        for sentence in merkle.CUT.findall(line):
+            open_ += sentence
+            if len(open_) >= merkle.PIECE or zlib.crc32(sentence.encode()) % 2 == 0:
+                pieces, open_ = [*pieces, open_], ""
+        held.append([*pieces, open_] if open_ else pieces)
+        whole = [hashlib.blake2b(p.encode(), digest_size=16).digest() for p in held[-1]]
+        h = whole[0] if len(whole) == 1 else hashlib.blake2b(b"".join(whole), digest_size=16).digest()
+        if not line.strip() or h[0] % 8 == 0:
+            sections.append(held)
+            held = []
+    return [*sections, held] if held else sections
+
+
+def plain_likeness(a, b):
+    """Share of text under equal sections, then equal paragraphs, then equal pieces."""
+    if a == b:
+        return 1.0
+    common, x, y = 0, plain_pieces(a), plain_pieces(b)
+    size = lambda node: len(node) if isinstance(node, str) else sum(map(size, node))
+    for _ in range(3):
+        left = []
+        for node in x:
+            if node in y:
+                y.remove(node)
+                common += size(node)
+            else:
+                left.append(node)
+        x, y = ([child for node in side for child in node] for side in (left, y))
+    return 2.0 * common / (len(a) + len(b))
+
+
 def test_merkle_query_brute_force(spark):
     docs = [(r.doc_id, r.text) for r in table(spark, SMALL, "documents").orderBy("doc_id", ascending=False).collect()]
     got = {r.doc_id: r for r in queries.op4_merkle(spark, SMALL).collect()}
+    roots = {}
     for k, (i, t) in enumerate(docs):
         n = docs[(k + 1) % len(docs)][1]
         half = len(t) // 2
         e = t[: len(t) - half] + n[:half]
         x = got[i]
         assert (x.n_chars, x.edited_sha256) == (len(t), hashlib.sha256(e.encode()).hexdigest())
-        assert x.fingerprint == merkle.to_string(merkle.tree(t)) and x.edited_fingerprint == merkle.to_string(merkle.tree(e))
-        assert x.near_next == merkle.likeness(x.fingerprint, merkle.to_string(merkle.tree(n)))
+        assert x.near_edited == plain_likeness(t, e) and x.near_next == plain_likeness(t, n)
+        for text, print_ in ((t, x.fingerprint), (e, x.edited_fingerprint)):
+            assert roots.setdefault(print_, text) == text  # equal fingerprints: equal texts
+            assert merkle.encoded(*merkle.from_string(print_)) == print_
+    assert {t for _, t in docs} <= set(roots.values()) and len(set(roots.values())) == len(roots)
+
+
+def test_merkle_is_small(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").limit(1000)
+    size = merkle.fingerprints(docs).agg(F.sum(F.length("fingerprint")).alias("f"), F.sum(F.octet_length("text")).alias("t")).first()
+    assert size.f <= 0.25 * size.t
 
 
 def test_ordinal_grades():
