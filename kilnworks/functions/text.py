@@ -5,7 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: What stands between tokens.
+SPLIT = r"[^\p{L}\p{N}]+"
+
 
 def tokens(text: Column) -> Column:
     """Lower-case runs of letters and digits of any script; null gives none."""
-    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}\p{N}]+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(F.coalesce(text, F.lit(""))), SPLIT), lambda t: t != "")

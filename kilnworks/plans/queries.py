@@ -9,8 +9,11 @@ from pyspark.sql import functions as F
 from kilnworks.operators import asof
 from kilnworks.operators import index as I
 from kilnworks.operators import search as S
+from kilnworks.operators import table_function, usage, vectors
 from kilnworks.sources import kb_store
+from kilnworks.sources.shared import written
 from kilnworks.sources.tables import table
+from kilnworks.streaming import windows
 
 TERMS = ["the", "and", "on"]
 MIXED = ["the", "mit", "license"]
@@ -82,7 +85,36 @@ def _grants_interval(spark, d):
     return asof.interval_join(uses, paid, "user_id", "ts", "opens", "closes").select("event_id", "user_id", F.col("match.grant_id").alias("grant_id"))
 
 
+def _search_sql(spark, d):
+    """P5 through the table function of SQL, a call for each principal."""
+    table_function.register(_files(spark, d), _acl(spark))
+    terms = ", ".join(f"'{t}'" for t in TERMS)
+    return spark.sql(" UNION ALL ".join(f"SELECT '{p}' AS principal, * FROM kb_search(array({terms}), '{p}', 5)" for p in dict(GRANTS)))
+
+
+def _cube(spark, d):
+    docs = S.kb_assign(table(spark, d, "documents"), F.when(F.substring("source", 4, 9).try_cast("int") % 2 == 0, "archive").otherwise("plant"))
+    return usage.usage_cube(docs)
+
+
+def _sketches(spark, d):
+    events = table(spark, d, "events")
+    days = written(usage.daily_sketches(events, "event_type", "user_id", "value", "ts"), "sketches")
+    return usage.within(usage.merged(days, "event_type"), events, "event_type", "user_id", "value")
+
+
+def _utc(found):
+    return found.withColumns({c: F.unix_micros(c) for c in ("opens", "closes")})
+
+
 QUERIES = {
+    "kb_search_sql": _search_sql,
+    "usage_cube": _cube,
+    "usage_sketches": _sketches,
+    "event_sessions": lambda s, d: _utc(windows.sessions(table(s, d, "events"), "user_id", "ts")),
+    "event_sliding": lambda s, d: _utc(windows.sliding(table(s, d, "events"), "event_type", "ts")),
+    "vec_exact_top": lambda s, d: vectors.exact_top(table(s, d, "embeddings")),
+    "vec_listed_top": lambda s, d: vectors.listed_top(table(s, d, "embeddings")),
     "kb_store_visible": _store_visible,
     "grants_asof": _grants_asof,
     "grants_interval": _grants_interval,
@@ -122,6 +154,12 @@ _WORDS = _F + r", w AS (SELECT doc_id, kb, list_filter(regexp_split_to_array(low
 _PHRASE = " AND ".join(f"w[p + {i}] = '{t}'" for i, t in enumerate(PHRASE))
 _USES = "u AS (SELECT event_id, user_id, CASE WHEN user_id % 2 = 0 THEN 'archive' ELSE 'plant' END AS kb, ts FROM events WHERE event_type IN ('view', 'click'))"
 SQL = {
+    "kb_search_sql": f"WITH {_TF}, {_ACL} {_TOP}",
+    "usage_cube": f"SELECT kb, lang, source, GROUPING(kb, lang, source) AS level, count(*) AS n_files, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM (SELECT {_KB} AS kb, lang, source, text FROM documents) GROUP BY CUBE (kb, lang, source)",
+    "usage_sketches": "SELECT event_type, count(DISTINCT user_id) AS exact_users, true AS users_ok, true AS middle_ok FROM events GROUP BY event_type",
+    "event_sessions": "SELECT user_id, min(epoch_us(ts)) AS opens, max(epoch_us(ts)) + 21600000000 AS closes, count(*) AS n FROM (SELECT user_id, ts, sum(CASE WHEN before IS NULL OR ts - before > INTERVAL 6 HOUR THEN 1 ELSE 0 END) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS g FROM (SELECT user_id, ts, event_id, lag(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS before FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL)) GROUP BY user_id, g",
+    "event_sliding": "SELECT event_type, opens, opens + 86400000000 AS closes, count(*) AS n FROM (SELECT event_type, epoch_us(ts) // 43200000000 * 43200000000 - unnest([0, 43200000000]) AS opens FROM events WHERE ts IS NOT NULL) GROUP BY ALL",
+    "vec_exact_top": "WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings WHERE len(embedding) = 64), s AS (SELECT q.vec_id AS query_id, v.vec_id, CAST(round(list_inner_product(q.e, v.e) * 1000000) AS BIGINT) AS score FROM v q, v WHERE q.vec_id % 100 = 0) SELECT query_id, vec_id, score, rnk FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INT) AS rnk FROM s) WHERE rnk <= 10",
     "kb_store_visible": f"WITH {_F}, {_ACL} SELECT doc_id, kb, CAST(length(text) AS BIGINT) AS n_chars FROM f WHERE kb IN (SELECT kb FROM acl WHERE principal = 'ana')",
     "grants_asof": f"WITH {_USES}, g AS (SELECT user_id, ts, event_id, event_type = 'purchase' AS granted FROM events WHERE event_type IN ('purchase', 'error')) SELECT u.event_id, u.user_id, u.kb, CAST(coalesce(g.event_id, -1) AS BIGINT) AS grant_id, coalesce(g.granted, false) AS allowed FROM u ASOF LEFT JOIN g ON u.user_id = g.user_id AND u.ts >= g.ts",
     "grants_interval": f"WITH {_USES}, p AS (SELECT event_id, user_id, ts AS opens, ts + to_microseconds(CAST(round(value * 100) AS BIGINT) * 36000000) AS closes FROM events WHERE event_type = 'purchase') SELECT u.event_id, u.user_id, p.event_id AS grant_id FROM u JOIN p ON u.user_id = p.user_id AND u.ts >= p.opens AND u.ts < p.closes",
