@@ -336,14 +336,18 @@ def test_ordinal_grades():
     assert toxicity.Ordinal().expected(None) == 0
 
 
-def test_toxicity_held_out(spark):
-    sf = "/root/testdata/sf0.1"
-    docs, labels = table(spark, sf, "documents"), table(spark, sf, "labels").selectExpr("doc_id", "toxic AS grade")
-    model = toxicity.fit(docs, labels.where("doc_id % 4 <> 1"))
-    rows = toxicity.score(docs, model).join(labels.where("doc_id % 4 = 1"), "doc_id").selectExpr("grade", "severity >= 0.5 AS p").collect()
-    caught = [r.p for r in rows if r.grade]
-    assert sum(caught) / len(caught) > 0.7
-    assert sum(r.p for r in rows if not r.grade) / len(rows) < 0.01
+def test_toxicity_query(spark):
+    """The registered query scores every document by the formula and cuts where the fit says."""
+    docs, labels = table(spark, SMALL, "documents"), table(spark, SMALL, "labels").selectExpr("doc_id", "toxic AS grade")
+    model = toxicity.fit(docs, labels)
+    got = {r.doc_id: (r.severity, r.toxic) for r in queries.op5_toxicity(spark, SMALL).collect()}
+    rows = docs.collect()
+    assert len(got) == len(rows)
+    for r in rows:
+        words = toxicity.WORDS.findall(r.text.lower())
+        z = sum(w * math.log(1 + 200 * words.count(x) / len(words)) for x, w in model.weights.items() if x in words)
+        severity = sum(1 / (1 + math.exp(t - z)) for t in model.thresholds)
+        assert abs(got[r.doc_id][0] - severity) < 1e-9 and got[r.doc_id][1] == (got[r.doc_id][0] >= model.cut)
 
 
 def test_toxicity_cut_held_out(spark):
