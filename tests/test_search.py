@@ -7,7 +7,7 @@ from kilnworks.plans.queries import QUERIES, SQL, TERMS
 from kilnworks.streaming.search import term_freq_stream
 
 
-@pytest.mark.parametrize("name", sorted(QUERIES))
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_oracle(spark, name):
     assert_same(QUERIES[name](spark, SMALL), SQL[name])
 
