@@ -375,8 +375,13 @@ def keep_one(docs: DataFrame, n: int = 3, similarity: tuple[int, int] = (90, 100
     gone = labels.where("n > 0").where(own != F.struct("least.doc_id", "least.t1", "least.t2")).select(own.alias("key")).distinct()
     rows = _keyed(docs, whole).drop("text")
     gone = written(gone, "near-duplicates")
+    # Only rows that come again are dealt by their keys; the others stay where they are.
+    again = rows.groupBy("doc_id", "t1", "t2").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select(own.alias("key"))
+    again = written(again, "repeated-rows")
     kept = rows.join(gone, _same(rows, gone, "key"), "left_anti")
-    return kept.dropDuplicates(["doc_id", "t1", "t2"]).select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
+    once = kept.join(again, _same(kept, again, "key"), "left_anti")
+    more = kept.join(again, _same(kept, again, "key"), "left_semi").dropDuplicates(["doc_id", "t1", "t2"])
+    return once.union(more).select(*[F.col(f"whole.`{c}`").alias(c) for c in docs.columns])
 
 
 def digest_query(docs: DataFrame) -> DataFrame:
