@@ -19,7 +19,8 @@ a shingle that the template has counts for the starts from which it is the first
 kind within reach, an interval; the highest sum of intervals is the result, so the cost is
 that of sorting a text's places, whatever the template's size.
 
-Templates are a parameter. Their shingles and bands are broadcast in blocks of
+Texts without any of a block's shingles can't match: most are told by a table of bits, and
+no windows of theirs are hashed. Templates are a parameter. Their shingles and bands are broadcast in blocks of
 ``block_chars`` characters of templates (at most about eight rows a word), one pass over the
 texts each; a longer template is a block of its own. Texts aren't shuffled, only places of
 template shingles are, by text and template.
@@ -36,7 +37,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import let, written
+from .common import let, literal_longs, written
 from .decontaminate import words
 
 #: License notices and texts. Fixed values.
@@ -75,6 +76,7 @@ def shingles(text: Column) -> Column:
 
 
 BANDS = len(SEEDS)
+BITS = 1 << 22
 #: Shingles of a window, and of the smallest templates that have such windows.
 SIZES = [(8, 16), (32, 64)]
 
@@ -143,11 +145,24 @@ def _wanted(known: DataFrame, bands: int) -> DataFrame:
     return own
 
 
+def _may_hold(known: DataFrame) -> Column:
+    """Whether a text (s) may have a shingle of any template, without which it can't match:
+    by a bit for each shingle, of ``BITS`` in all."""
+    bits: dict[int, int] = {}
+    for (x,) in known.select(F.explode("ts")).collect():  # a block's
+        word, bit = (x >> 6) % (BITS // 64), x & 63
+        bits[word] = bits.get(word, 0) | 1 << bit
+    signed = [v - (1 << 64) if v >> 63 else v for v in (bits.get(i, 0) for i in range(BITS // 64))]
+    table = literal_longs(signed)
+    word = lambda x: F.get(table, F.shiftright(x, 6).bitwiseAND(BITS // 64 - 1).cast("int"))
+    return F.exists("s", lambda x: F.getbit(word(x), x.bitwiseAND(63).cast("int")) == 1)
+
+
 def _matches(docs: DataFrame, templates: list[tuple[str, str]], bands: int) -> DataFrame:
     """Matches of one block of templates, repeated ones too."""
     known = _known(docs, templates)
     # The generators keep Catalyst from computing the shingles once for each use.
-    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(shingles(F.col("text")))).alias("s")).where(F.size("s") > 0)
+    d = docs.select(F.monotonically_increasing_id().alias("row"), "doc_id", F.explode(F.array(shingles(F.col("text")))).alias("s")).where(_may_hold(known))
     places = [F.transform("s", lambda x, i: F.struct(x.alias("key"), i.alias("p")))]
     largest = known.agg(F.max(F.size("ts"))).first()[0] or 0
     for c, n in SIZES:
