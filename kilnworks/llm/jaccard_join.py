@@ -20,10 +20,15 @@ same holds, and after ``LEVELS`` of them by all subsets, empty ones too: no link
 
 Equal sets are one class from the start. A class signs once for so many different sets
 as a task remembers (a bounded number), and of the sets of a batch that share a signature
-only the first one takes it along, the others are chained to that one where they are. So a
-signature that a third of all sets have, near copies of a form letter say, is one row per
-batch in the shuffle. There rows with one signature are chained (each with the one before
-it, by a window that keeps no group), chains give candidate components, and each component's
+those that link to the first one leave it to that one. So a signature that a third of all
+sets have, near copies of a form letter say, is one row per batch in the shuffle. Sets with
+one signature mostly share a stock phrase and no more, so they are sieved before any text
+moves: each set has an odd sketch (Mitzenmacher et al., 2014), at least twice as many bits
+as items, of which each item flips one. Sketches differ in no more bits than sets in items,
+so two sets that link are never sieved out; a set's ``reach`` adds what it lies from those
+that left their signatures to it. A signature's rows are dealt into blocks of bounded size,
+each pair of blocks a unit of work that writes a forest of the pairs that pass. These forests
+and the links found within batches give candidate components, and each component's
 classes are compared exactly, by postings of their items, in blocks of bounded size. At
 first all blocks meet the component's leading one only. What that links needs no further
 comparison within itself: of the groups known by then the largest one's blocks meet
@@ -186,15 +191,15 @@ REMEMBERED = 1 << 20
 
 
 def _features(n: int, similarity: tuple[int, int]):
-    """Each row's number i, set size, set hash, the signatures that it takes along, and the
-    rows of its batch that took others of its signatures along."""
+    """Each row's number i, set size, set hash, odd sketch, reach, the signatures that it
+    takes along, and the rows of its batch that took others of its signatures along."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, band, seen = Shingler(n), Bands(similarity), set()
         none = np.zeros(0, np.int64)
         i = TaskContext.get().partitionId() << 33
         for frame in batches:
-            rows, signed = [], []
+            rows, signed, sets = [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
             for doc_id, text, t1, t2 in zip(*(frame[c].tolist() for c in ("doc_id", "text", "t1", "t2"))):
@@ -202,18 +207,53 @@ def _features(n: int, similarity: tuple[int, int]):
                 h1, h2 = (int((_mix(s * a)).sum(dtype=U).astype(np.int64)) for a in (A1, A2))
                 new = len(s) and (h1, h2) not in seen
                 seen.add((h1, h2))
-                rows.append((i, doc_id, t1, t2, len(s), h1, h2))
+                rows.append((i, doc_id, t1, t2, len(s), h1, h2, odd_sketch(s) if new else b""))
+                sets.append(s)
                 signed.append(signatures(s, band).astype(np.int64) if new else none)
                 i += 1
-            out = pd.DataFrame(rows, columns=["i", "doc_id", "t1", "t2", "n", "h1", "h2"]).astype({"doc_id": "Int64"})
-            out["sig"], out["near"] = _taken(signed, out["i"].to_numpy())
+            out = pd.DataFrame(rows, columns=["i", "doc_id", "t1", "t2", "n", "h1", "h2", "odd"]).astype({"doc_id": "Int64"})
+            leaders = Leaders(sets, *similarity)
+            out["sig"], out["near"] = _taken(signed, out["i"].to_numpy(), leaders)
+            out["reach"] = leaders.reach()
             yield out
 
     return f
 
 
-def _taken(signed: list[np.ndarray], i: np.ndarray) -> tuple[list[np.ndarray], list[np.ndarray]]:
-    """By row, the signatures that no row before has, and the first rows that have the others."""
+def odd_sketch(items: np.ndarray) -> bytes:
+    """Bits that the items flip, at least twice as many as items: a power of two, and 64 at
+    least. The halves' exclusive or is the sketch of half the size."""
+    size = max(64, 1 << int(2 * len(items) - 1).bit_length())
+    return np.packbits((np.bincount((items & U(size - 1)).astype(np.int64), minlength=size) & 1).astype(np.uint8)).tobytes()
+
+
+class Leaders:
+    """Whether sets link to others of their batch that have a signature of theirs already."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.sets, self.num, self.den = sets, num, den
+        self.n = np.array([len(s) for s in sets], np.int64)
+        self.largest, self.away = self.n.copy(), np.zeros(len(sets), np.int64)
+
+    def __call__(self, a: int, b: int) -> bool:
+        n, num, den = self.n, self.num, self.den
+        if den * min(n[a], n[b]) < num * max(n[a], n[b]):
+            return False
+        both = len(np.intersect1d(self.sets[a], self.sets[b], assume_unique=True))
+        if den * both < num * (n[a] + n[b] - both):
+            return False
+        self.largest[a], self.away[a] = max(self.largest[a], n[b]), max(self.away[a], n[a] + n[b] - 2 * both)
+        return True
+
+    def reach(self) -> np.ndarray:
+        """If x or a set that it leads links to y or one that y leads, then (den + num) times
+        the items in which x and y differ is at most the sum of their reaches."""
+        return (self.den - self.num) * self.largest + (self.den + self.num) * self.away
+
+
+def _taken(signed: list[np.ndarray], i: np.ndarray, follows=None) -> tuple[list[np.ndarray], list[np.ndarray]]:
+    """By row, the signatures that no row before has, and the first rows that have the others;
+    those that a row has of a first row that it doesn't follow it takes along as well."""
     sizes = np.array([len(s) for s in signed])
     flat, owner = np.concatenate(signed), np.repeat(np.arange(len(signed)), sizes)
     order = np.argsort(flat, kind="stable")
@@ -222,10 +262,63 @@ def _taken(signed: list[np.ndarray], i: np.ndarray) -> tuple[list[np.ndarray], l
     first = np.empty(len(flat), np.int64)
     first[order] = owner[order[np.maximum.accumulate(np.where(new, np.arange(len(flat)), 0))]]
     own, at = first == owner, np.r_[0, np.cumsum(sizes)]
+    if follows is not None and not own.all():
+        pairs, which = np.unique(first[~own] * len(signed) + owner[~own], return_inverse=True)
+        own[~own] = ~np.array([follows(p // len(signed), p % len(signed)) for p in pairs.tolist()])[which]
     parts = [slice(a, b) for a, b in zip(at, at[1:])]
     return [flat[p][own[p]] for p in parts], [i[np.unique(first[p][~own[p]])] for p in parts]
 
 
+#: Rows of a block of one signature.
+ROWS = 2048
+
+
+def _plausible(num: int, den: int):
+    """Of a unit of work's rows, one or two blocks of a signature, a forest (a, b) of the
+    pairs that their sketches allow to link."""
+
+    def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out = []
+        for parts in runs(batches, ["s", "x", "y"]):
+            g = pd.concat(parts) if len(parts) > 1 else parts[0]
+            i, reach, block, odd = g["i"].to_numpy(), g["reach"].to_numpy(), g["b"].to_numpy(), g["odd"].tolist()
+            bits, root = _folded(odd), list(range(len(odd)))
+
+            def find(k: int) -> int:
+                while root[k] != k:
+                    root[k] = root[root[k]]
+                    k = root[k]
+                return k
+
+            # Of two blocks, which come sorted, only the pairs across are new.
+            start = int(np.searchsorted(block, block[0], "right"))
+            for a in range(start if start < len(odd) else len(odd) - 1):
+                others = slice(start if start < len(odd) else a + 1, None)
+                d = np.bitwise_count(bits[others] ^ bits[a]).sum(axis=1, dtype=np.int64)
+                for b in (np.flatnonzero((den + num) * d <= reach[others] + reach[a]) + others.start).tolist():
+                    p, q = find(a), find(b)
+                    if p != q:
+                        root[p] = q
+                        out.append((i[a], i[b]))
+            if len(out) > 4096:
+                yield pd.DataFrame(out, columns=["a", "b"])
+                out = []
+        yield pd.DataFrame(out, columns=["a", "b"], dtype=np.int64)
+
+    return f
+
+
+def _folded(odd: list[bytes]) -> np.ndarray:
+    """Sketches as rows of words, folded to the smallest one's size."""
+    least, rows = min(map(len, odd)), []
+    for x in odd:
+        a = np.frombuffer(x, np.uint8)
+        while len(a) > least:
+            a = a[: len(a) // 2] ^ a[len(a) // 2 :]
+        rows.append(a)
+    return np.stack(rows).view(np.uint64)
+
+
 def _compare(n: int, similarity: tuple[int, int]):
     """Links that connect what is linked in a unit of work: one block or two."""
     num, den = similarity
@@ -325,17 +418,25 @@ def _rest(texts: DataFrame, links: DataFrame, block_chars: int) -> tuple[DataFra
 def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], block_chars: int) -> DataFrame:
     """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
     first document with that set and the first one of its component."""
-    found = docs.mapInPandas(_features(n, similarity), "i long, doc_id long, t1 long, t2 long, n long, h1 long, h2 long, sig array<long>, near array<long>")
+    found = docs.mapInPandas(_features(n, similarity), "i long, doc_id long, t1 long, t2 long, n long, h1 long, h2 long, odd binary, sig array<long>, near array<long>, reach long")
     found = written(found, "features")
     signed = found.select("i", F.explode("sig").alias("s"))
-    before = signed.withColumn("o", F.lag("i").over(Window.partitionBy("s").orderBy("i")))  # a row for each batch at most
-    edges = before.where("o is not null").select(F.col("o").alias("a"), F.col("i").alias("b")).distinct()
-    edges = written(edges.union(found.select(F.explode("near").alias("a"), F.col("i").alias("b"))), "shared-signatures")
+    w = Window.partitionBy("s").orderBy("i")
+    again = signed.withColumns({"o": F.lag("i").over(w), "p": F.lead("i").over(w)}).where("o is not null or p is not null").select("s", "i")
+    again = written(again, "shared-signatures")
+    near = written(found.select(F.explode("near").alias("a"), F.col("i").alias("b")), "near")
     first = F.struct(F.col("doc_id").isNull().alias("z"), "doc_id", "t1", "t2")
     classes = written(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first")), "classes")
     named = written(found.drop("sig", "near"), "sets")
     discard(found)
-    candidates = components(edges)
+    rows = again.join(again.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("nb")), "s")
+    rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int")).join(named.select("i", "reach", "odd"), "i")
+    rows = rows.select("s", "i", "b", "reach", "odd", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
+    rows = rows.select("s", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "i", "reach", "odd")
+    rows = rows.repartition(partitions(docs.sparkSession), "s", "x", "y").sortWithinPartitions("s", "x", "y", "b")
+    allowed = written(rows.mapInPandas(_plausible(*similarity), "a long, b long"), "allowed")
+    discard(again)
+    candidates = components(allowed.union(near))
     held = named.join(candidates, named["i"] == candidates["node"]).select("component", "h1", "h2", "n").distinct()
     held = written(held, "candidates")
     several = written(held.groupBy("component").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("component"), "several")

@@ -666,6 +666,52 @@ def test_jaccard_batch_chains():
     assert [x.tolist() for x in near] == [[], [70], [], [70, 71]]
 
 
+def test_jaccard_sketches_sieve_no_link():
+    """Sets that link, or whose followers do, pass; of others of one size hardly any."""
+    rng, links = np.random.default_rng(5), 0
+    for num, den in ((90, 100), (80, 100), (50, 100)):
+        for size in (1, 2, 5, 31, 33, 100, 700):
+            base = rng.integers(0, 1 << 63, size, dtype=np.uint64)
+            sets = [np.unique(np.r_[base[rng.random(size) > 0.15 * (j % 3)], rng.integers(0, 1 << 63, j % 4 * size // 20, dtype=np.uint64)]) for j in range(12)]
+            sets = [s if len(s) else base for s in sets] + [np.unique(rng.integers(0, 1 << 63, size, dtype=np.uint64))]
+            linked = lambda a, b: den * len(np.intersect1d(sets[a], sets[b])) >= num * len(np.union1d(sets[a], sets[b]))
+            leaders = jaccard_join.Leaders(sets, num, den)
+            led = {a: [a, *(b for b in range(a + 1, 13) if (a + b) % 2 and leaders(a, b))] for a in range(13)}
+            bits, reach = jaccard_join._folded([jaccard_join.odd_sketch(s) for s in sets]), leaders.reach()
+            for a in range(13):
+                for b in range(a):
+                    passes = (den + num) * np.bitwise_count(bits[a] ^ bits[b]).sum(dtype=np.int64) <= reach[a] + reach[b]
+                    if any(linked(x, y) for x in led[a] for y in led[b]):
+                        links += 1
+                        assert passes
+            if size == 700 and num >= 80:
+                alone = jaccard_join.Leaders(sets, num, den).reach()
+                assert all((den + num) * np.bitwise_count(bits[12] ^ x).sum(dtype=np.int64) > alone[12] + r for x, r in zip(bits[:12], alone))
+    assert links > 500
+
+
+def test_jaccard_stock_phrases_move_no_texts(spark, monkeypatch):
+    """Texts that share stock phrases, and so signatures, but don't link aren't candidates."""
+    rng = random.Random(3)
+    stock = [" ".join(f"s{rng.randrange(10**6)}" for _ in range(8)) for _ in range(6)]
+    rows = [(i, " ".join(rng.choice(stock) if j % 3 == 0 else f"u{rng.randrange(10**9)}" for j in range(rng.randrange(9, 40)))) for i in range(3000)]
+    rows += [(5000, rows[7][1] + " x"), (5001, rows[2900][1])]
+    counts, written = {}, jaccard_join.written
+
+    def counted(df, name, *by):
+        out = written(df, name, *by)
+        counts[name] = max(out.count(), counts.get(name, 0))
+        return out
+
+    monkeypatch.setattr(jaccard_join, "written", counted)
+    monkeypatch.setattr(jaccard_join, "ROWS", 64, raising=False)
+    got = jaccard_join.join(spark.createDataFrame(rows, "doc_id long, text string").repartition(8), similarity=(80, 100)).collect()
+    ids = {r.doc_id: r.component_id for r in got}
+    sets = {i: {tuple(t.split()[j : j + 3]) for j in range(len(t.split()) - 2)} for i, t in rows}
+    assert 10 * len(sets[7] & sets[5000]) >= 8 * len(sets[7] | sets[5000]) and ids[5000] == 7 and ids[5001] == 2900
+    assert counts["members"] < 0.2 * len(rows)
+
+
 def test_jaccard_many_near_copies(spark):
     """100,000 different sets that share a signature: no window or comparison grows with their square."""
     words = " ".join(f"w{i}" for i in range(70))
