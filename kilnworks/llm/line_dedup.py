@@ -54,9 +54,9 @@ CONTENT, MARK = 6, "\x01"
 
 
 def units(text: Column, content: bool = False) -> Column:
-    """A text's units; none of a text without any word, in which the pattern would look
-    for a word from each place on."""
-    return F.when(F.rlike(text, F.lit(r"[^ \t\n\r]")), _units(text, content)).otherwise(F.array().cast("array<string>"))
+    """A text's units, null for a null text; none of a text without any word, in which the
+    pattern would look for a word from each place on."""
+    return F.when(F.rlike(text, F.lit(r"[^ \t\n\r]")), _units(text, content)).when(text.isNotNull(), F.array().cast("array<string>"))
 
 
 def _units(text: Column, content: bool) -> Column:
@@ -97,8 +97,8 @@ def _fingerprint(h: Column, p: Column, k: int) -> Column:
 
 
 def deleted(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> DataFrame:
-    """(id, d1, d2, gone): the places of the runs' first units, per document that
-    has later occurrences; each deletes k + w - 1 units."""
+    """(id, d1, d2, n, gone) per document with a run at least: its number of units and, if it
+    has later occurrences, the places of their first units; each deletes k + w - 1 units."""
     t = k + w - 1
     hashes = written(_hashes(docs, k, w, content), "hashes")
     places = F.array_distinct(F.transform("at", lambda o, s: s + o.cast("int")))
@@ -121,7 +121,10 @@ def deleted(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> D
     first = found.groupBy("n1", "n2").agg(F.min("at").alias("one"), F.max("at").alias("last")).where("one <> last")
     first = written(first.select("n1", "n2", "one"), "first-runs")
     later = found.join(first, ["n1", "n2"]).where("at <> one").select("at.id", "at.d1", "at.d2", "at.s")
-    gone = written(later.groupBy("id", "d1", "d2").agg(F.collect_set("s").alias("gone")), "gone")
+    sizes = hashes.select("id", "d1", "d2", F.size("h").alias("n"), F.lit(None).cast("int").alias("s"))
+    both = later.select("id", "d1", "d2", F.lit(None).cast("int").alias("n"), "s").union(sizes.select("id", "d1", "d2", "n", "s"))
+    gone = both.groupBy("id", "d1", "d2").agg(F.max("n").alias("n"), F.collect_set("s").alias("gone"))
+    gone = written(gone.withColumn("gone", F.when(F.size("gone") > 0, F.col("gone"))), "gone")
     discard(hashes, again, matched, found, first)
     return gone
 
@@ -133,11 +136,13 @@ def dedup(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> Dat
     gone = deleted(docs, k, w, content)
     # Whole rows travel as one column, so that no name of theirs can clash.
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").alias("k"), *[d.alias(f"_{n}") for n, d in zip(("d1", "d2"), _digests())], F.col("text").alias("text"))
-    joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["_d1"] == gone["d1"]) & (rows["_d2"] == gone["d2"]), "left").select("row", "text", "gone")
-    # The generator keeps Catalyst from splitting the text once for each use.
-    joined = joined.select("row", "gone", F.explode(F.array(F.when(F.col("text").isNotNull(), units(F.col("text"), content)))).alias("_units"))
+    joined = rows.join(gone, rows["k"].eqNullSafe(gone["id"]) & (rows["_d1"] == gone["d1"]) & (rows["_d2"] == gone["d2"]), "left").select("row", "text", "gone", "n")
+    # The generator keeps Catalyst from splitting the text once for each use. A text that stays
+    # as it is needs no units but their number.
+    split = F.when(F.col("gone").isNotNull() | F.col("n").isNull(), units(F.col("text"), content))
+    joined = joined.select("row", "gone", "n", F.explode(F.array(split)).alias("_units"))
     away = F.array_sort(F.array_distinct(F.flatten(F.transform("gone", lambda s: F.sequence(s, s + (t - 1))))))
-    joined = joined.select("row", "gone", "_units", F.explode(F.array(away)).alias("_away"))
+    joined = joined.select("row", "gone", "n", "_units", F.explode(F.array(away)).alias("_away"))
     # Kept stretches lie between deleted places: slices, so that no unit is looked up in a list.
     stops = F.concat(F.array(F.lit(-1)), F.col("_away"), F.array(F.size("_units")))
 
@@ -147,7 +152,7 @@ def dedup(docs: DataFrame, k: int = K, w: int = W, content: bool = False) -> Dat
     text = F.when(F.col("gone").isNotNull(), F.array_join(F.flatten(let(stops, stretches)), ""))
     text = F.when(F.array_contains("_away", 0), F.regexp_replace(text, r"^[ \t\n\r]+", "")).otherwise(text)
     new = F.when(F.col("gone").isNull(), F.col("row.text")).otherwise(text)
-    out = joined.select("row", F.coalesce(F.size("_units"), F.lit(0)).cast("long").alias("n_units"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("_away")).cast("long").alias("n_deleted"), new.alias("new"))
+    out = joined.select("row", F.coalesce("n", F.when(F.col("_units").isNotNull(), F.size("_units")), F.lit(0)).cast("long").alias("n_units"), F.when(F.col("gone").isNull(), F.lit(0)).otherwise(F.size("_away")).cast("long").alias("n_deleted"), new.alias("new"))
     own = {"text": F.col("new"), "n_chars": F.length("new").cast("long")}
     names = [c for c in docs.columns if c.lower() not in ("n_units", "n_deleted")]
     return out.select(*[own.get(c, F.col(f"row.`{c}`")).alias(c) for c in names], "n_units", "n_deleted")

@@ -209,6 +209,18 @@ def test_line_dedup_stock_passage(spark):
     assert line_dedup.dedup(docs).where("n_deleted > 0").count() == 0
 
 
+def test_line_dedup_counts_units_once(spark):
+    """Unit numbers of texts that stay come from the hashes, also of repeated rows and without doc_id."""
+    long = " ".join(f"Line {j} says this." for j in range(9))
+    rows = [(1, long), (1, long), (2, "Before. " + long), (None, "One. Two. Three. Four. Five. Six."), (3, "Short one. Two."), (4, None), (5, " \n"), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {(r.id, r.n): r.gone for r in line_dedup.deleted(docs).collect()}
+    assert {k for k, gone in found.items() if gone is None} == {(1, 9), (None, 6)} and sorted(found[2, 10]) == [1, 2, 3, 4, 5]
+    got = sorted((r.doc_id or 0, r.n_units, r.n_deleted, r.text) for r in line_dedup.dedup(docs).where("text IS NOT NULL").collect())
+    assert got == [(0, 6, 0, rows[3][1]), (1, 9, 0, long), (1, 9, 0, long), (2, 10, 9, "Before."), (3, 2, 0, rows[4][1]), (5, 0, 0, " \n")]
+    assert docs.where("text IS NULL").select(line_dedup.units(F.col("text")).alias("u")).collect() == [(None,), (None,)]
+
+
 def test_line_dedup_passages_mid_sentence(spark):
     """Passages of over 50 words inside other sentences: units by content meet again."""
     random.seed(8)
