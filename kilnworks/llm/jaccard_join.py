@@ -26,7 +26,8 @@ one signature mostly share a stock phrase and no more, so they are sieved before
 moves: each set has an odd sketch (Mitzenmacher et al., 2014), at least twice as many bits
 as items, of which each item flips one. Sketches differ in no more bits than sets in items,
 so two sets that link are never sieved out; a set's ``reach`` adds what it lies from those
-that left their signatures to it. A signature's rows are dealt into blocks of bounded size,
+that left their signatures to it. Of signatures that the same rows have (by number, ends and
+128 bits) one is enough. Its rows are dealt into blocks of bounded size,
 each pair of blocks a unit of work that writes a forest of the pairs that pass. These forests
 and the links found within batches give candidate components, and each component's
 classes are compared exactly, by postings of their items, in blocks of bounded size. At
@@ -279,9 +280,11 @@ def _plausible(num: int, den: int):
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         out = []
-        for parts in runs(batches, ["s", "x", "y"]):
-            g = pd.concat(parts) if len(parts) > 1 else parts[0]
-            i, reach, block, odd = g["i"].to_numpy(), g["reach"].to_numpy(), g["b"].to_numpy(), g["odd"].tolist()
+        for i, reach, block, odd in _units(batches):
+            if len(i) == 2:  # most units
+                if (den + num) * _apart(*odd) <= reach[0] + reach[1]:
+                    out.append((i[0], i[1]))
+                continue
             bits, root = _folded(odd), list(range(len(odd)))
 
             def find(k: int) -> int:
@@ -308,6 +311,34 @@ def _plausible(num: int, den: int):
     return f
 
 
+def _units(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    """(i, reach, b, odd) of each unit of work (s, x, y) of a sorted partition."""
+    held = None
+    for frame in batches:
+        if not len(frame):
+            continue
+        frame = frame if held is None else pd.concat([held, frame])
+        keys = frame[["s", "x", "y"]].to_numpy()
+        starts = [0, *(np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1).tolist()]
+        held = frame.iloc[starts[-1] :]  # may go on in the next batch
+        yield from _cut(frame, starts)
+    if held is not None:
+        yield from _cut(held, [0, len(held)])
+
+
+def _cut(frame: pd.DataFrame, at: list[int]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, list[bytes]]]:
+    i, reach, block, odd = *(frame[c].to_numpy() for c in ("i", "reach", "b")), frame["odd"].tolist()
+    for p, q in zip(at, at[1:]):
+        yield i[p:q], reach[p:q], block[p:q], odd[p:q]
+
+
+def _apart(x: bytes, y: bytes) -> int:
+    """Bits in which two sketches differ, at the smaller one's size."""
+    while len(x) > len(y):
+        x = (int.from_bytes(x[: len(x) // 2]) ^ int.from_bytes(x[len(x) // 2 :])).to_bytes(len(x) // 2)
+    return _apart(y, x) if len(x) < len(y) else (int.from_bytes(x) ^ int.from_bytes(y)).bit_count()
+
+
 def _folded(odd: list[bytes]) -> np.ndarray:
     """Sketches as rows of words, folded to the smallest one's size."""
     least, rows = min(map(len, odd)), []
@@ -415,6 +446,13 @@ def _rest(texts: DataFrame, links: DataFrame, block_chars: int) -> tuple[DataFra
     return dealt.select("c", "k", "text", b.cast("int").alias("b"), (F.col("lead") + F.col("more")).alias("nb"), "lead"), F.col("lead")
 
 
+def _different(again: DataFrame) -> DataFrame:
+    """(s, k) of one signature for each different set of k rows that have a signature in
+    common: near copies share most of theirs, and their sketches need one comparison."""
+    own = [F.count(F.lit(1)).alias("k"), F.min("i").alias("lo"), F.max("i").alias("hi"), F.bit_xor(F.xxhash64("i")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(1), "i")).alias("x2")]
+    return again.groupBy("s").agg(*own).groupBy("k", "lo", "hi", "x1", "x2").agg(F.min("s").alias("s")).select("s", "k")
+
+
 def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], block_chars: int) -> DataFrame:
     """(doc_id, t1, t2, n, first, least) of each row of _keyed: its set's size, the
     first document with that set and the first one of its component."""
@@ -429,7 +467,7 @@ def labelled(docs: DataFrame, n: int, similarity: tuple[int, int], block_chars:
     classes = written(found.where("n > 0").groupBy("h1", "h2", "n").agg(F.min(first).alias("first")), "classes")
     named = written(found.drop("sig", "near"), "sets")
     discard(found)
-    rows = again.join(again.groupBy("s").agg(F.ceil(F.count(F.lit(1)) / ROWS).cast("int").alias("nb")), "s")
+    rows = again.join(_different(again).select("s", F.ceil(F.col("k") / ROWS).cast("int").alias("nb")), "s")
     rows = rows.withColumn("b", F.pmod(F.xxhash64("i"), F.col("nb")).cast("int")).join(named.select("i", "reach", "odd"), "i")
     rows = rows.select("s", "i", "b", "reach", "odd", F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("o"))
     rows = rows.select("s", F.least("b", "o").alias("x"), F.greatest("b", "o").alias("y"), "b", "i", "reach", "odd")

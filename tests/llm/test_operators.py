@@ -740,6 +740,34 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <p>Three   %d</div><div class="comments"><p>First!</p></div><form><p>Name</p></form><aside>Side</aside><footer>&copy; me</footer></body></html>"""
 
 
+def test_jaccard_join_units(spark):
+    """Signatures of the same rows give one unit of work; units of any size and batch give
+    the pairs that their sketches allow."""
+    rows = [(s, i) for s in range(40) for i in (7, 9)] + [(s, i) for s in (50, 51, 52) for i in (7, 9, 11)] + [(60, 7), (60, 11)]
+    got = jaccard_join._different(spark.createDataFrame(rows, "s long, i long")).collect()
+    assert {(r.s, r.k) for r in got} == {(0, 2), (50, 3), (60, 2)}
+    rng = np.random.default_rng(3)
+    common = rng.integers(0, 2**63, 400).astype(np.uint64)
+    sets = [np.unique(np.r_[common[: rng.integers(30, 400)], rng.integers(0, 2**63, 8).astype(np.uint64)]) for _ in range(60)]
+    sets += [np.unique(np.r_[common[:300], rng.integers(0, 2**63, 3).astype(np.uint64)]) for _ in range(20)]
+    odd = [jaccard_join.odd_sketch(x) for x in sets]
+    reach = jaccard_join.Leaders(sets, 90, 100).reach()
+    allowed, units = lambda a, b: 190 * int(np.bitwise_count(np.bitwise_xor(*jaccard_join._folded([odd[a], odd[b]]))).sum()) <= reach[a] + reach[b], {}
+    for s in range(150):
+        units[s] = sorted(rng.choice(80, 2 if s % 3 else int(rng.integers(1, 6)), replace=False).tolist())
+    frame = pd.DataFrame([(s, 0, 0, 0, i, reach[i], odd[i]) for s, u in units.items() for i in u], columns=["s", "x", "y", "b", "i", "reach", "odd"])
+    want = {p for u in units.values() if len(u) == 2 for p in [tuple(u)] if allowed(*p)}
+    assert want
+    for size in (1, 7, 1000):
+        batches = [frame.iloc[k : k + size] for k in range(0, len(frame), size)] + [frame.iloc[:0]]
+        cut = [i.tolist() for i, _, _, _ in jaccard_join._units(iter(batches))]
+        assert cut == list(units.values())
+        got = {tuple(p) for f in jaccard_join._plausible(90, 100)(iter(batches)) for p in f.to_numpy().tolist()}
+        assert want <= got <= {(a, b) for u in units.values() for a in u for b in u if a < b}
+    two = frame[frame["s"].map(lambda s: len(units[s]) == 2)]
+    assert {tuple(p) for f in jaccard_join._plausible(90, 100)(iter([two])) for p in f.to_numpy().tolist()} == want
+
+
 def test_html_extract(spark):
     rows = [(i, f"http://host/{i}", PAGE % ("x", i, i)) for i in range(8)]
     rows += [(20, None, None), (21, "http://else/", "<article><header><h1>A</h1></header><p>B &am"), (22, "http://else/", "plain <i>te</i>xt"), (22, "http://else/", "plain <i>te</i>xt")]
