@@ -740,6 +740,25 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <p>Three   %d</div><div class="comments"><p>First!</p></div><form><p>Name</p></form><aside>Side</aside><footer>&copy; me</footer></body></html>"""
 
 
+def test_bpe_short_plans(spark):
+    """The literal tables aren't in the plans' descriptions, and the session is as before."""
+    codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    row = spark.createDataFrame([("1,20000,300",), ("",), (None,)], "ids string")
+    both = row.select(codec.decode(bpe.parse_ids(F.col("ids"))).alias("a"), codec.decode_text(F.col("ids")).alias("b"), codec.fold_text(F.coalesce("ids", F.lit("null"))))
+
+    def described(info):
+        return len(info.simpleString()) + sum(described(info.children().apply(i)) for i in range(info.children().size()))
+
+    plan = lambda: described(spark._jvm.org.apache.spark.sql.execution.SparkPlanInfo.fromSparkPlan(both._jdf.queryExecution().executedPlan()))
+    before = spark.conf.get("spark.sql.debug.maxToStringFields"), spark.conf.get("spark.sql.maxPlanStringLength")
+    assert plan() > 1_000_000
+    with bpe.short_plans(spark):
+        assert plan() < 10_000
+    assert before == (spark.conf.get("spark.sql.debug.maxToStringFields"), spark.conf.get("spark.sql.maxPlanStringLength"))
+    got = both.collect()
+    assert all(r.a == r.b for r in got) and [r.a is None or len(r.a) for r in got][1:] == [0, True]
+
+
 def test_jaccard_join_units(spark):
     """Signatures of the same rows give one unit of work; units of any size and batch give
     the pairs that their sketches allow."""
