@@ -15,6 +15,8 @@ An empty table gives no rows.
 
 from __future__ import annotations
 
+from contextlib import nullcontext
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -72,7 +74,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
-        docs = written_stage(lambda f=stage, d=docs: f(spark, d, sf_dir), name)
+        with bpe.short_plans(spark) if stage is tokenised else nullcontext():
+            docs = written_stage(lambda f=stage, d=docs: f(spark, d, sf_dir), name)
         if before is not None:
             discard(before)
         before = docs
