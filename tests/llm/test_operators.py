@@ -740,6 +740,15 @@ PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{}</style><script>v
 <p>Three   %d</div><div class="comments"><p>First!</p></div><form><p>Name</p></form><aside>Side</aside><footer>&copy; me</footer></body></html>"""
 
 
+def test_token_files_words():
+    """The model alone gives a word the ids that the library gives it."""
+    e = token_files.Encoder(P.path("byte_bpe_50k.json"), P.PATTERN)
+    random.seed(5)
+    every = [chr(c) for a, b in token_files.SPANS for c in range(a, b + 1)]
+    words = list({w for _ in range(300) for w in e.find("".join(random.choices(every + [" "] * 200 + list("etaoin") * 50, k=300)))}) + ["x" * 5000, " " * 900, "\n"]
+    assert e.bare and list(e.word_ids(words)) == [x.ids for x in e.library.encode_batch(words, add_special_tokens=False)]
+
+
 def test_bpe_short_plans(spark):
     """The literal tables aren't in the plans' descriptions, and the session is as before."""
     codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
