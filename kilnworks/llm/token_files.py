@@ -51,6 +51,8 @@ from .common import RangeBuckets, partitions, shared_folder, store, written, wri
 MAGIC, VERSION = b"KWRP", 2
 #: Odd, so that products are different modulo 2 ** 32.
 SCATTER = 2654435761
+#: Bins that pairs are counted in at first, and ids of a rule that a reader holds expanded.
+BINS, SHORT = 1 << 22, 64
 HEADER = "<4sIIIQQ"
 #: Ranges of characters in which words are cut here: Latin, Greek, Cyrillic, punctuation.
 SPANS = [(0x00, 0x1B), (0x20, 0x24F), (0x370, 0x377), (0x391, 0x3C9), (0x410, 0x44F), (0x2010, 0x2027), (0x20AC, 0x20AC)]
@@ -62,6 +64,13 @@ SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SPELT = {b: 256 + i for i, b in enumerate(b for b in range(256) if b not in SHOWN)}
 
 
+def spelt(word: str) -> str:
+    """The word's bytes as ByteLevel spells them; of most words only blanks are spelt."""
+    if word.isascii() and word.isprintable():
+        return word.replace(" ", chr(SPELT[32]))
+    return word.encode().decode("latin-1").translate(SPELT)
+
+
 def plain_pattern(pattern: str) -> str:
     r"""The pattern with \p{L} and \p{N} spelt out over SPANS, for Python's own re."""
     import regex
@@ -99,7 +108,7 @@ class Encoder:
         """ids of words. Where the library does no more with a word than to spell its bytes
         for the model, its model is called at once, for a quarter of the time."""
         if self.bare:
-            return ([x.id for x in self.tokenize(w.encode().decode("latin-1").translate(SPELT))] for w in words)
+            return ([x.id for x in self.tokenize(spelt(w))] for w in words)
         return (e.ids for e in self.library.encode_batch_fast(words, add_special_tokens=False))
 
     def __call__(self, text: str) -> np.ndarray:
@@ -137,36 +146,41 @@ def repair(ids: np.ndarray, stops: np.ndarray, first: int, least: int = 5) -> tu
     x = ids.astype(np.int32)
     live = np.ones(len(x), bool)  # places whose pair may be frequent: it was, or one of its symbols is new
     while len(x) > 1:
-        keys = x[:-1].astype(np.int64) << 32 | x[1:]
-        inside = np.flatnonzero(live[:-1] & ~last[:-1])
-        codes, pairs = pd.factorize(keys[inside])
+        at = np.flatnonzero(live[:-1] & ~last[:-1])
+        keys = x[at].astype(np.int64) << 32 | x[at + 1]
+        # A bin of pairs is at least as frequent as each of them: most rare pairs go before they are told apart.
+        bins = (keys ^ keys >> 32) * SCATTER >> 8 & BINS - 1
+        kept = np.bincount(bins, minlength=BINS)[bins] >= least
+        live[at[~kept]] = False
+        at = at[kept]
+        codes, pairs = pd.factorize(keys[kept])
         times = np.bincount(codes, minlength=len(pairs))
+        frequent = times >= least
+        kept = frequent[codes]
+        live[at[~kept]] = False
+        at, codes = at[kept], codes[kept]
         # A pair's rank: by frequency, then by a scattered number of its own, so that only equal pairs
         # tie, and a passage whose pairs are equally frequent shrinks in many places at once.
-        own = np.arange(len(pairs)) * SCATTER & 0xFFFFFFFF
-        frequent = times >= least
-        rank = np.full(len(keys), -1, np.int64)
-        rank[inside] = np.where(frequent, times << 32 | own, -1)[codes]
-        live[inside] = frequent[codes]
-        del codes, pairs
-        best = rank >= 0
-        best[1:] &= rank[1:] >= rank[:-1]
-        best[:-1] &= rank[:-1] >= rank[1:]
-        at = np.flatnonzero(best)
-        del rank, best
+        rank = (times << 32 | np.arange(len(pairs)) * SCATTER & 0xFFFFFFFF)[codes]
+        apart = np.diff(at) != 1
+        best = np.ones(len(at), bool)
+        best[1:] &= apart | (rank[1:] >= rank[:-1])
+        best[:-1] &= apart | (rank[:-1] >= rank[1:])
+        at, codes = at[best], codes[best]
         # Neighbours that are both best are one pair in a run of equal symbols: every second one, from the left.
         fresh = np.r_[True, np.diff(at) != 1]
         place = np.arange(len(at))
-        at = at[(place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0]
-        chosen, which, used = np.unique(keys[at], return_inverse=True, return_counts=True)
-        enough = used >= least
+        second = (place - np.maximum.accumulate(np.where(fresh, place, 0))) % 2 == 0
+        at, codes = at[second], codes[second]
         if not len(at):
             break
+        enough = np.bincount(codes, minlength=len(pairs)) >= least
         if not enough.any():  # pairs that overlap too often with themselves make way for others
             live[at] = False
             continue
-        at, which, chosen = at[enough[which]], (np.cumsum(enough) - 1)[which[enough[which]]], chosen[enough]
-        x[at] = first + n_rules + which
+        kept = enough[codes]
+        at, chosen = at[kept], pairs[enough]
+        x[at] = first + n_rules + (np.cumsum(enough) - 1)[codes[kept]]
         last[at] = last[at + 1]
         live[at] = live[np.maximum(at - 1, 0)] = True
         keep = np.ones(len(x), bool)
@@ -201,6 +215,7 @@ class Shard:
         grammar = read(self.at["rules"], 12 * n_rules)
         self.rules = np.frombuffer(grammar, "<i4", 2 * n_rules).reshape(-1, 2)
         self.lengths = np.frombuffer(grammar, "<i4", n_rules, 8 * n_rules)
+        self.held = None
 
     def _longs(self, name: str, i: int, n: int) -> np.ndarray:
         return np.frombuffer(self.read(self.at[name] + 8 * i, 8 * n), "<i8")
@@ -210,8 +225,23 @@ class Shard:
         return data[:, 0] | data[:, 1] << 8 | data[:, 2] << 16
 
     def expand(self, symbols: np.ndarray) -> np.ndarray:
-        """Rule by rule, all at once: as many steps as the grammar is deep."""
-        while (rule := symbols >= self.first).any():
+        """Long rules all at once, step by step; then short ones, from their expansions."""
+        if self.held is None:
+            return self._expand(symbols, 0)
+        x = self._expand(symbols, SHORT)
+        starts, ids = self.held
+        rule = x >= self.first
+        n, begin = np.ones(len(x), np.int64), np.zeros(len(x), np.int64)
+        n[rule], begin[rule] = self.lengths[x[rule] - self.first], starts[x[rule] - self.first]
+        ends = np.cumsum(n)
+        out = ids[np.repeat(begin - (ends - n), n) + np.arange(n.sum())] if rule.any() else x.copy()
+        out[(ends - n)[~rule]] = x[~rule]
+        return out
+
+    def _expand(self, symbols: np.ndarray, short: int) -> np.ndarray:
+        """Rules of more than short ids: as many steps as the grammar is deep."""
+        long = np.r_[False, self.lengths > short]
+        while (rule := long[np.maximum(symbols - (self.first - 1), 0)]).any():
             n = 1 + rule
             out = np.repeat(symbols, n)
             at = (np.cumsum(n) - n)[rule]
@@ -222,6 +252,9 @@ class Shard:
 
     def documents(self, batch: int = 256) -> Iterator[tuple[int, np.ndarray]]:
         """(doc_id, ids) of all documents, in order."""
+        if self.held is None:
+            lengths = np.where(self.lengths > SHORT, 0, self.lengths).astype(np.int64)
+            self.held = np.cumsum(lengths) - lengths, self._expand(self.first + np.flatnonzero(lengths).astype(np.int32), 0)
         for i in range(0, self.n_docs, batch):
             n = min(batch, self.n_docs - i)
             counts = self._longs("counts", i, n)

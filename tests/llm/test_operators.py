@@ -1,6 +1,7 @@
 """Each operator on small fixtures: against brute force, round trips, edge cases."""
 
 import hashlib
+import io
 import math
 import random
 import time
@@ -891,3 +892,21 @@ def test_html_is_the_article(spark):
         body = re.sub(r"<[^>]*>|<[/a-z][^>]*$", "", re.sub(r"<(/?p|/?h1)>", "\n", body))
         blocks = (" ".join(html.unescape(b).split()) for b in body.split("\n"))
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
+
+
+def test_token_files_reader_holds_short_rules():
+    """Short rules come from their expansions, long ones step by step; both give the ids."""
+    random.seed(4)
+    docs = [[7] * 5000, [1, 2, 3, 4] * 300, [random.randrange(50) for _ in range(3000)], [9], [5, 6] * 33]
+    ids = np.array([x for d in docs for x in d], np.int32)
+    data = token_files.pack(ids, list(map(len, docs)), list(range(len(docs))), 1 << 20, 5)
+    shard = token_files.Shard(token_files.ranged(io.BytesIO(data)))
+    assert shard.lengths.max() > token_files.SHORT
+    steps, own = [], shard._expand
+    shard._expand = lambda symbols, short: steps.append(short) or own(symbols, short)
+    assert [x.tolist() for _, x in shard.documents(2)] == docs and steps == [0, *[token_files.SHORT] * 3]
+    assert [shard.document(i).tolist() for i in range(len(docs))] == docs and shard.token(0, 4999) == 7
+    bare = token_files.Shard(token_files.ranged(io.BytesIO(data)))
+    assert bare.document(0).tolist() == docs[0] and bare.held is None  # a single document needs no expansions
+    for w in (" word", "two words", "é x", "\n\n", "\x7f", "~!"):
+        assert token_files.spelt(w) == w.encode().decode("latin-1").translate(token_files.SPELT)
