@@ -39,7 +39,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import discard, let, literal_longs, literal_strings, store, written
+from .common import discard, give_back, let, literal_longs, literal_strings, store, written
 from .token_files import PLAIN, plain_pattern
 
 #: Code points of the Unicode property White_Space. Fixed values.
@@ -148,7 +148,7 @@ class Words:
         top = pa.array(np.argsort(-rows["n"].to_numpy(), kind="stable")[:quick])
         self.quick = dict(zip(self.words.take(top).to_pylist(), self.ids.take(top).to_pylist()))
         del rows, top
-        pa.default_memory_pool().release_unused()  # a worker keeps its words as long as it lives
+        give_back()  # a worker keeps its words as long as it lives
 
     def look_up(self, words: list[str]) -> list[str | None]:
         """ids of words, None where one isn't held."""

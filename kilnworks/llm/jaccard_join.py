@@ -57,7 +57,7 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import components, discard, partitions, runs, written, written_stage
+from .common import components, discard, give_back, partitions, runs, written, written_stage
 
 U = np.uint64
 A1, A2, A3 = U(0x9E3779B97F4A7C15), U(0xC2B2AE3D27D4EB4F), U(0x165667B19E3779F9)
@@ -187,19 +187,19 @@ def _sums(cells: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
-#: Classes that a task remembers to have signed.
-REMEMBERED = 1 << 20
+#: Classes that a task remembers to have signed, and rows that it signs at a time.
+REMEMBERED, AT_ONCE = 1 << 20, 2048
 
 
 def _features(n: int, similarity: tuple[int, int]):
     """Each row's number i, set size, set hash, odd sketch, reach, the signatures that it
-    takes along, and the rows of its batch that took others of its signatures along."""
+    takes along, and the rows of its piece of a batch that took others of its signatures along."""
 
     def f(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         shingle, band, seen = Shingler(n), Bands(similarity), set()
         none = np.zeros(0, np.int64)
         i = TaskContext.get().partitionId() << 33
-        for frame in batches:
+        for frame in (b.iloc[k : k + AT_ONCE] for b in batches for k in range(0, len(b), AT_ONCE)):
             rows, signed, sets = [], [], []
             if len(seen) > REMEMBERED:
                 seen.clear()
@@ -216,7 +216,10 @@ def _features(n: int, similarity: tuple[int, int]):
             leaders = Leaders(sets, *similarity)
             out["sig"], out["near"] = _taken(signed, out["i"].to_numpy(), leaders)
             out["reach"] = leaders.reach()
+            del rows, signed, sets, leaders
             yield out
+            del out
+            give_back()
 
     return f
 

@@ -894,6 +894,27 @@ def test_html_is_the_article(spark):
         assert got[r.page_id] == "\n\n".join(b for b in blocks if b)
 
 
+def test_jaccard_signs_in_pieces(monkeypatch):
+    """A batch of many rows is signed piece by piece, the same links stay, and memory goes back after each."""
+    class Task:
+        get = staticmethod(lambda: Task)
+        partitionId = staticmethod(lambda: 2)  # noqa: N815
+
+    given = []
+    monkeypatch.setattr(jaccard_join, "TaskContext", Task)
+    monkeypatch.setattr(jaccard_join, "give_back", lambda: given.append(1))
+    random.seed(3)
+    texts = [" ".join(random.choice("abcdefgh") + str(random.randrange(9)) for _ in range(30)) for _ in range(1000)] * 5 + [None, ""]
+    frame = pd.DataFrame({"doc_id": range(len(texts)), "text": texts, "t1": 0, "t2": 0})
+    out = list(jaccard_join._features(5, (80, 100))([frame]))
+    assert len(out) == len(given) > 1 and max(map(len, out)) <= jaccard_join.AT_ONCE
+    rows = pd.concat(out)
+    assert rows["i"].tolist() == [(2 << 33) + k for k in range(len(texts))] and rows["doc_id"].tolist() == list(range(len(texts)))
+    shingle = jaccard_join.Shingler(5)
+    assert rows["n"].tolist() == [len(shingle(t)) for t in texts]
+    assert all(len(s) for s in rows["sig"][:1000]) and not any(len(s) for s in rows["sig"].tolist()[1000:])  # copies don't sign again
+
+
 def test_token_files_reader_holds_short_rules():
     """Short rules come from their expansions, long ones step by step; both give the ids."""
     random.seed(4)
