@@ -3,8 +3,9 @@
 The corpus is split into words by the tokenizer's own pattern. A fold over each
 word's byte array applies the ranked merges: the state holds the ids and the rank
 of every adjacent pair, and each step merges the leftmost pair of least rank, as
-the public library does. The ranks are a literal map, laid out as a cuckoo hash
-table in one array so that a look-up reads at most two places.
+the public library does. The ranks are a literal map from pairs: each left id has a
+displacement, and the rank lies in one array at the displacement plus the right id,
+so that a look-up reads one place.
 
 Work per distinct word: word counts over all documents (one aggregation, combined
 before its shuffle) give the words that occur more than once, and a histogram of the
@@ -51,8 +52,8 @@ LONG = 1000
 AT_ONCE = 1 << 20
 #: Characters of a plan's text that the driver keeps: the literal tables would fill it.
 PLAN_TEXT = 100_000
-#: Multiplier and shift of the two hashes of a pair; products stay below 2 ** 63 for ids below 2 ** 16.
-FIRST, SECOND = (1540483477, 15), (1597334677, 11)
+#: Bits of an id and a start in an entry of the fold; ids in tables have as many.
+ID, START = 20, 24
 
 
 @contextlib.contextmanager
@@ -93,20 +94,37 @@ def pair_ranks(ranks: dict[bytes, int]) -> tuple[array, array]:
     return pairs, out
 
 
-def cuckoo(keys: array, first, second, size: int) -> array:
-    """Which key lies in each slot, -1 for none; each is in one of its two."""
-    slots = array("q", [-1]) * size
-    for i in range(len(keys)):
-        at = first(keys[i])
-        for _ in range(500):
-            i, slots[at] = slots[at], i
-            if i < 0:
+def displaced(pairs: array, out: array) -> tuple[array, array]:
+    """(displacement of each left id, table): the pair (a, b) lies at b plus a's displacement,
+    as a << ID | third id, -1 where none lies. The ids with most pairs are placed first, each
+    at the first place where all of its pairs are free, from that of the one before if it has as many."""
+    keys = np.frombuffer(pairs, np.int64)
+    left, right = keys >> 32, keys & 0xFFFFFFFF
+    order = np.lexsort((right, left))
+    starts = np.flatnonzero(np.r_[True, np.diff(left[order]) != 0])
+    rows = np.split(order, starts[1:]) if len(order) else []
+    size = 2 * (len(keys) + int(max(left.max(initial=0), right.max(initial=0))) + 1)
+    table, at, low = np.full(size, -1), np.zeros(int(left.max(initial=0)) + 1, np.int64), 0
+    begin, before = 0, 0
+    for row in sorted(rows, key=len, reverse=True):
+        b, begin, before = right[row], begin if len(row) == before else low, len(row)
+        while True:
+            fits = begin + np.flatnonzero(table[begin : begin + 4096] < 0)
+            fits = fits[fits + (b[-1] - b[0]) < size]
+            for further in b[1:] - b[0]:
+                fits = fits[table[fits + further] < 0]
+                if not len(fits):
+                    break
+            if len(fits):
                 break
-            k = keys[i]
-            at = second(k) if at == first(k) else first(k)
-        else:
-            raise ValueError("table too full")
-    return slots
+            begin += 4096
+            if begin >= size:
+                raise ValueError("table too full")
+        at[left[row[0]]] = fits[0] - b[0]
+        table[fits[0] + (b - b[0])] = left[row] << ID | np.frombuffer(out, np.int64)[row]
+        while low < size and table[low] >= 0:
+            low += 1
+    return array("q", at.tobytes()), array("q", table[: int(np.flatnonzero(table >= 0).max(initial=-1)) + 1].tobytes())
 
 
 def merge(word: bytes, ranks: dict[bytes, int]) -> list[int]:
@@ -222,31 +240,22 @@ class ByteBpe:
     def __init__(self, path: str, pattern: str, quick: int = 1 << 17, held_words: int = 1 << 20):
         self.path, self.ranks, self.pattern = path, read_ranks(path), java_pattern(pattern)
         self.quick, self.held_words = quick, held_words
-        self.shift = (max(self.ranks.values()) + 1).bit_length()
-        pairs, out = pair_ranks(self.ranks)
-        keys = array("q", ((k >> 32) << self.shift | k & 0xFFFFFFFF for k in pairs))
-        self._bits = max(4, (len(keys) * 5 // 2).bit_length())
-        mask = (1 << self._bits) - 1
-        held = cuckoo(keys, lambda k: k * FIRST[0] >> FIRST[1] & mask, lambda k: k * SECOND[0] >> SECOND[1] & mask, 1 << self._bits)
-        self._pairs = literal_longs(-1 if i < 0 else keys[i] << self.shift | out[i] for i in held)
-        self._byte_pairs = literal_longs(self.ranks.get(bytes([a, b]), NO_RANK) for a in range(256) for b in range(256))
-        self._bytes = literal_longs(self.ranks[bytes([b])] for b in range(256))
+        if max(self.ranks.values()) >= NO_RANK:
+            raise ValueError("ids beyond the fold's bits")
+        self._left, self._pairs = map(literal_longs, displaced(*pair_ranks(self.ranks)))
+        # The entry of a byte before another one, and of a word's last byte, each without its start.
+        self._byte_pairs = literal_longs(self.ranks.get(bytes([a, b]), NO_RANK) << ID + START | self.ranks[bytes([a])] for a in range(256) for b in range(256))
+        self._last = literal_longs(NO_RANK << ID + START | self.ranks[bytes([b])] for b in range(256))
         pieces = [b""] * (max(self.ranks.values()) + 1)
         for token, rank in self.ranks.items():
             pieces[rank] = token
         # A byte is the character of its number, up to U+00FF; U+0100 parts the pieces.
         self._pieces = literal_strings((p.decode("latin-1") for p in pieces), "\u0100")
 
-    def _rank(self, table: Column, a: Column, b: Column) -> Column:
+    def _rank(self, left: Column, table: Column, a: Column, b: Column) -> Column:
         """The rank of the pair (a, b), NO_RANK if it doesn't join."""
-        mask, low = (1 << self._bits) - 1, (1 << self.shift) - 1
-
-        def probe(k: Column) -> Column:
-            x = F.get(table, F.shiftright(k * FIRST[0], FIRST[1]).bitwiseAND(mask).cast("int"))
-            y = F.get(table, F.shiftright(k * SECOND[0], SECOND[1]).bitwiseAND(mask).cast("int"))
-            return F.when(F.shiftright(x, self.shift) == k, x.bitwiseAND(low)).when(F.shiftright(y, self.shift) == k, y.bitwiseAND(low)).otherwise(F.lit(NO_RANK).cast("long"))
-
-        return let(F.shiftleft(a, self.shift).bitwiseOR(b), probe)
+        found = F.get(table, (F.get(left, a.cast("int")) + b).cast("int"))
+        return let(found, lambda x: F.when(F.shiftright(x, ID) == a, x.bitwiseAND((1 << ID) - 1)).otherwise(F.lit(NO_RANK).cast("long")))
 
     def fold(self, word: Column) -> Column:
         """The ids of one word that isn't empty, array<bigint>.
@@ -255,35 +264,34 @@ class ByteBpe:
         with the next one, the byte at which it starts, and its id, packed so that
         the least entry is the leftmost pair of least rank. An entry at either end
         has an id that joins with nothing, so that every pair has neighbours."""
-        edge, none = (1 << self.shift) - 1, NO_RANK << 44
+        edge, none = (1 << ID) - 1, NO_RANK << ID + START
 
         def entry(rank: Column, place: Column) -> Column:  # place: start and id
-            return F.shiftleft(rank, 44).bitwiseOR(place)
-
-        def place(x: Column) -> Column:
-            return x.bitwiseAND((1 << 44) - 1)
+            return F.shiftleft(rank, ID + START).bitwiseOR(place)
 
         def token(x: Column) -> Column:
-            return x.bitwiseAND((1 << 20) - 1)
+            return x.bitwiseAND(edge)
 
         def begin(at: Column) -> Column:  # the word's bytes
             def one(a: Column, k: Column) -> Column:
-                rank = F.coalesce(F.get(self._byte_pairs, a * 256 + F.get(at, k + 1)), F.lit(NO_RANK).cast("long"))
-                return entry(rank, F.shiftleft((k + 1).cast("long"), 20).bitwiseOR(F.get(self._bytes, a)))
+                first = F.coalesce(F.get(self._byte_pairs, a * 256 + F.get(at, k + 1)), F.get(self._last, a))
+                return first.bitwiseOR(F.shiftleft(k.cast("long"), ID))
 
-            return F.flatten(F.array(F.array(F.lit(none | edge)), F.transform(at, one), F.array(F.lit(none | (1 << 44) - (1 << 20) | edge))))
+            return F.concat(F.array(F.lit(none | edge)), F.transform(at, one), F.array(F.lit(none | edge)))
 
-        def folded(table: Column) -> Column:
+        def folded(left: Column, table: Column) -> Column:
             def step(s: Column, _: Column) -> Column:
                 def merge(least: Column) -> Column:
                     def at(p: Column) -> Column:  # the pair is entries p and p + 1, from 1
-                        m, before = F.shiftright(least, 44), F.get(s, p - 2)
-                        left = entry(self._rank(table, token(before), m), place(before))
-                        right = entry(self._rank(table, m, token(F.get(s, p + 1))), place(least) - token(least) + m)
-                        return F.flatten(F.array(F.slice(s, F.lit(1), p - 2), F.array(left, right), F.slice(s, p + 2, F.lit(1 << 30))))
+                        def joined(before: Column, m: Column) -> Column:
+                            one = entry(self._rank(left, table, token(before), m), before.bitwiseAND((1 << ID + START) - 1))
+                            two = entry(self._rank(left, table, m, token(F.get(s, p + 1))), least.bitwiseAND((1 << START) - 1 << ID).bitwiseOR(m))
+                            return F.array(one, two)
+
+                        pair = joined(F.get(s, p - 2), F.shiftright(least, ID + START))
+                        return F.concat(F.slice(s, F.lit(1), p - 2), pair, F.slice(s, p + 2, F.lit(1 << 30)))
 
-                    near = F.size(F.filter(s, lambda x: place(x) < place(least))) + 1
-                    return F.when(least >= none, s).otherwise(let(F.when(F.size(s) < 64, near).otherwise(F.array_position(s, least).cast("int")), at))
+                    return F.when(least >= none, s).otherwise(let(F.array_position(s, least).cast("int"), at))
 
                 return let(F.array_min(s), merge)
 
@@ -293,7 +301,7 @@ class ByteBpe:
             latin = F.decode(F.encode(word, "UTF-8"), "ISO-8859-1")
             return let(F.transform(F.split(latin, ""), lambda c: F.ascii(c)), run)
 
-        return let(self._pairs, folded)
+        return let(self._left, lambda left: let(self._pairs, lambda table: folded(left, table)))
 
     def words(self, text: Column) -> Column:
         return F.regexp_extract_all(text, F.lit(self.pattern), F.lit(0))

@@ -544,6 +544,25 @@ def test_byte_bpe_long_words():
         assert bpe.merge(word.encode(), ranks) == library.encode_ordinary(word)
 
 
+def test_byte_bpe_displaced_pairs(spark):
+    """Each pair lies in one place that names its left id, and the fold agrees with the heap."""
+    ranks = bpe.read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
+    pairs, out = bpe.pair_ranks(ranks)
+    at, table = bpe.displaced(pairs, out)
+    known = dict(zip(pairs, out))
+    random.seed(3)
+    some = [*known, *(random.randrange(len(at)) << 32 | random.randrange(50_000) for _ in range(200_000))]
+    for a, b in ((k >> 32, k & 0xFFFFFFFF) for k in some):
+        x = table[at[a] + b] if 0 <= at[a] + b < len(table) else -1
+        assert (x & (1 << bpe.ID) - 1 if x >> bpe.ID == a else None) == known.get(a << 32 | b)
+    assert bpe.displaced(*bpe.pair_ranks({b"a": 0, b"b": 1}))[1].tolist() == []
+    words = ["a", "\u00e9", "\u0100\u4e00", *("".join(random.choice("etaoin\u00e9\u00fc zq") for _ in range(n)) for n in (2, 5, 63, 64, 200, 1000))]
+    codec = bpe.ByteBpe(P.path("byte_bpe_multi_50k.tiktoken"), P.PATTERN)
+    with bpe.short_plans(spark):
+        for r in spark.createDataFrame([(w,) for w in words], "w string").select("w", codec.fold(F.col("w")).alias("ids")).collect():
+            assert r.ids == bpe.merge(r.w.encode(), ranks)
+
+
 def test_decontamination(spark, odd, bench):
     got = {(r.doc_id, r.n_words): r for r in decontaminate.hits(odd, bench).collect()}
     assert got[8, 5000].hit_words == list(range(5000)) and got[8, 5000].items == ["1"]
