@@ -49,8 +49,16 @@ def _shared_sets(spark, d):
     return sets.union(sets.where("kb = 'archive' AND file_id % 10 = 0").select(F.lit("plant").alias("kb"), "file_id"))
 
 
+def _indexed(spark, d, search):
+    """What a search finds in an index of the files, written; the index goes."""
+    index = I.build(_files(spark, d))
+    found = written(search(index, _acl(spark)), "found")
+    index.drop()
+    return found
+
+
 def _phrase(spark, d):
-    return I.phrase_search(I.build(_files(spark, d)), _acl(spark), PHRASE)
+    return _indexed(spark, d, lambda index, acl: I.phrase_search(index, acl, PHRASE))
 
 
 def _best(terms):

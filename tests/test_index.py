@@ -109,6 +109,42 @@ def test_hot_term_spreads(spark, monkeypatch):
     assert hot.agg(F.sum("n")).first()[0] == 4000
 
 
+def test_zones(spark, acl, monkeypatch):
+    """Many zones, copies of an id, files without id, a zone of one id and length only."""
+    monkeypatch.setattr(I, "ZONE", 64)
+    monkeypatch.setattr(I, "BLOCK", 4)
+    monkeypatch.setattr(I, "PART", 2)
+    texts = ["the cat and the dog", "cat the and dog", "dog " * 300 + "the cat", "the", "on the cat " * 7]
+    rows = [(i, "ab"[i % 2], f"{texts[i % 5]} rare{i % 90}") for i in range(400)] + [(i, "a", "the cat again") for i in range(500, 700)]
+    rows += [(None, "a", f"the cat {i % 3}") for i in range(30)] + [(7, "b", "the cat the cat")] * 50
+    files = spark.createDataFrame(rows, "doc_id long, kb string, text string").repartition(3)
+    index = I.build(files, buckets=4)
+    terms = {(r.kb, r.token): r.df for r in spark.table(index.terms).collect()}
+    assert terms == Counter((kb, t) for _, kb, text in rows for t in set(text.split()))
+    want = Counter((p, i, text.split().count("the")) for i, kb, text in rows for p, k in set(GRANTS) if k == kb and "the" in text.split())
+    assert Counter((r.principal, r.doc_id, r.n) for r in I.phrase_search(index, acl, ["the"]).collect()) == want
+    want = Counter((p, i, text.count("the cat")) for i, kb, text in rows for p, k in set(GRANTS) if k == kb and "the cat" in text)
+    assert Counter((r.principal, r.doc_id, r.n) for r in I.phrase_search(index, acl, ["the", "cat"]).collect()) == want
+    index.drop()
+    assert not Path(index.folder.removeprefix("file:")).exists()
+    files = files.where("doc_id <> 7")
+    index = I.build(files, buckets=4)
+    assert spark.table(index.postings).agg(F.max("n")).first()[0] <= 4 * I.BLOCK
+    key = lambda r: (r.principal, r.rnk)
+    for words in (["the", "rare5"], ["cat", "dog", "the"]):
+        got, read = I.best_files(index, acl, words, 10, 4)
+        assert sorted(got.collect(), key=key) == sorted(S.bm25_search(files, acl, words, 10).collect(), key=key) and read.scored <= read.held
+
+
+def test_index_is_small(spark):
+    """An index has less than twice the bytes of its table."""
+    d = "/root/testdata/sf0.01"
+    index = I.build(Q._files(spark, d), buckets=2)
+    size = sum(f.stat().st_size for t in (index.postings, index.terms) for f in map(Path, (f.removeprefix("file://") for f in spark.table(t).inputFiles())))
+    index.drop()
+    assert size < 2 * Path(d, "documents.parquet").stat().st_size
+
+
 # --- the store
 
 
