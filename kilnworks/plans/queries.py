@@ -62,7 +62,7 @@ def _phrase(spark, d):
 
 
 def _best(terms):
-    return lambda spark, d: I.best_files(I.build(_files(spark, d)), _acl(spark), terms)[0]
+    return lambda spark, d: _indexed(spark, d, lambda index, acl: I.best_files(index, acl, terms)[0])
 
 
 def _store_visible(spark, d):
